@@ -38,11 +38,11 @@ def conformal_factors(forecasts: DataFrame, keys=("condition", "variable"), perc
 
 def scaled(forecasts: DataFrame, factor: Column) -> DataFrame:
     """Both sides scaled around the forecast; a null factor leaves the interval alone."""
-    f = F.coalesce(factor, F.lit(1.0))
-    return forecasts.withColumn("_lo", F.col("y_pred") - f * (F.col("y_pred") - F.col("y_lower"))).withColumn(
-        "_hi", F.col("y_pred") + f * (F.col("y_upper") - F.col("y_pred"))).withColumn(
-        "y_lower", F.when(factor.isNull(), F.col("y_lower")).otherwise(F.col("_lo"))).withColumn(
-        "y_upper", F.when(factor.isNull(), F.col("y_upper")).otherwise(F.col("_hi"))).drop("_lo", "_hi")
+    return forecasts.withColumns({
+        "y_lower": F.when(factor.isNull(), F.col("y_lower")).otherwise(
+            F.col("y_pred") - factor * (F.col("y_pred") - F.col("y_lower"))),
+        "y_upper": F.when(factor.isNull(), F.col("y_upper")).otherwise(
+            F.col("y_pred") + factor * (F.col("y_upper") - F.col("y_pred")))})
 
 
 def apply(forecasts: DataFrame, factors: DataFrame, keys=("condition", "variable")) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.functions.cells import bounds, clip, outside
+from foretrace.functions.cells import bounds, clip, half_width, outside
+from foretrace.operators.forecast import with_interval
 from foretrace.settings import Variable
 
 SERIES = ("condition", "stay_id", "variable")
@@ -89,9 +90,7 @@ def review(raw: DataFrame, recent: DataFrame, variables: list[Variable], params,
 def _recentred(raw: DataFrame, reviewed: DataFrame) -> DataFrame:
     if "y_lower" not in raw.columns:
         return reviewed
-    half = (F.col("y_upper") - F.col("y_lower")) / 2
-    return reviewed.withColumn("_w", half).withColumn("y_lower", F.col("y_pred") - F.col("_w")).withColumn(
-        "y_upper", F.col("y_pred") + F.col("_w")).drop("_w")
+    return with_interval(reviewed, half_width())
 
 
 def record(reviewed: DataFrame, keys=("condition",)) -> DataFrame:

@@ -12,12 +12,14 @@ STATS = ("last", "mean", "std", "slope")
 DEFAULT_FILL = (0.0, 1.5)
 
 
-def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth: bool = False) -> DataFrame:
+def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth: bool = False,
+              carry: tuple[str, ...] = ()) -> DataFrame:
     """Per (stay, variable): last, mean, population std, least-squares slope and
     count of the observation bins, and the mean of the last ``recent`` bins.
 
     One aggregation. With ``keep_truth`` the horizon travels along as a map
     (hour to value, at most one entry per bin), so forecasts need no join back.
+    ``carry`` names columns constant per stay to keep.
     """
     obs = F.col("part") == "obs"
     seen = obs & F.col("value").isNotNull()
@@ -34,7 +36,7 @@ def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth
     if keep_truth:
         truth = F.collect_list(F.when(~obs & F.col("value").isNotNull(), F.struct("hour", "value")))
         aggregates.append(F.map_from_entries(truth).alias("truth"))
-    return cut_grid.groupBy("stay_id", "variable").agg(*aggregates)
+    return cut_grid.groupBy("stay_id", *carry, "variable").agg(*aggregates)
 
 
 def reference_stats(train_grid: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def levels(summary: DataFrame, conditions=PERSISTENCE_CONDITIONS, fill: DataFram
 
 def with_interval(df: DataFrame, width: Column | str = "width") -> DataFrame:
     w = F.col(width) if isinstance(width, str) else width
-    return df.withColumn("y_lower", F.col("y_pred") - w).withColumn("y_upper", F.col("y_pred") + w)
+    return df.withColumns({"y_lower": F.col("y_pred") - w, "y_upper": F.col("y_pred") + w})
 
 
 def persistence(summary: DataFrame, windows: Windows, conditions=PERSISTENCE_CONDITIONS,

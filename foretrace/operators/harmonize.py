@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from foretrace.settings import Variable, Windows
 
 
-def grid(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows: Windows) -> DataFrame:
+def grid(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows: Windows,
+         carry: tuple[str, ...] = ()) -> DataFrame:
     """(stay_id, variable, hour, value) for every bin of every stay, null = not measured.
+    ``carry`` names cohort columns (such as the split) to keep.
 
     The panel is packed to one map per (stay, variable), at most one entry per
     bin, before the join. The join then moves one row per series instead of one
@@ -17,7 +19,7 @@ def grid(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows
     for the windows and summaries that follow.
     """
     names = F.array(*[F.lit(v.name) for v in variables])
-    skeleton = cohort.select("stay_id", F.explode(names).alias("variable"))
+    skeleton = cohort.select("stay_id", *carry, F.explode(names).alias("variable"))
     packed = (
         panel.filter(F.col("hour").between(0, windows.total - 1))
         .groupBy("stay_id", "variable")
@@ -26,8 +28,8 @@ def grid(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows
     hours = F.explode(F.sequence(F.lit(0), F.lit(windows.total - 1))).alias("hour")
     return (
         skeleton.join(packed, ["stay_id", "variable"], "left")
-        .select("stay_id", "variable", hours, "cells")
-        .select("stay_id", "variable", "hour", F.try_element_at("cells", F.col("hour")).alias("value"))
+        .select("stay_id", *carry, "variable", hours, "cells")
+        .select("stay_id", *carry, "variable", "hour", F.try_element_at("cells", F.col("hour")).alias("value"))
     )
 
 
@@ -55,7 +57,7 @@ def interpolate(gridded: DataFrame, limit: int = 3, strict: bool = False, window
     filled = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * (F.col("hour") - F.col("_ph")) / F.nullif(span, F.lit(0))
     return df.withColumn(
         "value", F.coalesce("value", F.when(F.col("_nv").isNotNull() & reach & (span > 0), filled))
-    ).select("stay_id", "variable", "hour", "value")
+    ).select(*gridded.columns)
 
 
 def cut(gridded: DataFrame, windows: Windows) -> DataFrame:
@@ -65,6 +67,7 @@ def cut(gridded: DataFrame, windows: Windows) -> DataFrame:
         "hour", F.when(is_obs, F.col("hour")).otherwise(F.col("hour") - windows.obs).cast("int"))
 
 
-def tensors(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows: Windows) -> DataFrame:
+def tensors(cohort: DataFrame, panel: DataFrame, variables: list[Variable], windows: Windows,
+            carry: tuple[str, ...] = ()) -> DataFrame:
     """Grid, interpolation and cut in this order: values are filled across the cut."""
-    return cut(interpolate(grid(cohort, panel, variables, windows)), windows)
+    return cut(interpolate(grid(cohort, panel, variables, windows, carry)), windows)

@@ -7,8 +7,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.functions.cells import bounds, clip, smape_cell
+from foretrace.functions.cells import bounds, clip, half_width, smape_cell
 from foretrace.functions.ranks import positions
+from foretrace.operators.forecast import with_interval
 from foretrace.settings import CRITIC_CONDITIONS, PostprocessParams, Variable
 
 # The parameter grids, in the order in which ties are resolved.
@@ -67,8 +68,7 @@ def apply(raw: DataFrame, recent: DataFrame, variables: list[Variable],
     clipped = is_clipped(critic_stage=critic_stage) if critic_stage else F.lit(False)
     out = df.withColumn("y_pred", _final(adjusted(damping, weight), variables, clipped))
     if "y_lower" in raw.columns:
-        out = out.withColumn("_w", (F.col("y_upper") - F.col("y_lower")) / 2).withColumn(
-            "y_lower", F.col("y_pred") - F.col("_w")).withColumn("y_upper", F.col("y_pred") + F.col("_w")).drop("_w")
+        out = with_interval(out, half_width())
     return out.drop("y_first", "recent_mean", "drift_damping", "level_anchor_weight")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.draws import draw
+from foretrace.functions.durable import durable
 from foretrace.settings import Windows
 
 MAX_PIVOTS = 1024
@@ -98,8 +99,9 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLO
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    train = train.select(F.col("stay_id").alias("neighbor_id"), "vector")
-    queries = queries.select(F.col("stay_id").alias("query_id"), "vector")
+    # Both sides are read several times below; their history is run only once.
+    train = durable(train.select(F.col("stay_id").alias("neighbor_id"), "vector"))
+    queries = durable(queries.select(F.col("stay_id").alias("query_id"), "vector"))
     n_train = train.count()
     n_pivots = n_pivots or n_train // block_rows
     n_pivots = int(min(MAX_PIVOTS, max(1, n_pivots)))
@@ -151,7 +153,8 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLO
         F.explode("visit").alias("cell"))
     n_blocks = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, int(b))])
     t_block = (draw("train", F.col("neighbor_id")) % F.try_element_at(n_blocks, F.col("cell"))).cast("int")
-    wanted = routed.select("cell", "home", "q_block").distinct()
+    wanted = routed.groupBy(F.col("cell").alias("_c"), F.col("home").alias("_h"), F.col("q_block").alias("_q")).count().select(
+        F.col("_c").alias("cell"), F.col("_h").alias("home"), F.col("_q").alias("q_block"))
     train_side = celled.select("neighbor_id", "vector", "cell", t_block.alias("t_block")).join(wanted, "cell")
     all_blocks = F.explode(F.sequence(F.lit(0), (F.try_element_at(n_blocks, F.col("cell")) - 1).cast("int")))
     query_side = routed.withColumn("t_block", all_blocks)

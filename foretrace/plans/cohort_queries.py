@@ -232,12 +232,12 @@ def range_shares(spark, sf):
 
 @register("panel_resampled", "stay_id:i variable:s hour:i value:d", "SELECT * FROM panel")
 def panel_resampled(spark, sf):
-    return S.panel(spark, sf)
+    return panel.resample(panel.drop_invalid(S.aligned(spark, sf), S.VARIABLES))
 
 
 @register("coverage_all", "stay_id:i coverage:d", "SELECT * FROM covered")
 def coverage_all(spark, sf):
-    return C.coverage(S.panel(spark, sf), len(S.VARIABLES), S.WINDOWS, S.COVERAGE)
+    return C.coverage(S.Workspace(spark, sf).panel, len(S.VARIABLES), S.WINDOWS, S.COVERAGE)
 
 
 @register("coverage_vitals_and_labs", "stay_id:i coverage:d labs_seen:i", """
@@ -247,7 +247,7 @@ FROM panel GROUP BY stay_id
 HAVING count(*) FILTER (variable IN ('click', 'signup', 'view'))/90.0 >= 0.35
   AND count(DISTINCT variable) FILTER (variable IN ('error', 'purchase') AND hour < 15) = 2""")
 def coverage_labs(spark, sf):
-    return C.coverage_vitals_labs(S.panel(spark, sf), S.VARIABLES, S.WINDOWS, 0.35)
+    return C.coverage_vitals_labs(S.Workspace(spark, sf).panel, S.VARIABLES, S.WINDOWS, 0.35)
 
 
 @register("stays_sampled", "stay_id:i", """
@@ -258,27 +258,27 @@ def stays_sampled(spark, sf):
 
 @register("cohort_splits", "stay_id:i split:s", "SELECT stay_id, split FROM cohort")
 def cohort_splits(spark, sf):
-    return S.cohort(spark, sf)
+    return S.Workspace(spark, sf).cohort
 
 
 @register("validation_subsets", "stay_id:i subset:s", "SELECT * FROM subsets")
 def validation_subsets(spark, sf):
-    return S.subsets(spark, sf)
+    return S.Workspace(spark, sf).subsets
 
 
 @register("panel_of_split", "stay_id:i variable:s hour:i value:d",
           "SELECT p.* FROM panel p SEMI JOIN (SELECT stay_id FROM cohort WHERE split = 'val') USING (stay_id)")
 def panel_of_split(spark, sf):
-    p = S.panel(spark, sf)
-    return C.route(p, S.cohort(spark, sf, p), "val")
+    ws = S.Workspace(spark, sf)
+    return C.route(ws.panel, ws.cohort, "val")
 
 
 @register("cohort_panel_store", "split:s variable:s n_cells:i total:d", """
 SELECT split, variable, count(*) AS n_cells, sum(value) AS total FROM panel JOIN cohort USING (stay_id) GROUP BY ALL""")
 def cohort_panel_store(spark, sf):
     root = scratch(spark, "cohort")
-    p = S.panel(spark, sf)
-    sinks.write_cohort_and_panel(S.cohort(spark, sf, p), p, root)
+    ws = S.Workspace(spark, sf)
+    sinks.write_cohort_and_panel(ws.cohort, ws.panel, root)
     stays, cells = sinks.read_cohort_and_panel(spark, root)
     return cells.join(stays.select("stay_id", "split"), "stay_id").groupBy("split", "variable").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"))

@@ -39,8 +39,8 @@ K = 10
 
 @register("grid_dense", "stay_id:i variable:s hour:i value:d", "SELECT stay_id, variable, hour, value FROM grid")
 def grid_dense(spark, sf):
-    p = S.panel(spark, sf)
-    return harmonize.grid(S.cohort(spark, sf, p), p, S.VARIABLES, S.WINDOWS)
+    ws = S.Workspace(spark, sf)
+    return harmonize.grid(ws.cohort, ws.panel, S.VARIABLES, S.WINDOWS)
 
 
 @register("gaps_interpolated", "stay_id:i variable:s hour:i value:d", "SELECT stay_id, variable, hour, value FROM interp")
@@ -59,27 +59,27 @@ def gaps_strict(spark, sf):
 @register("observation_horizon_cut", "stay_id:i variable:s part:s hour:i value:d",
           "SELECT stay_id, variable, part, hour, value FROM cut")
 def cut_query(spark, sf):
-    return S.cut_grid(spark, sf)
+    return S.Workspace(spark, sf).tensors()
 
 
 @register("observation_summary", "stay_id:i variable:s last:d mean:d std:d slope:d n_obs:i recent_mean:d", "SELECT * FROM summary")
 def observation_summary(spark, sf):
-    return features.summarize(S.cut_grid(spark, sf), S.WINDOWS, S.RECENT)
+    return features.summarize(S.Workspace(spark, sf).tensors(), S.WINDOWS, S.RECENT)
 
 
 @register("reference_statistics", "variable:s median:d q1:d q3:d std:d n:i", "SELECT * FROM reference")
 def reference_statistics(spark, sf):
-    return features.reference_stats(S.cut_grid(spark, sf, "train"))
+    return features.reference_stats(S.Workspace(spark, sf).tensors().filter(F.col("split") == "train"))
 
 
 @register("fill_for_unobserved", "variable:s fill_value:d fill_width:d", "SELECT * FROM fill")
 def fill_query(spark, sf):
-    return S.fill(spark, sf)
+    return S.Workspace(spark, sf).fill
 
 
 @register("neighbour_features", "stay_id:i feature:i value:d", "SELECT stay_id, feature, value FROM long_features")
 def neighbour_features(spark, sf):
-    vectors = features.knn_vector(S.summary(spark, sf), S.VARIABLES)
+    vectors = features.knn_vector(S.Workspace(spark, sf).series(), S.VARIABLES)
     return vectors.select("stay_id", F.posexplode("vector").alias("feature", "value"))
 
 
@@ -88,11 +88,13 @@ SELECT stay_id, coalesce(max(last) FILTER (variable = 'click'), 0.0) AS click_la
   coalesce(max(slope) FILTER (variable = 'purchase'), 0.0) AS purchase_slope, coalesce(max(mean) FILTER (variable = 'view'), 0.0) AS view_mean,
   coalesce(max(std) FILTER (variable = 'view'), 0.0) AS view_std FROM summary GROUP BY stay_id""")
 def tree_features(spark, sf):
-    return features.tree_vector(S.summary(spark, sf), S.VARIABLES)
+    return features.tree_vector(S.Workspace(spark, sf).series(), S.VARIABLES)
 
 
 def _normalised(spark, sf):
-    return features.normalise(S.cut_grid(spark, sf), features.normalisation(S.cut_grid(spark, sf, "train")))
+    ws = S.Workspace(spark, sf)
+    train = ws.cells.filter(F.col("split") == "train")
+    return features.normalise(ws.cells, features.normalisation(train))
 
 
 @register("normalised_values", "stay_id:i variable:s hour:i z:d", "SELECT * FROM zed")
@@ -119,37 +121,37 @@ def delta_anchor(spark, sf):
     return features.anchor(_normalised(spark, sf))
 
 
-def knn_inputs(spark, sf, query_split="test"):
-    train = features.knn_vector(S.summary(spark, sf, "train"), S.VARIABLES)
-    scaler = similarity.fit(train)
-    queries = features.knn_vector(S.summary(spark, sf, query_split), S.VARIABLES)
-    return similarity.standardise(queries, scaler), similarity.standardise(train, scaler)
+def knn_vectors(ws):
+    """Scaler of the training stays and the standardised vectors of all, by split."""
+    vectors = features.knn_vector(ws.series(), S.VARIABLES).join(ws.cohort.select("stay_id", "split"), "stay_id")
+    scaler = similarity.fit(vectors.filter(F.col("split") == "train"))
+    pick = lambda split: similarity.standardise(vectors.filter(F.col("split") == split), scaler)
+    return vectors, scaler, pick
 
 
-def neighbours(spark, sf, k=K):
-    return similarity.knn_join(*knn_inputs(spark, sf), k=k)
+def neighbours(ws, k=K):
+    _, _, pick = knn_vectors(ws)
+    return similarity.knn_join(pick("test"), pick("train"), k=k)
 
 
-def train_horizon(spark, sf):
-    return S.cut_grid(spark, sf, "train").filter(F.col("part") == "horizon").drop("part")
+def train_horizon(ws):
+    return ws.cells.filter((F.col("part") == "horizon") & (F.col("split") == "train")).drop("part", "split")
 
 
 @register("standardised_features", "stay_id:i feature:i x:d", "SELECT stay_id, feature, x FROM scaled")
 def standardised(spark, sf):
-    train = features.knn_vector(S.summary(spark, sf, "train"), S.VARIABLES)
-    everyone = features.knn_vector(S.summary(spark, sf), S.VARIABLES)
-    return similarity.standardise(everyone, similarity.fit(train)).select("stay_id", F.posexplode("vector").alias("feature", "x"))
+    vectors, scaler, _ = knn_vectors(S.Workspace(spark, sf))
+    return similarity.standardise(vectors, scaler).select("stay_id", F.posexplode("vector").alias("feature", "x"))
 
 
 @register("nearest_neighbours", "query_id:i neighbor_id:i distance:d rank:i", "SELECT * FROM near")
 def nearest(spark, sf):
-    return neighbours(spark, sf)
+    return neighbours(S.Workspace(spark, sf))
 
 
 @register("nearest_embeddings", "query_id:i neighbor_id:i distance:d rank:i", """
 SELECT query_id, neighbor_id, distance, rank FROM (
-  SELECT q.vec_id AS query_id, t.vec_id AS neighbor_id, sqrt(list_sum(list_transform(range(1, 65), i ->
-      pow(q.embedding[i]::DOUBLE - t.embedding[i]::DOUBLE, 2)))) AS distance,
+  SELECT q.vec_id AS query_id, t.vec_id AS neighbor_id, list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS distance,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, t.vec_id) AS rank
   FROM embeddings q JOIN embeddings t ON t.label <> 0 WHERE q.label = 0) WHERE rank <= 5""")
 def nearest_embeddings(spark, sf):
@@ -161,12 +163,16 @@ def nearest_embeddings(spark, sf):
 
 @register("neighbour_mean_trajectory", "query_id:i variable:s hour:i mean_value:d n_values:i", "SELECT * FROM trajectory")
 def neighbour_trajectory(spark, sf):
-    return similarity.mean_trajectory(neighbours(spark, sf), train_horizon(spark, sf))
+    ws = S.Workspace(spark, sf)
+    horizon = train_horizon(ws)
+    return similarity.mean_trajectory(neighbours(ws), horizon)
 
 
 @register("neighbour_outcome_quartiles", "query_id:i variable:s lead:i n_values:i q1:d median:d q3:d", "SELECT * FROM spread")
 def neighbour_quartiles(spark, sf):
-    return similarity.trajectory_quantiles(neighbours(spark, sf), train_horizon(spark, sf), S.WINDOWS)
+    ws = S.Workspace(spark, sf)
+    horizon = train_horizon(ws)
+    return similarity.trajectory_quantiles(neighbours(ws), horizon, S.WINDOWS)
 
 
 @register("neighbour_horizon_mean", "query_id:i variable:s horizon_mean:d", "SELECT * FROM horizon_means")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 _CASTS = {"i": "long", "s": "string", "b": "boolean"}
 _SQL_CASTS = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN"}
-DECIMALS = 6
+DECIMALS = 5
+# Added before rounding on both sides, so that a value exactly halfway (a short
+# decimal divided by a power of two) rounds the same way in both engines.
+NUDGE = 7e-10
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ def part(name: str, sql: str) -> None:
 
 
 def register(name: str, columns: str, sql: str | None = None):
-    """``columns`` like 'stay_id:i value:d'; i long, d double rounded to six places,
+    """``columns`` like 'stay_id:i value:d'; i long, d double rounded to five places,
     s string, b boolean. Both sides are projected to exactly these."""
     spec = tuple(tuple(c.split(":")) for c in columns.split())
 
@@ -45,7 +48,7 @@ def register(name: str, columns: str, sql: str | None = None):
 
 def tidy(df: DataFrame, spec) -> DataFrame:
     return df.select(*[
-        F.round(F.col(n).cast("double"), DECIMALS).alias(n) if t == "d" else F.col(n).cast(_CASTS[t]).alias(n)
+        F.round(F.col(n).cast("double") + NUDGE, DECIMALS).alias(n) if t == "d" else F.col(n).cast(_CASTS[t]).alias(n)
         for n, t in spec])
 
 
@@ -79,7 +82,7 @@ def _needed(sql: str) -> list[str]:
 def oracle(q: Query) -> str:
     head = ",\n".join(f"{n} AS (\n{PARTS[n]}\n)" for n in _needed(q.sql))
     outer = ", ".join(
-        f'round(CAST("{n}" AS DOUBLE), {DECIMALS}) AS "{n}"' if t == "d" else f'CAST("{n}" AS {_SQL_CASTS[t]}) AS "{n}"'
+        f'round(CAST("{n}" AS DOUBLE) + {NUDGE!r}, {DECIMALS}) AS "{n}"' if t == "d" else f'CAST("{n}" AS {_SQL_CASTS[t]}) AS "{n}"'
         for n, t in q.columns)
     final = f"final_result AS (\n{q.sql.strip()}\n)"
     return f"WITH {head + ',' if head else ''}\n{final}\nSELECT {outer} FROM final_result"

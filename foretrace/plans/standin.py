@@ -7,13 +7,17 @@ and patients, ``part`` for the item dictionary and ``lineitem`` for item events.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.functions.draws import draw
+from foretrace.functions.durable import durable
 from foretrace.operators import cohort as C
-from foretrace.operators import critic, features, forecast, harmonize, postprocess
+from foretrace.operators import features, forecast, harmonize, postprocess
 from foretrace.operators import panel as P
+from foretrace.operators.stats import deterioration_flags
 from foretrace.settings import CHART_SOURCE, LAB_SOURCE, PostprocessParams, Variable, Windows
 
 WINDOWS = Windows(obs=15, horizon=15, bin_seconds=86_400)
@@ -33,6 +37,8 @@ VARIABLES = [
 ]
 NAMES = [v.name for v in VARIABLES]
 LAB_OFFSET = 1_000_000_000
+LOOKAHEAD = 5
+PARAMS = PostprocessParams(drift_damping=0.5, level_anchor_weight=0.25)
 CONDITIONS = ["single_model_llm", "full_pipeline", "full_pipeline_no_critic",
               "single_model_llm@alt", "full_pipeline@alt", "full_pipeline_no_critic@alt"]
 PLAIN = ["single_model_llm", "full_pipeline", "full_pipeline_no_critic"]
@@ -72,34 +78,82 @@ def aligned(spark, sf) -> DataFrame:
     return P.align(chart, items, st, WINDOWS).unionByName(P.align(lab, items, st, WINDOWS, key="hadm_id"))
 
 
-def panel(spark, sf) -> DataFrame:
-    return P.resample(P.drop_invalid(aligned(spark, sf), VARIABLES))
+class Workspace:
+    """The shared stages of one query run. Each table is written once and read by
+    everything after it, as the stages of a batch job would."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return durable(P.resample(P.drop_invalid(aligned(self.spark, self.sf), VARIABLES)))
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        covered = C.coverage(self.panel, len(VARIABLES), WINDOWS, COVERAGE)
+        kept = durable(C.keep_covered(stays(self.spark, self.sf), covered))
+        return durable(C.assign_splits(kept, 0.7, 0.15, SEED))
+
+    @cached_property
+    def subsets(self) -> DataFrame:
+        return durable(C.validation_subsets(self.cohort, N_TUNE, SEED).select("stay_id", "subset"))
 
+    def tensors(self) -> DataFrame:
+        """Interpolated grid cut into observation and horizon, with the stay's split (lazy)."""
+        return harmonize.tensors(self.cohort, self.panel, VARIABLES, WINDOWS, carry=("split",))
 
-def cohort(spark, sf, panel_df: DataFrame | None = None) -> DataFrame:
-    covered = C.coverage(panel(spark, sf) if panel_df is None else panel_df, len(VARIABLES), WINDOWS, COVERAGE)
-    return C.assign_splits(C.keep_covered(stays(spark, sf), covered), 0.7, 0.15, SEED)
+    @cached_property
+    def cells(self) -> DataFrame:
+        return durable(self.tensors())
 
+    @cached_property
+    def all_series(self) -> DataFrame:
+        cells = self.__dict__.get("cells") or self.tensors()
+        return durable(features.summarize(cells, WINDOWS, RECENT, keep_truth=True, carry=("split",)))
 
-def cut_grid(spark, sf, split: str | None = None) -> DataFrame:
-    """Interpolated grid cut into observation and horizon, with the stay's split."""
-    p = panel(spark, sf)
-    c = cohort(spark, sf, p)
-    if split:
-        c = c.filter(F.col("split").isin(split.split(",")))
-    return harmonize.tensors(c, p, VARIABLES, WINDOWS)
+    def series(self, split: str | None = None) -> DataFrame:
+        """One row per (stay, variable): summary, split and horizon truth."""
+        return self.all_series if split is None else self.all_series.filter(F.col("split") == split)
 
+    @cached_property
+    def reference(self) -> DataFrame:
+        return durable(features.reference_stats(self.cells.filter(F.col("split") == "train")))
 
-def summary(spark, sf, split: str | None = None, recent: int = RECENT) -> DataFrame:
-    return features.summarize(cut_grid(spark, sf, split), WINDOWS, recent, keep_truth=True)
+    @cached_property
+    def fill(self) -> DataFrame:
+        return durable(features.naive_fill(self.reference, VARIABLES))
 
+    def persistence(self, split: str = "test") -> DataFrame:
+        return forecast.persistence(self.with_fill().series(split), WINDOWS, fill=self.fill)
 
-def fill(spark, sf) -> DataFrame:
-    return features.naive_fill(features.reference_stats(cut_grid(spark, sf, "train")), VARIABLES)
+    def with_fill(self) -> "Workspace":
+        """Fill first: it materialises the cells the series are then made from."""
+        self.fill
+        return self
 
+    @property
+    def calibration_series(self) -> DataFrame:
+        chosen = self.subsets.filter(F.col("subset") == "calibration").select("stay_id")
+        return self.with_fill().series("val").join(chosen, "stay_id", "left_semi")
 
-def persistence(spark, sf, split: str = "test") -> DataFrame:
-    return forecast.persistence(summary(spark, sf, split), WINDOWS, fill=fill(spark, sf))
+    def raw(self, which: str = "test", conditions=None) -> DataFrame:
+        """Model forecasts before post-processing, of the test or calibration stays."""
+        series = self.calibration_series if which == "calibration" else self.with_fill().series(which)
+        return model_raw(series, self.fill, conditions)
+
+    def recent(self) -> DataFrame:
+        return self.series().select("stay_id", "variable", "recent_mean")
+
+    def finished(self, which: str = "test", conditions=None) -> DataFrame:
+        """Model forecasts as reported: post-processed, clipped where a critic ends them."""
+        return postprocess.apply(self.raw(which, conditions), self.recent(), VARIABLES, PARAMS, critic_stage="final")
+
+    def flags(self) -> DataFrame:
+        """Deterioration flags: high error events play the drug starts."""
+        starts = table(self.spark, self.sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 120)).select(
+            F.col("user_id").alias("stay_id"), F.col("ts").alias("starttime"))
+        return deterioration_flags(self.cohort, starts, WINDOWS, LOOKAHEAD)
 
 
 def _signed(*parts) -> Column:
@@ -122,38 +176,6 @@ def model_raw(summary_df: DataFrame, fill_df: DataFrame | None, conditions=None)
         raw.alias("y_raw"), (raw - F.col("half")).alias("y_lower"), (raw + F.col("half")).alias("y_upper"))
 
 
-def recent_of(summary_df: DataFrame) -> DataFrame:
-    return summary_df.select("stay_id", "variable", "recent_mean")
-
-
-PARAMS = PostprocessParams(drift_damping=0.5, level_anchor_weight=0.25)
-
-
-def finished(summary_df: DataFrame, fill_df: DataFrame | None, conditions=None) -> DataFrame:
-    """Model forecasts as reported: post-processed, clipped where a critic ends them."""
-    raw = model_raw(summary_df, fill_df, conditions)
-    return postprocess.apply(raw, recent_of(summary_df), VARIABLES, PARAMS, critic_stage="final")
-
-
-def subsets(spark, sf) -> DataFrame:
-    return C.validation_subsets(cohort(spark, sf), N_TUNE, SEED)
-
-
-def calibration_summary(spark, sf) -> DataFrame:
-    """Summary of the validation stays kept for calibration."""
-    chosen = subsets(spark, sf).filter(F.col("subset") == "calibration").select("stay_id")
-    return summary(spark, sf, "val").join(chosen, "stay_id", "left_semi")
-
-
-def flags(spark, sf, stay_df: DataFrame) -> DataFrame:
-    """Deterioration flags: error events above a level play the drug starts."""
-    from foretrace.operators.stats import deterioration_flags
-
-    starts = table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 120)).select(
-        F.col("user_id").alias("stay_id"), F.col("ts").alias("starttime"))
-    return deterioration_flags(stay_df, starts, WINDOWS, 5)
-
-
 def corrections(raw: DataFrame, y: str = "y_raw", keys=("condition", "stay_id", "variable")) -> DataFrame:
     """Stand-in for a critic's answers: two attempts per hashed third of the series,
     the first pulling values halfway to 70, the second fully inside; some of the
