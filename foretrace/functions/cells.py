@@ -32,8 +32,8 @@ def bounds(variables: Iterable[Variable], kind: str, key: Column | str = "variab
 
 
 def clip(value: Column, low: Column, high: Column) -> Column:
-    """Null-safe clip; a null bound is open and a null value stays null."""
-    return F.when(value < low, low).when(value > high, high).otherwise(value)
+    """A null bound is open (greatest and least skip nulls) and a null value stays null."""
+    return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
 
 
 def outside(value: Column, low: Column, high: Column) -> Column:

@@ -12,6 +12,8 @@ from foretrace.operators.stats import bootstrap_draws, bootstrap_interval
 from foretrace.functions.draws import hashed_position
 
 HOUR_BAND = 8
+# The calibration cell that defines a factor lies exactly on its own bound.
+SLACK = 1e-9
 
 
 def conformal_rank(n: Column, percent: int) -> Column:
@@ -60,7 +62,7 @@ def before_after(forecasts: DataFrame, factors: DataFrame, keys=("condition", "v
         F.col("y_true").isNotNull() & F.col("_lo").isNotNull() & F.col("_hi").isNotNull(),
         F.col("y_true").between(F.col("_lo"), F.col("_hi")).cast("double"))
     out = after.groupBy(*keys).agg(
-        F.avg(was).alias("coverage_before"), F.avg(inside()).alias("coverage_after"),
+        F.avg(was).alias("coverage_before"), F.avg(inside(SLACK)).alias("coverage_after"),
         F.avg(F.col("_hi") - F.col("_lo")).alias("width_before"),
         F.avg(F.col("y_upper") - F.col("y_lower")).alias("width_after"))
     return out.join(factor_cols, keys, "left") if keys == ["condition", "variable"] else out
@@ -102,8 +104,10 @@ def hour_band(width: int = HOUR_BAND) -> Column:
 
 
 def covered_by(factor: Column) -> Column:
-    """Cell indicator |error| <= factor * half-width, null when anything is missing."""
-    return (F.abs(F.col("y_true") - F.col("y_pred")) <= factor * half_width()).cast("double")
+    """Cell indicator |error| <= factor * half-width, null when anything is missing.
+    Written as score <= factor, so the cell that defines the factor is covered."""
+    error, w = F.abs(F.col("y_true") - F.col("y_pred")), half_width()
+    return F.when(w > 0, error / F.nullif(w, F.lit(0.0)) <= factor).otherwise(error <= factor * w).cast("double")
 
 
 def by_group(calibration: DataFrame, test: DataFrame, group: str, percent: int = 90) -> DataFrame:

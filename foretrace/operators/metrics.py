@@ -89,10 +89,13 @@ def per_stay_smape(forecasts: DataFrame, keys=("condition",)) -> DataFrame:
     return forecasts.groupBy(*keys, "stay_id").agg(smape_col().alias("smape"))
 
 
-def inside() -> Column:
+def inside(slack: float = 0.0) -> Column:
+    """Cell indicator, ends included; ``slack`` widens the interval by that share."""
+    low, high = F.col("y_lower"), F.col("y_upper")
+    margin = slack * (high - low) if slack else F.lit(0.0)
     return F.when(
-        F.col("y_true").isNotNull() & F.col("y_lower").isNotNull() & F.col("y_upper").isNotNull(),
-        F.col("y_true").between(F.col("y_lower"), F.col("y_upper")).cast("double"))
+        F.col("y_true").isNotNull() & low.isNotNull() & high.isNotNull(),
+        F.col("y_true").between(low - margin, high + margin).cast("double"))
 
 
 def coverage(forecasts: DataFrame, keys=("condition", "variable")) -> DataFrame:

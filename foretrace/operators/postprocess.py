@@ -43,9 +43,14 @@ def is_clipped(condition: str = "condition", critic_stage: str = "final") -> Col
     return base.isin(*CRITIC_CONDITIONS) if critic_stage == "final" else F.lit(False)
 
 
-def _final(value: Column, variables: list[Variable], clipped: Column) -> Column:
-    value = clip(value, *bounds(variables, "hard"))
-    return F.when(clipped, clip(value, *bounds(variables, "plausible"))).otherwise(value)
+def _finish(df: DataFrame, damping: Column, weight: Column, variables: list[Variable], clipped: Column) -> DataFrame:
+    """Adds ``y_pred``. One named step per clip keeps the generated code small."""
+    return (
+        df.withColumn("_adjusted", adjusted(damping, weight))
+        .withColumn("_hard", clip(F.col("_adjusted"), *bounds(variables, "hard")))
+        .withColumn("y_pred", F.when(clipped, clip(F.col("_hard"), *bounds(variables, "plausible"))).otherwise(F.col("_hard")))
+        .drop("_adjusted", "_hard")
+    )
 
 
 def apply(raw: DataFrame, recent: DataFrame, variables: list[Variable],
@@ -66,7 +71,7 @@ def apply(raw: DataFrame, recent: DataFrame, variables: list[Variable],
         params = params or PostprocessParams()
         damping, weight = F.lit(params.drift_damping), F.lit(params.level_anchor_weight)
     clipped = is_clipped(critic_stage=critic_stage) if critic_stage else F.lit(False)
-    out = df.withColumn("y_pred", _final(adjusted(damping, weight), variables, clipped))
+    out = _finish(df, damping, weight, variables, clipped)
     if "y_lower" in raw.columns:
         out = with_interval(out, half_width())
     return out.drop("y_first", "recent_mean", "drift_damping", "level_anchor_weight")
@@ -91,8 +96,7 @@ def contributions(raw: DataFrame, recent: DataFrame, variables: list[Variable],
         F.struct(F.lit(i).alias("setting"), F.lit(d).alias("d"), F.lit(w).alias("w"))
         for i, (d, w) in enumerate(product(*GRIDS[grid]))]))
     clipped = is_clipped(critic_stage=critic_stage) if critic_stage else F.lit(False)
-    df = df.withColumn("s", settings).withColumn(
-        "y_pred", _final(adjusted(F.col("s.d"), F.col("s.w")), variables, clipped))
+    df = _finish(df.withColumn("s", settings), F.col("s.d"), F.col("s.w"), variables, clipped)
     sums = df.groupBy(*keys, F.col("s.setting").alias("setting"), F.col("s.d").alias("drift_damping"),
                       F.col("s.w").alias("level_anchor_weight"), "variable").agg(
         F.sum(F.col("_w") * smape_cell()).alias("_t"), F.sum("_w").alias("_n"))
