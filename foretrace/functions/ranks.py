@@ -54,7 +54,6 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
     if keys:
         sized = cum.join(cum.groupBy(*keys).agg(F.max("n_cum").alias("n_rows")), keys)
     else:
-        everything = Window.partitionBy(F.lit(0))
         total = cum.agg(F.max("n_cum")).first()[0]
         sized = cum.withColumn("n_rows", F.lit(total).cast("long"))
     holds = lambda r: (F.col("n_cum") - F.col("n") < r) & (r <= F.col("n_cum"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import half_width
-from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles
+from foretrace.functions.draws import hashed_position
+from foretrace.functions.durable import durable
+from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles, running_totals
 from foretrace.operators.metrics import inside, per_stay_smape, two_sample_ks
 from foretrace.operators.stats import bootstrap_draws, bootstrap_interval
-from foretrace.functions.draws import hashed_position
 
 HOUR_BAND = 8
 # The calibration cell that defines a factor lies exactly on its own bound.
@@ -71,7 +72,7 @@ def before_after(forecasts: DataFrame, factors: DataFrame, keys=("condition", "v
 def report(calibration: DataFrame, percent: int = 90) -> DataFrame:
     """Per condition and variable: factor, coverage and width before and after,
     with the condition's pooled coverage and mean per-stay sMAPE."""
-    factors = conformal_factors(calibration, percent=percent)
+    factors = durable(conformal_factors(calibration, percent=percent))
     per_variable = before_after(calibration, factors)
     pooled = before_after(calibration, factors, ("condition",)).select(
         "condition", F.col("coverage_before").alias("pooled_before"), F.col("coverage_after").alias("pooled_after"))
@@ -145,7 +146,9 @@ def diagnose(calibration: DataFrame, test: DataFrame, percent: int = 90) -> Data
     sets, score median and 90th percentile, and the KS distance of the scores."""
     keys = ["condition", "variable"]
     factors = conformal_factors(calibration, keys, percent).select(*keys, "factor")
-    tagged = with_score(calibration.withColumn("set", F.lit("cal")).unionByName(test.withColumn("set", F.lit("test"))))
+    columns = [*keys, "stay_id", "y_true", "y_pred", "y_lower", "y_upper"]
+    tagged = with_score(calibration.select(*columns, F.lit("cal").alias("set")).unionByName(
+        test.select(*columns, F.lit("test").alias("set"))))
     cells = tagged.join(factors, keys)
     hit = covered_by(F.col("factor"))
     per_stay = cells.groupBy(*keys, "factor", "set", "stay_id").agg(
@@ -180,8 +183,8 @@ def bootstrap_coverage(test: DataFrame, factors: DataFrame, resamples: int = 100
     """5-95 % interval of the coverage over resampled stays (ratio of sums)."""
     keys = ["condition", "variable"]
     hit = covered_by(F.col("factor"))
-    stays = test.join(factors.select(*keys, "factor"), keys).groupBy(*keys, "stay_id").agg(
-        F.sum(hit).alias("hits"), F.count(hit).alias("cells")).filter(F.col("cells") > 0)
+    stays = durable(test.join(factors.select(*keys, "factor"), keys).groupBy(*keys, "stay_id").agg(
+        F.sum(hit).alias("hits"), F.count(hit).alias("cells")).filter(F.col("cells") > 0))
     placed = hashed_position(stays, seed, "stay_id", tuple(keys))
     drawn = bootstrap_draws(placed, keys, resamples, seed).join(
         placed.select(*keys, "position", "hits", "cells"), [*keys, "position"])
@@ -195,10 +198,8 @@ def bootstrap_factor(calibration: DataFrame, resamples: int = 500, percent: int
     A resample is a multiplicity per stay, so the factor is a weighted order
     statistic: scores are never replicated, only their weights are.
     """
-    from foretrace.functions.ranks import running_totals
-
     keys = ["condition", "variable"]
-    scored = with_score(calibration).filter(F.col("y_true").isNotNull()).select(*keys, "stay_id", "score")
+    scored = durable(with_score(calibration).filter(F.col("y_true").isNotNull()).select(*keys, "stay_id", "score"))
     placed = hashed_position(scored.select(*keys, "stay_id").distinct(), seed, "stay_id", tuple(keys))
     weights = bootstrap_draws(placed, keys, resamples, seed).groupBy(*keys, "b", "position").agg(
         F.count(F.lit(1)).alias("weight"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import bounds, clip
+from foretrace.functions.durable import durable
 from foretrace.operators.features import DEFAULT_FILL, interval_scale, tree_vector
 from foretrace.settings import PERSISTENCE_CONDITIONS, Variable, Windows, validate_conditions
 
@@ -91,7 +92,8 @@ def gbt_fit(train_summary: DataFrame, variables: list[Variable], windows: Window
     cells, features = _tree_cells(train_summary, variables, windows)
     cells = cells.filter(F.col("y_true").isNotNull())
     counts = cells.groupBy("variable", "hour").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_TARGETS)
-    usable = cells.join(F.broadcast(counts.drop("n")), ["variable", "hour"], "left_semi").cache()
+    usable = cells.join(F.broadcast(counts.drop("n")), ["variable", "hour"], "left_semi")
+    usable = durable(usable)
     regressor = GBTRegressor(featuresCol="features", labelCol="y_true", predictionCol="fitted",
                              maxDepth=max_depth, maxIter=max_iter, stepSize=learning_rate, seed=0)
     models, parts = {}, []

@@ -89,7 +89,9 @@ def contributions(raw: DataFrame, recent: DataFrame, variables: list[Variable],
         raise ValueError(f"unknown grid {grid!r}")
     keys = list(keys)
     both = F.col("y_true").isNotNull() & F.col("y_raw").isNotNull()
-    df = with_first(raw, [*keys, "stay_id", "variable"]).filter(both)
+    # One shuffle serves both windows below.
+    placed = raw.repartition(*keys, "stay_id")
+    df = with_first(placed, [*keys, "stay_id", "variable"]).filter(both)
     df = df.withColumn("_w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys, "stay_id")))
     df = df.join(recent.select("stay_id", "variable", "recent_mean"), ["stay_id", "variable"], "left")
     settings = F.explode(F.array(*[

@@ -23,6 +23,8 @@ from foretrace.settings import Windows
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
+# Rows bounded at once in a task: times pivots times k doubles.
+VISIT_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -133,9 +135,7 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLO
 
     def visits(batches):
         """Per query: its own cell (used to form query blocks) and the cells to visit."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[i:i + VISIT_ROWS] for b in batches for i in range(0, len(b), VISIT_ROWS)):
             d = np.sqrt(_squared(_matrix(pdf["vector"]), pivots))
             own = d.argmin(axis=1)
             d = d[:, cells]

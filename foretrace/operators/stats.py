@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foretrace.functions.cells import seconds_between, smape_cell
 from foretrace.functions.draws import digest, hashed_position, word
+from foretrace.functions.durable import durable
 from foretrace.functions.pvalues import rank_sum_p, wilcoxon_p
 from foretrace.functions.ranks import running_totals
 from foretrace.operators import critic
@@ -70,7 +71,8 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
     if not keys:
         one = bootstrap_ci(df.withColumn("_g", F.lit(0)), ["_g"], value, resamples, alpha, seed, id_col, method)
         return one.drop("_g")
-    known = df.filter(F.col(value).isNotNull()).select(*keys, id_col, F.col(value).alias("_v"))
+    # Read for the mean, the positions and the draws: its history runs once.
+    known = durable(df.filter(F.col(value).isNotNull()).select(*keys, id_col, F.col(value).alias("_v")))
     point = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     if method == "poisson":
         one = known.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS_PER_DIGEST))))
@@ -104,7 +106,7 @@ def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group
     if not keys:
         return wilcoxon(df.withColumn("_g", F.lit(0)), ["_g"], d, p_value, group_limit).drop("_g")
     limit = {"group_limit": group_limit} if group_limit else {}
-    known = df.filter(F.col(d).isNotNull()).withColumn("_a", F.abs(F.col(d)))
+    known = df.filter(F.col(d).isNotNull()).select(*keys, d).withColumn("_a", F.abs(F.col(d)))
     zeros = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_a") == 0, 1)).alias("zeros"))
     cum = running_totals(known.filter(F.col("_a") > 0), keys, "_a", {
         "c": F.lit(1), "pos": F.when(F.col(d) > 0, 1).otherwise(0)}, **limit)
@@ -177,7 +179,7 @@ def compare_many(forecasts: DataFrame, pairs: list[tuple[str, str]], resamples:
     """Every listed pair: paired count, both means with bootstrap intervals and
     the signed-rank test (ten pairs or more, not all equal). A pair with a
     missing condition has no row."""
-    paired = paired_errors(forecasts, pairs)
+    paired = durable(paired_errors(forecasts, pairs))
     long = paired.select("comparison", "stay_id", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("smape_a").alias("smape")),
         F.struct(F.lit("b").alias("side"), F.col("smape_b").alias("smape")))).alias("s")).select(
@@ -290,7 +292,7 @@ def pooled_compare(forecasts: DataFrame, flags: DataFrame, pairs: list[tuple[str
                    alpha: float = 0.05, seed: int = 42, p_value: bool = True) -> DataFrame:
     """(comparison, scope, subgroup): n, mean difference, share where the first
     is better, signed-rank test, and the pooled bootstrap interval."""
-    scoped = pooled_scopes(paired_errors(forecasts, pairs, ("sample",)), flags)
+    scoped = durable(pooled_scopes(paired_errors(forecasts, pairs, ("sample",)), flags))
     keys = ["comparison", "scope", "subgroup"]
     base = scoped.groupBy(*keys).agg(
         F.avg("d").alias("mean_diff"), F.avg((F.col("d") < 0).cast("double")).alias("share_a_better"))
