@@ -9,12 +9,13 @@ from foretrace.functions.durable import durable
 
 # Largest group (in distinct values) that one task may sort.
 GROUP_LIMIT = 1_000_000
+MAX_PARTS = 20_000
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
                    group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row per (keys, distinct ``order`` value) with every sum and its running
-    total ``<name>_cum`` (inclusive) in ascending order of the value.
+    """One row per (keys, distinct ``order`` value) with every sum, its running
+    total ``<name>_cum`` (inclusive, ascending) and the key's ``<name>_total``.
 
     Equal values are combined before the shuffle, so a hot value costs one row
     per map task. The combined rows are materialised once; if some group still
@@ -26,24 +27,29 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, C
     pre = durable(df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     sizes = pre.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum("c")).first()
     biggest, total = (sizes[0] or 0), (sizes[1] or 0)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
     if biggest <= group_limit:
-        upto = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
-                .rowsBetween(Window.unboundedPreceding, 0))
-        return pre.select("*", *[F.sum(n).over(upto).alias(f"{n}_cum") for n in names])
+        upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return pre.select(
+            "*", *[F.sum(n).over(upto).alias(f"{n}_cum") for n in names],
+            *[F.sum(n).over(group).alias(f"{n}_total") for n in names])
 
-    parts = max(2, -(-4 * total // group_limit))
+    parts = min(MAX_PARTS, max(2, -(-4 * total // group_limit)))
+    # Materialised with its partition number: both readers below must agree on it.
     ranged = durable(pre.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
-    before = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_part").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-        .select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+        .select(*keys, "_part",
+                *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names],
+                *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in names])
     )
     inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.join(offsets, [*keys, "_part"])
         .select(*keys, order, *names,
-                *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"{n}_cum") for n in names])
+                *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"{n}_cum") for n in names],
+                *[F.col(f"{n}_total") for n in names])
     )
 
 
@@ -51,11 +57,7 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column
              group_limit: int = GROUP_LIMIT) -> DataFrame:
     """The values at given 1-based ranks per key; ``ranks`` are expressions of ``n_rows``."""
     cum = running_totals(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, group_limit)
-    if keys:
-        sized = cum.join(cum.groupBy(*keys).agg(F.max("n_cum").alias("n_rows")), keys)
-    else:
-        total = cum.agg(F.max("n_cum")).first()[0]
-        sized = cum.withColumn("n_rows", F.lit(total).cast("long"))
+    sized = cum.withColumnRenamed("n_total", "n_rows")
     holds = lambda r: (F.col("n_cum") - F.col("n") < r) & (r <= F.col("n_cum"))
     return sized.groupBy(*keys, "n_rows").agg(
         *[F.max(F.when(holds(r), F.col(value))).alias(name) for name, r in ranks.items()])

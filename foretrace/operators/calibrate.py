@@ -206,7 +206,5 @@ def bootstrap_factor(calibration: DataFrame, resamples: int = 500, percent: int
     stays = weights.join(placed.select(*keys, "stay_id", "position"), [*keys, "position"])
     cells = scored.filter(F.col("score").isNotNull()).join(stays, [*keys, "stay_id"])
     cum = running_totals(cells, [*keys, "b"], "score", {"n": F.col("weight")})
-    totals = cum.groupBy(*keys, "b").agg(F.max("n_cum").alias("n_rows"))
-    factors = cum.join(totals, [*keys, "b"]).filter(
-        F.col("n_cum") >= conformal_rank(F.col("n_rows"), percent)).groupBy(*keys, "b").agg(F.min("score").alias("value"))
+    factors = cum.filter(F.col("n_cum") >= conformal_rank(F.col("n_total"), percent)).groupBy(*keys, "b").agg(F.min("score").alias("value"))
     return bootstrap_interval(factors, keys, 0.10)

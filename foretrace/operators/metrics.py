@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foretrace.functions.cells import bounds, observed, outside, smape_cell
 from foretrace.functions.pvalues import ks_p
-from foretrace.functions.ranks import running_totals
+from foretrace.functions.ranks import quantiles, running_totals
 from foretrace.settings import Variable
 
 
@@ -30,8 +30,7 @@ def two_sample_ks(df: DataFrame, keys: list[str], value: str, is_first: Column,
     limit = {"group_limit": group_limit} if group_limit else {}
     cum = running_totals(df, keys, value, {
         "a": F.when(is_first, 1).otherwise(0), "b": F.when(is_first, 0).otherwise(1)}, **limit)
-    totals = cum.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    joined = cum.join(totals, keys).filter((F.col("n1") > 0) & (F.col("n2") > 0))
+    joined = cum.withColumnsRenamed({"a_total": "n1", "b_total": "n2"}).filter((F.col("n1") > 0) & (F.col("n2") > 0))
     gap = F.abs(F.col("a_cum") / F.col("n1") - F.col("b_cum") / F.col("n2"))
     return joined.groupBy(*keys, "n1", "n2").agg(F.max(gap).alias("ks_statistic"))
 
@@ -131,8 +130,6 @@ def trial_metrics(forecasts: DataFrame, variables: list[Variable], keys=("trial"
     """Scalars of one tuning trial: number of stays, mean and median per-stay
     sMAPE, coverage and mean violation rate, plus fallback and filled rates
     from ``flags`` (keys, stay_id, fallback, n_filled) when given."""
-    from foretrace.functions.ranks import quantiles
-
     keys = list(keys)
     stays = per_stay_smape(forecasts, keys)
     means = stays.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stays"), F.avg("smape").alias("smape_mean"))

@@ -92,7 +92,7 @@ class Workspace:
     @cached_property
     def cohort(self) -> DataFrame:
         covered = C.coverage(self.panel, len(VARIABLES), WINDOWS, COVERAGE)
-        kept = durable(C.keep_covered(stays(self.spark, self.sf), covered))
+        kept = C.keep_covered(stays(self.spark, self.sf), covered)
         return durable(C.assign_splits(kept, 0.7, 0.15, SEED))
 
     @cached_property
@@ -122,7 +122,7 @@ class Workspace:
 
     @cached_property
     def fill(self) -> DataFrame:
-        return durable(features.naive_fill(self.reference, VARIABLES))
+        return features.naive_fill(self.reference, VARIABLES)
 
     def persistence(self, split: str = "test") -> DataFrame:
         return forecast.persistence(self.with_fill().series(split), WINDOWS, fill=self.fill)
