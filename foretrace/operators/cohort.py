@@ -33,18 +33,24 @@ def eligible_stays(stays: DataFrame, patients: DataFrame, admissions: DataFrame,
 
 
 def extract_events(events: DataFrame, items: DataFrame, stays: DataFrame, window_hours: int,
-                   key: str = "stay_id", time_col: str = "charttime", value_col: str | None = "valuenum") -> DataFrame:
+                   key: str = "stay_id", time_col: str = "charttime", value_col: str | None = "valuenum",
+                   item_ids: list[int] | None = None) -> DataFrame:
     """Events of the wanted items inside [intime, intime + window] of an eligible
     stay, both ends included; only the needed columns are kept.
 
     Two semi-joins. Neither side is hinted: the optimizer broadcasts it only
-    when its size allows and shuffles otherwise, splitting skewed keys.
+    when its size allows and shuffles otherwise, splitting skewed keys. With
+    ``item_ids`` (see ``items.pushable_ids``) the item filter reaches the scan,
+    so row groups without a wanted item are skipped, and replaces its semi-join.
     """
     columns = [key, "itemid", time_col] + ([value_col] if value_col else [])
     wanted = events.select(*columns)
     if value_col:
         wanted = wanted.filter(F.col(value_col).isNotNull())
-    wanted = wanted.join(items.select("itemid").distinct(), "itemid", "left_semi")
+    if item_ids is not None:
+        wanted = wanted.filter(F.col("itemid").isin(item_ids))
+    else:
+        wanted = wanted.join(items.select("itemid").distinct(), "itemid", "left_semi")
     window = stays.select(
         F.col(key).alias("_key"), F.col("intime").alias("_from"),
         (F.col("intime") + F.expr(f"INTERVAL {int(window_hours)} HOURS")).alias("_to"))

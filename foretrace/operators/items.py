@@ -58,6 +58,13 @@ def with_unmatched(mapping: DataFrame, variables: list[Variable]) -> DataFrame:
     )
 
 
+def pushable_ids(mapping: DataFrame, limit: int = 1000) -> list[int] | None:
+    """The item ids as a list when there are at most ``limit`` of them, else None.
+    A list can be pushed into the event scan; a larger set stays a semi-join."""
+    rows = mapping.select("itemid").distinct().limit(limit + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= limit else None
+
+
 def item_ids(items: DataFrame, labels: list[str]) -> DataFrame:
     """Distinct item ids whose label contains any of ``labels``."""
     drug = Variable(name="drug", label_patterns=tuple(labels))

@@ -67,6 +67,8 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
     independent Poisson(1) weight per resample: one pass, no join, for groups
     too large to redraw.
     """
+    if method not in ("multinomial", "poisson"):
+        raise ValueError(f"unknown method {method!r}")
     keys = list(keys)
     if not keys:
         one = bootstrap_ci(df.withColumn("_g", F.lit(0)), ["_g"], value, resamples, alpha, seed, id_col, method)
@@ -84,13 +86,11 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
             *keys, "_v", F.col("_d.b").alias("b"), poisson_weight(F.col("_d.u")).alias("w"))
         means = weighted.groupBy(*keys, "b").agg(
             F.try_divide(F.sum(F.col("_v") * F.col("w")), F.sum("w")).alias("value"))
-    elif method == "multinomial":
+    else:
         placed = hashed_position(known, seed, id_col, tuple(keys))
         drawn = bootstrap_draws(placed, keys, resamples, seed).join(
             placed.select(*keys, "position", "_v"), [*keys, "position"])
         means = drawn.groupBy(*keys, "b").agg(F.avg("_v").alias("value"))
-    else:
-        raise ValueError(f"unknown method {method!r}")
     return point.join(bootstrap_interval(means, keys, alpha), keys)
 
 

@@ -167,7 +167,8 @@ FROM (SELECT w.*, l_returnflag FROM ({WINDOWED.replace('l_quantity AS value', 'l
 WHERE l_returnflag <> 'N' AND itemid IN (SELECT itemid FROM ({MAPPING_SQL}) WHERE source = '{CHART_SOURCE}')""")
 def chart_events(spark, sf):
     wanted = item_mapping(spark, sf).filter(F.col("source") == CHART_SOURCE)
-    out = C.extract_events(line_events(spark, sf), wanted, line_stays(spark, sf), DAYS * 24)
+    out = C.extract_events(line_events(spark, sf), wanted, line_stays(spark, sf), DAYS * 24,
+                           item_ids=items.pushable_ids(wanted))
     return out.select("stay_id", "itemid", F.date_diff("charttime", F.lit("1995-01-01").cast("date")).alias("day"),
                       F.col("valuenum").alias("value"))
 
