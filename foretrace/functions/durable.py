@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -32,3 +33,13 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/foretrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Keys whose combinations are configuration: a table with one row per combination
+# has at most (conditions x variables x groups) rows, whatever the data volume.
+CONFIG_KEYS = {"condition", "variable", "settings_key", "band", "window_group", "setting"}
+
+
+def small(df: DataFrame, keys) -> DataFrame:
+    """Broadcast a table keyed by configuration; leave any other to the optimizer."""
+    return F.broadcast(df) if set(keys) <= CONFIG_KEYS else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foretrace.functions.cells import half_width
 from foretrace.functions.draws import hashed_position
-from foretrace.functions.durable import durable
+from foretrace.functions.durable import durable, small
 from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles, running_totals
 from foretrace.operators.metrics import inside, per_stay_smape, two_sample_ks
 from foretrace.operators.stats import bootstrap_draws, bootstrap_interval
@@ -49,7 +49,7 @@ def scaled(forecasts: DataFrame, factor: Column) -> DataFrame:
 
 
 def apply(forecasts: DataFrame, factors: DataFrame, keys=("condition", "variable")) -> DataFrame:
-    joined = forecasts.join(factors.select(*keys, F.col("factor").alias("_f")), list(keys), "left")
+    joined = forecasts.join(small(factors.select(*keys, F.col("factor").alias("_f")), keys), list(keys), "left")
     return scaled(joined, F.col("_f")).drop("_f")
 
 
@@ -89,7 +89,8 @@ def apply_to_test(test: DataFrame, factors: DataFrame) -> DataFrame:
     """Before/after coverage and width on test forecasts of factors fitted under
     the same ``settings_key``; others are left out (see ``rejected``)."""
     keys = ["condition", "variable", "settings_key"]
-    matched = test.join(factors.select("condition", "settings_key").distinct(), ["condition", "settings_key"], "left_semi")
+    both = ["condition", "settings_key"]
+    matched = test.join(small(factors.select(*both).distinct(), both), both, "left_semi")
     fitted = factors.select(*keys, "factor")
     return before_after(matched.drop("settings_key"), fitted.drop("settings_key"))
 
@@ -118,7 +119,7 @@ def by_group(calibration: DataFrame, test: DataFrame, group: str, percent: int =
     keys = ["condition", "variable"]
     single = conformal_factors(calibration, keys, percent).select(*keys, F.col("factor").alias("single"))
     fine = conformal_factors(calibration, [*keys, group], percent).select(*keys, group, F.col("factor").alias("fine"))
-    cells = test.join(single, keys).join(fine, [*keys, group], "left")
+    cells = test.join(small(single, keys), keys).join(small(fine, [*keys, group]), [*keys, group], "left")
     use = F.when(F.col("fine").isNull() | (F.col("fine") == 0), F.col("single")).otherwise(F.col("fine"))
     w = half_width()
     grouped = cells.withColumn("_use", use).withColumn("_hit", covered_by(use)).withColumn("_w", w)
@@ -149,7 +150,7 @@ def diagnose(calibration: DataFrame, test: DataFrame, percent: int = 90) -> Data
     columns = [*keys, "stay_id", "y_true", "y_pred", "y_lower", "y_upper"]
     tagged = with_score(calibration.select(*columns, F.lit("cal").alias("set")).unionByName(
         test.select(*columns, F.lit("test").alias("set"))))
-    cells = tagged.join(factors, keys)
+    cells = tagged.join(small(factors, keys), keys)
     hit = covered_by(F.col("factor"))
     per_stay = cells.groupBy(*keys, "factor", "set", "stay_id").agg(
         F.sum(hit).alias("hits"), F.count(hit).alias("cells"), F.count("y_true").alias("truths"))
@@ -174,7 +175,7 @@ def diagnose(calibration: DataFrame, test: DataFrame, percent: int = 90) -> Data
 def coverage_by(test: DataFrame, factors: DataFrame, group: Column, name: str) -> DataFrame:
     """Coverage under the single factor, split by any grouping of the test cells."""
     keys = ["condition", "variable"]
-    cells = test.join(factors.select(*keys, "factor"), keys)
+    cells = test.join(small(factors.select(*keys, "factor"), keys), keys)
     return cells.groupBy(*keys, group.alias(name)).agg(
         F.avg(covered_by(F.col("factor"))).alias("coverage"), F.countDistinct("stay_id").alias("n_stays"))
 
@@ -183,7 +184,7 @@ def bootstrap_coverage(test: DataFrame, factors: DataFrame, resamples: int = 100
     """5-95 % interval of the coverage over resampled stays (ratio of sums)."""
     keys = ["condition", "variable"]
     hit = covered_by(F.col("factor"))
-    stays = durable(test.join(factors.select(*keys, "factor"), keys).groupBy(*keys, "stay_id").agg(
+    stays = durable(test.join(small(factors.select(*keys, "factor"), keys), keys).groupBy(*keys, "stay_id").agg(
         F.sum(hit).alias("hits"), F.count(hit).alias("cells")).filter(F.col("cells") > 0))
     placed = hashed_position(stays, seed, "stay_id", tuple(keys))
     drawn = bootstrap_draws(placed, keys, resamples, seed).join(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import bounds, clip, half_width, outside
+from foretrace.functions.durable import durable
 from foretrace.operators.forecast import with_interval
 from foretrace.settings import Variable
 
@@ -164,7 +165,7 @@ def replay(calibration: DataFrame, test: DataFrame, recent: DataFrame, variables
     the settings chosen per arm and variable."""
     from foretrace.operators import calibrate, postprocess
 
-    settings = postprocess.fit(calibration, recent, variables, strategy, grid, critic_stage=None)
+    settings = durable(postprocess.fit(calibration, recent, variables, strategy, grid, critic_stage=None))
     fitted = postprocess.apply(calibration, recent, variables, settings)
     factors = calibrate.conformal_factors(fitted, percent=percent)
     return calibrate.apply(postprocess.apply(test, recent, variables, settings), factors), settings

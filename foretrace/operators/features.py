@@ -13,13 +13,14 @@ DEFAULT_FILL = (0.0, 1.5)
 
 
 def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth: bool = False,
-              carry: tuple[str, ...] = ()) -> DataFrame:
+              carry: tuple[str, ...] = (), recents: tuple[int, ...] = ()) -> DataFrame:
     """Per (stay, variable): last, mean, population std, least-squares slope and
     count of the observation bins, and the mean of the last ``recent`` bins.
 
     One aggregation. With ``keep_truth`` the horizon travels along as a map
     (hour to value, at most one entry per bin), so forecasts need no join back.
-    ``carry`` names columns constant per stay to keep.
+    ``carry`` names columns constant per stay to keep; ``recents`` adds
+    ``recent_mean_<n>`` for further window lengths.
     """
     obs = F.col("part") == "obs"
     seen = obs & F.col("value").isNotNull()
@@ -33,6 +34,7 @@ def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth
         F.count(value).alias("n_obs"),
         F.avg(F.when(F.col("hour") >= windows.obs - recent, value)).alias("recent_mean"),
     ]
+    aggregates += [F.avg(F.when(F.col("hour") >= windows.obs - r, value)).alias(f"recent_mean_{r}") for r in recents]
     if keep_truth:
         truth = F.collect_list(F.when(~obs & F.col("value").isNotNull(), F.struct("hour", "value")))
         aggregates.append(F.map_from_entries(truth).alias("truth"))

@@ -53,12 +53,14 @@ def with_interval(df: DataFrame, width: Column | str = "width") -> DataFrame:
 
 
 def persistence(summary: DataFrame, windows: Windows, conditions=PERSISTENCE_CONDITIONS,
-                fill: DataFrame | None = None) -> DataFrame:
-    """Flat forecasts over the horizon; needs a summary with ``truth``."""
+                fill: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Flat forecasts over the horizon; needs a summary with ``truth``. ``carry``
+    names further summary columns to keep."""
     hours = F.explode(F.sequence(F.lit(0), F.lit(windows.horizon - 1))).alias("hour")
-    flat = levels(summary, conditions, fill).select("condition", "stay_id", "variable", "truth", "level", "width", hours)
+    flat = levels(summary, conditions, fill).select(
+        *carry, "condition", "stay_id", "variable", "truth", "level", "width", hours)
     cells = flat.withColumn("y_true", F.try_element_at("truth", F.col("hour"))).withColumn("y_pred", F.col("level"))
-    return with_interval(cells).select(*COLUMNS)
+    return with_interval(cells).select(*carry, *COLUMNS)
 
 
 def clip_to_valid(forecasts: DataFrame, variables: list[Variable]) -> DataFrame:

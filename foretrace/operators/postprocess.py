@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import bounds, clip, half_width, smape_cell
+from foretrace.functions.durable import durable, small
 from foretrace.functions.ranks import positions
 from foretrace.operators.forecast import with_interval
 from foretrace.settings import CRITIC_CONDITIONS, PostprocessParams, Variable
@@ -62,10 +63,12 @@ def apply(raw: DataFrame, recent: DataFrame, variables: list[Variable],
     per fitted condition and variable. With ``critic_stage`` the conditions
     that end in a critic are clipped to the plausible range as well.
     """
-    df = with_first(raw).join(recent.select("stay_id", "variable", "recent_mean"), ["stay_id", "variable"], "left")
+    # Placed once for both the window per series and the join.
+    placed = raw.repartition("stay_id", "variable")
+    df = with_first(placed).join(recent.select("stay_id", "variable", "recent_mean"), ["stay_id", "variable"], "left")
     if isinstance(params, DataFrame):
-        df = df.join(params.select("condition", "variable", "drift_damping", "level_anchor_weight"),
-                     ["condition", "variable"], "left")
+        keys = ["condition", "variable"]
+        df = df.join(small(params.select(*keys, "drift_damping", "level_anchor_weight"), keys), keys, "left")
         damping, weight = F.coalesce("drift_damping", F.lit(1.0)), F.coalesce("level_anchor_weight", F.lit(0.0))
     else:
         params = params or PostprocessParams()
@@ -151,7 +154,8 @@ def cross_validate(raw: DataFrame, recent: DataFrame, variables: list[Variable],
     keys = ("condition", "fold")
     out = None
     for grid in GRIDS:
-        terms = contributions(raw.join(fold, "stay_id"), recent, variables, grid, critic_stage, keys)
+        # Small (settings x variables per condition and fold), read by every strategy.
+        terms = durable(contributions(raw.join(fold, "stay_id"), recent, variables, grid, critic_stage, keys))
         # The other fold's term of the same setting is that setting's score there.
         other = terms.withColumn("fold", 1 - F.col("fold")).select(
             *keys, "variable", "drift_damping", "level_anchor_weight", "term")

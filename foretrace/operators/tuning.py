@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foretrace.functions.durable import durable
 from foretrace.operators import calibrate, forecast, metrics, postprocess, similarity
 from foretrace.settings import Variable, Windows
 
@@ -30,13 +31,11 @@ def window_trials(cut_grid: DataFrame, windows: Windows, recents: list[int], fil
     """The recent-mean forecast for several window lengths from one summary pass."""
     from foretrace.operators.features import summarize
 
-    base = summarize(cut_grid, windows, recents[0], keep_truth=True)
-    out = None
-    for r in recents:
-        summary = base if r == recents[0] else summarize(cut_grid, windows, r, keep_truth=True)
-        one = forecast.persistence(summary, windows, ("recent_mean",), fill).withColumn("trial", F.lit(f"window{r}"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    summary = summarize(cut_grid, windows, recents[0], keep_truth=True, recents=tuple(recents)).drop("recent_mean")
+    settings = F.explode(F.array(*[
+        F.struct(F.lit(f"window{r}").alias("trial"), F.col(f"recent_mean_{r}").alias("recent_mean")) for r in recents]))
+    trials = summary.withColumn("_t", settings).select("*", "_t.trial", "_t.recent_mean").drop("_t")
+    return forecast.persistence(trials, windows, ("recent_mean",), fill, carry=("trial",))
 
 
 def tree_trials(train_summary: DataFrame, eval_summary: DataFrame, variables: list[Variable], windows: Windows,
@@ -55,7 +54,7 @@ def rescore(calibration: DataFrame, test: DataFrame, recent: DataFrame, variable
             critic_stage: str | None = "final") -> dict[str, DataFrame]:
     """Fit on the calibration stays, apply to the test stays, refit the factors
     and report error and calibrated coverage before and after."""
-    settings = postprocess.fit(calibration, recent, variables, strategy, grid, critic_stage)
+    settings = durable(postprocess.fit(calibration, recent, variables, strategy, grid, critic_stage))
     cal_new = postprocess.apply(calibration, recent, variables, settings, critic_stage)
     test_new = postprocess.apply(test, recent, variables, settings, critic_stage)
     parts = []
