@@ -12,8 +12,31 @@ from foretrace.functions.cells import lookup
 from foretrace.operators.similarity import report_hours
 from foretrace.settings import PromptOptions, Variable, Windows
 
-# Texts the answers depend on.
+# The wording of the prompt, on which the answers depend.
+HEAD = "Observation window summary ({n} variables, most recent reading first in 'last'):\n"
 NOT_OBSERVED = "no observations in window"
+TYPICAL = "not measured in this window; typical value in this ICU cohort: median "
+RECENT_HEAD = "Last {n} hourly values (oldest first, NA = not measured):\n"
+ANCHOR_HEAD = "Typical values in this ICU cohort (all training patients, median [interquartile range]), for reference:\n"
+SIMILAR_TRAJECTORY = (
+    "For context, here is how the ",
+    " most similar patients in the training cohort (patients whose observation window looked most like this one) "
+    "actually evolved, as median [interquartile range] at hours after the forecast start. Use it to inform both the "
+    "forecast and its uncertainty, especially where this patient's own data are sparse:\n",
+)
+SIMILAR_MEAN = (
+    "For context, here is the average trajectory of the ",
+    " most similar patients in the training cohort (patients whose observation window looked most like this one), "
+    "which you may use to inform your forecast, especially where this patient's own observation window is sparse:\n",
+)
+SIMILAR_LINE = ": similar-patient cohort average over the horizon ≈ "
+ASK = (
+    "Forecast each variable for the next {h} hours, one value per hour with one decimal place, as strict JSON per the "
+    "system instructions."
+)
+STRICT = (
+    " Every variable listed above, including any with no observations, must have exactly {h} values — no more, no fewer."
+)
 DAMPED_NOTE = (
     "Note on trends: over the next day, ICU vital signs and labs usually stay near their current level or drift "
     "back toward the patient's recent average. A trend seen in the observation window rarely continues at the "
@@ -64,7 +87,7 @@ def observation_block(summary: DataFrame, variables: list[Variable], reference:
     absent = F.concat(name, F.lit(NOT_OBSERVED))
     if reference is not None:
         typical = F.concat(
-            name, F.lit("not measured in this window; typical value in this ICU cohort: median "), one_decimal("median"),
+            name, F.lit(TYPICAL), one_decimal("median"),
             unit, F.lit(" (interquartile range "), one_decimal("q1"), F.lit("–"), one_decimal("q3"), F.lit(")"))
         absent = F.coalesce(typical, absent)
     return joined_lines(df, F.when(F.col("n_obs") > 0, seen).otherwise(absent), variables, "observations")
@@ -77,7 +100,7 @@ def recent_block(cut_grid: DataFrame, variables: list[Variable], windows: Window
     rows = last.groupBy("stay_id", "variable").agg(cells.alias("_c"))
     line = F.concat(F.lit("- "), F.col("variable"), F.lit(": ["),
                     F.array_join(F.transform("_c", lambda c: c["t"]), ", "), F.lit("]"))
-    head = F.lit(f"Last {n_hours} hourly values (oldest first, NA = not measured):\n")
+    head = F.lit(RECENT_HEAD.format(n=n_hours))
     return joined_lines(rows, line, variables, "_r").select("stay_id", F.concat(head, "_r").alias("recent"))
 
 
@@ -85,7 +108,7 @@ def anchor_block(reference: DataFrame, variables: list[Variable]) -> DataFrame:
     """One row: the cohort's median and quartiles per variable."""
     line = F.rtrim(F.concat(F.lit("- "), F.col("variable"), F.lit(": "), one_decimal("median"), F.lit(" ["),
                             one_decimal("q1"), F.lit("–"), one_decimal("q3"), F.lit("] "), _unit(variables)))
-    head = F.lit("Typical values in this ICU cohort (all training patients, median [interquartile range]), for reference:\n")
+    head = F.lit(ANCHOR_HEAD)
     lines = joined_lines(reference.withColumn("_g", F.lit(0)), line, variables, "_a", key="_g")
     return lines.select(F.concat(head, "_a").alias("anchor"))
 
@@ -104,17 +127,12 @@ def similarity_block(neighbors: DataFrame, variables: list[Variable], windows: W
             F.array_sort(F.collect_list(F.struct("lead", part.alias("t")))).alias("_p"))
         line = F.concat(F.lit("- "), F.col("variable"), F.lit(" ("), unit, F.lit("): "),
                         F.array_join(F.transform("_p", lambda x: x["t"]), "; "))
-        head = ("For context, here is how the ", " most similar patients in the training cohort (patients whose "
-                "observation window looked most like this one) actually evolved, as median [interquartile range] at "
-                "hours after the forecast start. Use it to inform both the forecast and its uncertainty, especially "
-                "where this patient's own data are sparse:\n")
+        head = SIMILAR_TRAJECTORY
     else:
         rows = means.select(F.col("query_id").alias("stay_id"), "variable", "horizon_mean")
-        line = F.concat(F.lit("- "), F.col("variable"), F.lit(": similar-patient cohort average over the horizon ≈ "),
+        line = F.concat(F.lit("- "), F.col("variable"), F.lit(SIMILAR_LINE),
                         one_decimal("horizon_mean"), unit)
-        head = ("For context, here is the average trajectory of the ", " most similar patients in the training cohort "
-                "(patients whose observation window looked most like this one), which you may use to inform your "
-                "forecast, especially where this patient's own observation window is sparse:\n")
+        head = SIMILAR_MEAN
     lines = joined_lines(rows, line, variables, "_s")
     return lines.join(size, "stay_id").select(
         "stay_id", F.concat(F.lit(head[0]), F.col("_k").cast("string"), F.lit(head[1]), "_s").alias("similar"))
@@ -145,12 +163,8 @@ def build(summary: DataFrame, variables: list[Variable], windows: Windows, optio
                      "stay_id", "left")
     else:
         df = df.withColumn("similar", F.lit(None).cast("string"))
-    head = (f"Observation window summary ({len(variables)} variables, most recent reading first in 'last'):\n")
-    ask = (f"Forecast each variable for the next {windows.horizon} hours, one value per hour with one decimal place, "
-           "as strict JSON per the system instructions.")
-    if options.strict_length:
-        ask += (f" Every variable listed above, including any with no observations, must have exactly "
-                f"{windows.horizon} values — no more, no fewer.")
+    head = HEAD.format(n=len(variables))
+    ask = (ASK + STRICT if options.strict_length else ASK).format(h=windows.horizon)
     note = F.lit(DAMPED_NOTE) if options.trend_hint == "damped" else F.lit(None).cast("string")
     return df.select("stay_id", F.concat_ws(
         "\n\n", F.concat(F.lit(head), "observations"), "anchor", "similar", note, F.lit(ask)).alias("prompt"))
