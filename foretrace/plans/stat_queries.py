@@ -120,10 +120,13 @@ def compare_sql(name, pairs):
     boot_sql(name, f"SELECT comparison, 'a' AS side, stay_id, smape_a AS smape FROM {name}_paired UNION ALL "
                    f"SELECT comparison, 'b', stay_id, smape_b FROM {name}_paired", ("comparison", "side"), "smape")
     side = ", ".join(f"max({c}) FILTER (side = '{s}') AS {s}_{c}" for s in "ab" for c in ("mean", "ci_lo", "ci_hi"))
+    # The test is reported for ten pairs or more that are not all close to each other.
+    tested = "n_pairs >= 10 AND far > 0"
     return f"""
-SELECT * FROM (SELECT comparison, count(d) AS n_pairs FROM {name}_paired GROUP BY ALL)
-JOIN (SELECT comparison, {side} FROM {name}_ci GROUP BY ALL) USING (comparison)
-JOIN (SELECT comparison, statistic, z FROM ({signed_rank_sql(f'SELECT * FROM {name}_paired', ['comparison'])})) USING (comparison)"""
+SELECT * EXCLUDE (far, rank_statistic, rank_z), CASE WHEN {tested} THEN rank_statistic END AS statistic, CASE WHEN {tested} THEN rank_z END AS z
+FROM (SELECT comparison, count(d) AS n_pairs, max(abs(d) - (1e-8 + 1e-5*abs(smape_b))) AS far FROM {name}_paired GROUP BY ALL)
+LEFT JOIN (SELECT comparison, {side} FROM {name}_ci GROUP BY ALL) USING (comparison)
+LEFT JOIN (SELECT comparison, statistic AS rank_statistic, z AS rank_z FROM ({signed_rank_sql(f'SELECT * FROM {name}_paired', ['comparison'])})) USING (comparison)"""
 
 
 @register("compare_listed_pairs", COMPARE, compare_sql("listed", PAIRS))
