@@ -7,12 +7,18 @@ the tiny result table; everything before it is built-in columns.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Ship this module's helpers with the tasks, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _normal_two_sided(z: float | None) -> float | None:
     return None if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2.0))
 

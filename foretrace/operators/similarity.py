@@ -10,10 +10,12 @@ tasks, and only each block's k best rows are emitted, never the pairs.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from foretrace.functions.draws import draw
 from foretrace.functions.durable import durable
 from foretrace.settings import Windows
 
+# Ship this module's helpers with the tasks, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
 # Rows bounded at once in a task: times pivots times k doubles.
