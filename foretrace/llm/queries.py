@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.llm import lengths, packing, shards, substrings
+from foretrace.llm import lengths, lines, near, packing, shards, substrings
 from foretrace.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), window=50, texts=False)
 
 
+@query("op4_fuzzy_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"), percent=80)
+
+
+@query("op6_b_bit_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 @query("op7_feistel_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.sharded_documents(table(spark, sf_dir, "documents"), shards=16, seed=7)

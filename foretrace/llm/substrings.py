@@ -26,13 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.llm.hashing import Spans, joined_words, mixed, sliding_min, word_bounds
+from foretrace.llm.hashing import Spans, joined_words, sliding_min, word_bounds
+from foretrace.llm.sketches import Bits, cell_bits, count_min
 from foretrace.llm.store import with_bytes
 
 WINDOW = 50
-DEPTH = 2
-BLOCK_BITS = 20
-CELL_BITS = (20, 30)  # of a sketch row: two rows of 2**30 cells make 256 MB of bits at most
 FLUSH = 1_000_000
 _LAST = (1 << 63) - 1
 
@@ -49,76 +47,21 @@ def _anchors(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: i
     return sliding_min(runs, window - half + 1)
 
 
-def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return mixed(anchors + np.uint64((0x9E3779B97F4A7C15 * (row + 1)) & ((1 << 64) - 1))) >> np.uint64(64 - bits)
+def expected_anchors(text_bytes: int, window: int) -> float:
+    return text_bytes / 6 * 2 / max(2, window - window // 2 + 2)
 
 
-def sketch(docs: DataFrame, window: int, bits: int) -> np.ndarray:
-    """Bits (DEPTH, 2**bits / 8): whether two or more documents may hold an anchor of the cell.
+def sketch(docs: DataFrame, window: int, bits: int) -> Bits:
+    """Which anchors two or more documents may hold."""
 
-    A task sends, for each block of cells, which cells it met once and more often; blocks are
-    added up independently. What reaches the driver has the fixed size of the sketch."""
-    block_mask = np.uint64((1 << BLOCK_BITS) - 1)
+    def anchors(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        for text in batch["text"]:
+            joined = joined_words(text)
+            starts, ends = word_bounds(joined)
+            if len(starts) >= window:
+                yield np.unique(_anchors(_spans()[0].prefix(joined), starts, ends, window))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pd.DataFrame:
-            rows = []
-            anchors = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            held.clear()
-            for row in range(DEPTH):
-                cells, n = np.unique(_cells(anchors, row, bits), return_counts=True)
-                block = cells >> np.uint64(BLOCK_BITS)
-                cuts = np.flatnonzero(np.diff(block)) + 1 if len(block) else []
-                for b, c, k in zip(block[np.r_[0, cuts]] if len(block) else [], np.split(cells, cuts), np.split(n, cuts)):
-                    inside = (c & block_mask).astype("<u4")
-                    rows.append((row, int(b), inside.tobytes(), inside[k > 1].tobytes()))
-            return pd.DataFrame(rows, columns=["depth", "block", "cells", "again"])
-
-        size = 0
-        for batch in batches:
-            for text in batch["text"]:
-                joined = joined_words(text)
-                starts, ends = word_bounds(joined)
-                if len(starts) >= window:
-                    own = np.unique(_anchors(_spans()[0].prefix(joined), starts, ends, window))
-                    held.append(own)
-                    size += len(own)
-                    if size >= FLUSH:
-                        yield flush()
-                        size = 0
-        yield flush()
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(1 << BLOCK_BITS, np.uint8)
-        for cells, again in zip(rows["cells"], rows["again"]):
-            for part in (cells, again):  # each holds a cell at most once
-                at = np.frombuffer(part, "<u4")
-                count[at] = np.minimum(count[at] + 1, 2)
-        return pd.DataFrame({"depth": [key[0]], "block": [key[1]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
-
-    parts = with_bytes(docs).mapInPandas(partial, "depth int, block int, cells binary, again binary")
-    merged = parts.groupBy("depth", "block").applyInPandas(merge, "depth int, block int, bits binary")
-    out = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    width = (1 << BLOCK_BITS) // 8
-    for r in merged.toLocalIterator():
-        out[r["depth"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _may_repeat(bits_of: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    hit = np.ones(len(anchors), bool)
-    for row in range(DEPTH):
-        cell = _cells(anchors, row, bits)
-        hit &= (bits_of[row][cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return hit
-
-
-def cell_bits(text_bytes: int, window: int) -> int:
-    """About ten cells for each anchor expected, within CELL_BITS."""
-    anchors = text_bytes / 6 * 2 / max(2, window - window // 2 + 2)
-    return int(min(CELL_BITS[1], max(CELL_BITS[0], np.ceil(np.log2(max(1.0, 8 * anchors))))))
+    return count_min(with_bytes(docs), anchors, bits, flush=FLUSH)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -130,8 +73,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id. Equal windows of one doc_id never make each other repeated. Null texts have none."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = cell_bits(total, window)
-    shared = spark.sparkContext.broadcast(sketch(docs, window, bits))
+    shared = spark.sparkContext.broadcast(sketch(docs, window, cell_bits(expected_anchors(total, window))))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -157,7 +99,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if len(starts) < window:
                     continue
                 prefix = first.prefix(joined)
-                at = np.flatnonzero(_may_repeat(shared.value, _anchors(prefix, starts, ends, window), bits))
+                at = np.flatnonzero(shared.value.hit(_anchors(prefix, starts, ends, window)))
                 if len(at):
                     a, b = starts[at], ends[at + window - 1]
                     held.append((first.hashes(prefix, a, b), second.hashes(second.prefix(joined), a, b).astype(np.uint32),
