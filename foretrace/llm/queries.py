@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.llm import lengths, lines, near, packing, shards, substrings
+from foretrace.llm import decontam, lengths, lines, near, packing, quality, shards, substrings
 from foretrace.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"), percent=80)
 
 
+@query("op5_kneser_ney_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judged(docs, drop=("text",)).select(
+        "doc_id", "lang", "__q__.n_words", "__q__.word_chars", "__q__.n_symbols", "__q__.n_dup_lines", "__q__.n_repeat_words",
+        F.col("__failed__").alias("base_failed"), F.col("__kept__").alias("kept"), "__q__.log_perplexity")
+
+
 @query("op6_b_bit_minhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
@@ -58,6 +66,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+@query("op9_aligned_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_token_length_histogram")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer())
