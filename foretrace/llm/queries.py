@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.llm import decontam, lengths, lines, near, packing, quality, shards, substrings
+from foretrace.llm import decontam, lengths, lines, near, packing, pii, quality, shards, substrings
 from foretrace.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+@query("op8_surrogate_entities")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymised(docs, key="op8").select("doc_id", F.col("__entities__").alias("n_entities"), "text")
+
+
 @query("op9_aligned_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
