@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretrace.llm import decontam, lengths, lines, near, packing, pii, quality, shards, substrings
+from foretrace.llm import decontam, html, lengths, lines, near, packing, pii, quality, shards, substrings
 from foretrace.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+@query("op2_maximum_scoring_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 @query("op3_count_min_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), window=50, texts=False)
