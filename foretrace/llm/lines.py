@@ -28,7 +28,7 @@ SHINGLE = 8
 PERCENT = 80
 PERMUTATIONS, BITS = 48, 4
 BANDS, ROWS = 12, 4  # a pair at 0.8 shares no band 18 times in 10,000, one at 0.9 hardly ever
-MARGIN = 0.25
+FLOOR = 0.2
 CHUNK = 100_000
 _LAST = (1 << 63) - 1
 _MARK = "__removed_lines__"
@@ -149,7 +149,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """__doc__, __crc__, __removed_lines__: numbers (from 0) of the lines to leave out."""
     lines = keep(signed_lines(docs))
     words = PERMUTATIONS * BITS // 64
-    known = similar_components(lines.select("id", "keys", "sig"), words, BITS, percent / 100 - MARGIN,
+    known = similar_components(lines.select("id", "keys", "sig"), words, BITS, FLOOR,
                                lambda wanted: _texts(docs, wanted), shingle_set, percent)
     place = F.struct("doc", "crc", "line")
     firsts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

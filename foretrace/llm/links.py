@@ -1,11 +1,12 @@
 """Links between similar sets, from MinHash bands to components, without all pairs of a bucket.
 
-Items that share a band key form a bucket. A first round verifies each item with one item of
-its buckets: a hub drawn by hash, a different one in each band. What that links falls into
-components. Only where a bucket still holds several components are pairs formed between them, each
-checked by its packed signature before it becomes a row; those are verified until none is
-left between two components. A bucket of copies therefore costs a few pairs for each of its items, and
-every pair of a common bucket that could link two components is either verified or implied.
+Items that share a band key form a bucket. Each item is paired with two hubs of each of its
+buckets; pairs that their packed signatures call unlike are dropped, and the rest join items into
+clusters, so that any two similar items with a common bucket are in one cluster. A first round
+verifies each item with the hub most like it, and what that links falls into components. Where a
+cluster still holds several components, its items are compared in blocks: exact intersections
+from an inverted list, of which only links that join two components leave the task. A group
+of copies costs one pair for each of its items; nothing is emitted for pairs that are not links.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from foretrace.llm.sketches import Bits, cell_bits, count_min
 from foretrace.llm.store import keep
 
 MAX_STEPS = 60
+BLOCK_ITEMS = 1500
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -100,12 +102,78 @@ def id_bits(ids: DataFrame) -> Bits:
     return count_min(ids.select("id"), lambda batch: iter([batch["id"].to_numpy(np.int64).view(np.uint64)]), cell_bits(n), level=1)
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted distinct arrays. Rare members are counted
+    through their lists, frequent ones by matrix products over a few thousand members at a time."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(member, kind="stable")
+    lists = owner[order]  # ascending within a member
+    starts = np.cumsum(times) - times
+    out = np.zeros((n, n), np.int64)
+    for k in range(2, min(32, n) + 1):
+        at = starts[times == k]
+        if len(at):
+            table = lists[at[:, None] + np.arange(k)]
+            for x in range(k):
+                for y in range(x + 1, k):
+                    np.add.at(out, (table[:, x], table[:, y]), 1)
+    often = np.flatnonzero(times > 32)
+    place = np.full(len(times), -1)
+    for at in range(0, len(often), 2048):
+        part = often[at : at + 2048]
+        place[part] = np.arange(len(part))
+        cells = place[member]
+        dense = np.zeros((n, len(part)), np.float32)
+        dense[owner[cells >= 0], cells[cells >= 0]] = 1
+        out += np.triu(dense @ dense.T, 1).astype(np.int64)
+        place[part] = -1
+    return out
+
+
+def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the items that join different components; enough of them to join all that
+    any link joins, and no more."""
+    root = {c: c for c in labels}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found = []
+
+    def join(x: int, y: int) -> None:
+        a, b = find(labels[x]), find(labels[y])
+        if a != b:
+            root[a] = b
+            found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+
+    size = np.array([len(x) for x in sets], np.int64)
+    if len(ids) <= 24:
+        for x in range(len(ids)):
+            for y in range(x):
+                if find(labels[x]) != find(labels[y]) and 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (size[x] + size[y] - common) > 0:
+                        join(x, y)
+        return found
+    common = intersections(sets)
+    whole = size[:, None] + size[None, :] - common
+    for x, y in np.argwhere(np.triu((100 * common >= percent * whole) & (whole > 0), 1)):
+        join(int(x), int(y))
+    return found
+
+
 def similar_components(items: DataFrame, words: int, bits: int, floor: float, texts_of: Callable[[Bits], DataFrame],
                        set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
     """id, component of the items linked with another.
 
     items: id (long), keys (array of band keys), sig (array of ``words`` packed words); rows of
-    one id are one item. Pairs below ``floor`` by their signatures are not looked at.
+    one id are one item. ``floor`` lies far below the threshold: signatures of unrelated items hardly
+    ever reach it, so clusters hold items that have something in common.
     texts_of(filter) gives (id, text binary) of at least the ids that the filter hits, and
     set_of(text) the sorted distinct hashes of its set.
     Linked: 100 * intersection >= percent * union, on the full sets."""
@@ -115,13 +183,13 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
     signs = keep(signs.select("id", F.array(*[f"w{k}" for k in range(words)]).alias("sig")))
     of = lambda name: signs.select(F.col("id").alias(name), F.col("sig").alias(f"{name}_sig"))
 
-    # One pair for each item: with the hub most like it.
     asked = buckets.select("id", F.explode(F.array_distinct(F.array("hub", "first"))).alias("hub")).filter("id <> hub").select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     rated = keep(asked.join(of("a"), "a").join(of("b"), "b").withColumn(
         "like", estimated(F.col("a_sig"), F.col("b_sig"), words, bits)).filter(F.col("like") >= floor).select("a", "b", "like"))
     ends = rated.select(F.col("a").alias("id"), "a", "b", "like").union(rated.select(F.col("b").alias("id"), "a", "b", "like"))
     best = ends.groupBy("id").agg(F.max(F.struct("like", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    clusters = keep(components(rated).withColumnRenamed("component", "cluster"))
 
     texts = keep(texts_of(id_bits(ids_of(rated))).dropDuplicates(["id", "text"]))
 
@@ -142,45 +210,30 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
 
     links = keep(verified(best))
     known = keep(components(links))
-    seen = best
-
-    # Pairs between different components of one bucket, from its items outside its largest component.
-    label = lambda df: df.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = label(buckets.select("key", "id").join(signs, "id"))
-    parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").select(
-        "key", F.col("_top.component").alias("main"))
-    inside = member.join(main, "key").select("key", "id", "sig", "component", "main")
-    rest = inside.filter("component <> main").select("key", F.col("id").alias("r"), F.col("sig").alias("r_sig"), F.col("component").alias("r_component"))
-    across = inside.join(rest, "key").filter(
-        (F.col("component") != F.col("r_component")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("r")))
-        & (estimated(F.col("sig"), F.col("r_sig"), words, bits) >= floor))
-    pairs = across.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b"),
-                          estimated(F.col("sig"), F.col("r_sig"), words, bits).alias("like")).distinct()
-    open_pairs = keep(pairs.join(seen, ["a", "b"], "left_anti"))
-    if open_pairs.isEmpty():
-        return known
 
-    more = ids_of(open_pairs).join(texts.select("id"), "id", "left_anti")
-    if not more.isEmpty():  # items that met no hub like them
-        texts = keep(texts.union(texts_of(id_bits(more)).join(more, "id", "left_semi").dropDuplicates(["id", "text"])))
-
-    side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
-    for last in (False, True):
-        apart = open_pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
-            "a", "b", "like", F.coalesce("a_c", "a").alias("a_c"), F.coalesce("b_c", "b").alias("b_c")).filter("a_c <> b_c")
-        if last:  # every pair that is still between two components
-            chosen = apart.join(seen, ["a", "b"], "left_anti").select("a", "b")
-        else:  # for each item and each other component, the pair most alike
-            one = apart.select("a", "b", "like", F.col("a").alias("id"), F.col("b_c").alias("other"))
-            two = apart.select("a", "b", "like", F.col("b").alias("id"), F.col("a_c").alias("other"))
-            chosen = one.union(two).groupBy("id", "other").agg(F.max(F.struct("like", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-        chosen = keep(chosen)
-        if chosen.isEmpty():
-            break
-        found = keep(verified(chosen))
-        seen = seen.union(chosen)
-        if not found.isEmpty():
-            links = links.union(found)
-            known = keep(components(links))
-    return known
+    # What is left: clusters of several components.
+    member = clusters.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter(
+        "_a <> _b").select("cluster", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    left = keep(member.join(sizes, "cluster"))
+    n_left = left.count()
+    if not n_left:
+        return known
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    few = max(1, n_left // BLOCK_ITEMS)
+    # Small clusters share tasks; a large one is cut into blocks, and each pair of blocks is a task.
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", own).select(
+        "id", "cluster", "component", F.when(F.col("blocks") == 1, F.lit(None)).otherwise(F.col("cluster")).alias("large"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(few)).cast("int")).otherwise(F.least("own", "other")).alias("i"),
+        F.greatest("own", "other").alias("j")).join(texts, "id")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, part in rows.groupby("cluster"):
+            if part["component"].nunique() > 1:
+                found += joining_links(part["id"].tolist(), part["component"].tolist(), [set_of(t) for t in part["text"]], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    more = keep(dealt.select("id", "cluster", "component", "text", "large", "i", "j").groupBy("large", "i", "j").applyInPandas(
+        compare, "a long, b long").distinct())
+    return known if more.isEmpty() else components(links.union(more))

@@ -23,7 +23,7 @@ from foretrace.llm.store import keep, with_bytes
 PERMUTATIONS = 128
 BITS = 2
 BANDS, ROWS = 25, 5  # at a similarity of 0.85 a pair misses all bands once in 2 million, at 0.8 once in 20,000
-MARGIN = 0.2  # five standard errors of the estimate
+FLOOR = 0.2  # unrelated documents are rated about 0 with a standard error of 0.05
 _NO_ID = 1 << 62
 
 
@@ -74,23 +74,37 @@ def _texts(docs: DataFrame, wanted: Bits) -> DataFrame:
     return with_bytes(docs.select(_own_id().alias("id"), "text"), "id").mapInPandas(pick, "id long, text binary")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, ids_are_own: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of n-word
     shingles; component_id is the smallest doc_id that links reach. Documents with equal sets
     are one item from the start. Null and empty texts have an empty set and no links. Rows with
     one doc_id are one document. A document without doc_id is linked like any other, gives no
-    component its name unless all of its documents lack one (then null), and is kept only then."""
+    component its name unless all of its documents lack one (then null), and is kept only then. ``ids_are_own``: report the numbers that
+    such documents were given."""
     signed = keep(signatures(docs, n))
     held = signed.filter("n_shingles > 0")
     groups = keep(held.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     words = PERMUTATIONS * BITS // 64
-    known = similar_components(groups.select("id", "keys", "sig"), words, BITS, percent / 100 - MARGIN,
+    known = similar_components(groups.select("id", "keys", "sig"), words, BITS, FLOOR,
                                lambda wanted: _texts(docs, wanted), lambda text: shingles(text, n), percent)
     of_group = groups.select("s1", "s2", "n_shingles", "id").join(known, "id", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component"))
     named = signed.select("id", "n_shingles", "s1", "s2").join(of_group, ["s1", "s2", "n_shingles"], "left").withColumn(
         "component", F.coalesce("component", "id"))
-    real = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
+    real = lambda c: F.when(F.lit(ids_are_own) | (F.col(c) < _NO_ID), F.col(c))
     return named.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but the first document, by doc_id, of each group; of equal rows one stays.
+
+    Documents without words are in no group and all stay."""
+    marks = docs.withColumn("__id__", _own_id()).withColumn("__hash__", F.xxhash64("text"))
+    found = near_duplicates(docs.select(_own_id().alias("doc_id"), "text"), n, percent, ids_are_own=True)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id__")).distinct()
+    stays = marks.join(gone, "__id__", "left_anti")
+    word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    unique = stays.withColumn("__key__", F.when(word, F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return unique.dropDuplicates(["__id__", "__hash__", "__key__"]).select(*docs.columns)

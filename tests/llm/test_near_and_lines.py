@@ -134,3 +134,28 @@ def test_lines_keep_columns_and_count(spark, docs):
     report = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.line_report(df).collect()}
     assert report == {1: (2, 0), 2: (1, 1), None: (1, 1), 3: (0, 0)}
     assert lines.deduplicated(docs([])).count() == 0
+
+
+def test_intersections_and_joining_links():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 250, replace=False), rng.integers(0, 1 << 40, 20).astype(np.uint64)]) for _ in range(70)]
+    common = links.intersections(sets)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(70) for j in range(i + 1, 70))
+    for n in (20, 70):
+        found = links.joining_links(list(range(n)), list(range(n)), sets[:n], 70)
+        pairs = [(i, j) for i in range(n) for j in range(i) if 100 * common[j, i] >= 70 * (len(sets[i]) + len(sets[j]) - common[j, i])]
+        assert len(found) <= n - 1 and union_find(n, found) == union_find(n, pairs)
+
+
+def test_large_clusters_are_compared_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK_ITEMS", 7)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(60):  # a chain of edits: few documents resemble the hubs, many their neighbours
+        base = varied(rng, base, 0.02)
+        rows.append((k, " ".join(base)))
+    rng.shuffle(rows)
+    got = near.near_duplicates(docs(rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 3, 85)
