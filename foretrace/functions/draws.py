@@ -22,6 +22,14 @@ def word(hexdigest: Column, index: int = 0) -> Column:
     return F.conv(F.substring(hexdigest, 1 + 8 * index, 8), 16, 10).cast("long")
 
 
+LONG_RANGE = float(1 << 60)
+
+
+def long_word(hexdigest: Column, index: int = 0) -> Column:
+    """The index-th half of the digest, cut to fifteen hex digits: 60 bits, non-negative."""
+    return F.conv(F.substring(hexdigest, 1 + 16 * index, 15), 16, 10).cast("long")
+
+
 def draw(*parts) -> Column:
     return word(digest(*parts))
 

@@ -1,7 +1,9 @@
 """p-values of the test statistics, one row per finished comparison.
 
-Spark SQL has no erf, so the last step from z (or D) to p is an Arrow UDF over
-the tiny result table; everything before it is built-in columns.
+The law is an argument. "normal" (for the rank tests) and "limit" (for Kolmogorov-Smirnov)
+are built-in column expressions, the same at every sample size. "exact" is the law of small
+samples without ties; it counts orders, so its cost grows with the sample sizes, and rows with ties
+take the normal law.
 """
 
 from __future__ import annotations
@@ -9,18 +11,47 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 # Ship this module's helpers with the tasks, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Points of the midpoint rule, which is exact to double precision for |z| >= 0.1.
+POINTS = 400
+TERMS = 12
+
+
+def _column(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _total(n: int, term) -> Column:
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), term), F.lit(0.0), lambda a, x: a + x)
 
-def _normal_two_sided(z: float | None) -> float | None:
-    return None if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2.0))
+
+def normal_two_sided(z) -> Column:
+    """P(|Z| >= |z|), null for a null z: the mean of exp(-z^2 / (2 sin^2 t)) over a quarter turn,
+    and its series near 0."""
+    z = F.abs(_column(z))
+    far = _total(POINTS, lambda i: F.exp(-z * z / (2 * F.pow(F.sin((i + 0.5) * (math.pi / (2 * POINTS))), 2)))) / POINTS
+    near = 1 - math.sqrt(2 / math.pi) * (z - F.pow(z, 3) / 6 + F.pow(z, 5) / 40 - F.pow(z, 7) / 336)
+    return F.when(z < 0.1, near).otherwise(far)
+
+
+def kolmogorov_p(d, n1, n2) -> Column:
+    """Two-sided p of the two-sample distance by the limit law, in whichever of its two series
+    converges at once."""
+    n1, n2 = _column(n1).cast("double"), _column(n2).cast("double")
+    x = _column(d) * F.sqrt(F.try_divide(n1 * n2, n1 + n2))
+    large = 2 * _total(TERMS, lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0) * F.exp(-2 * F.pow((i + 1) * x, 2)))
+    small = 1 - math.sqrt(2 * math.pi) / x * _total(TERMS, lambda i: F.exp(-F.pow((2 * i + 1) * math.pi / x, 2) / 8))
+    p = F.when(x <= 0, 1.0).when(x < 1, small).otherwise(large)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
 def exact_signed_rank(n: int, w_plus: float) -> float:
@@ -49,56 +80,63 @@ def exact_rank_sum(n1: int, n2: int, u: float) -> float:
     return min(1.0, 2.0 * sum(table[n1][: low + 1]) / ways)
 
 
-def kolmogorov(d: float, n1: int, n2: int) -> float:
-    """Two-sided two-sample p: exact for equal sizes up to 10,000, else the limit law."""
+def exact_kolmogorov(d: float, n1: int, n2: int) -> float:
+    """Two-sided two-sample p without ties: the share of orders whose distance stays below d,
+    counted along lattice paths one row at a time."""
     if d <= 0:
         return 1.0
-    if n1 == n2 <= 10_000:
-        h = int(round(d * n1))
-        base = math.lgamma(n1 + 1) * 2
-        total, k = 0.0, 1
-        while k * h <= n1:
-            shift = k * h
-            term = math.exp(base - math.lgamma(n1 - shift + 1) - math.lgamma(n1 + shift + 1))
-            total += term if k % 2 else -term
-            k += 1
-        return min(1.0, max(0.0, 2.0 * total))
-    x = d * math.sqrt(n1 * n2 / (n1 + n2))
-    if x < 0.3:
-        return 1.0
-    total = sum((-1) ** (k - 1) * math.exp(-2.0 * (k * x) ** 2) for k in range(1, 101))
-    return min(1.0, max(0.0, 2.0 * total))
-
-
-@F.pandas_udf(T.DoubleType())
-def wilcoxon_p(n: pd.Series, w_plus: pd.Series, has_ties: pd.Series, z: pd.Series) -> pd.Series:
-    """``n`` counts the non-zero differences; ties or zeros use the normal law."""
-    out = []
-    for count, w, ties, score in zip(n, w_plus, has_ties, z):
-        if count is None or pd.isna(count) or count == 0:
-            out.append(None)
-        elif count <= 50 and not ties:
-            out.append(exact_signed_rank(int(count), float(w)))
-        else:
-            out.append(None if pd.isna(score) else _normal_two_sided(float(score)))
-    return pd.Series(out, dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def rank_sum_p(n1: pd.Series, n2: pd.Series, u: pd.Series, has_ties: pd.Series, z: pd.Series) -> pd.Series:
-    out = []
-    for a, b, stat, ties, score in zip(n1, n2, u, has_ties, z):
-        if pd.isna(a) or pd.isna(b) or a == 0 or b == 0:
-            out.append(None)
-        elif min(a, b) <= 8 and max(a, b) <= 400 and not ties:
-            out.append(exact_rank_sum(int(a), int(b), float(stat)))
-        else:
-            out.append(None if pd.isna(score) else min(1.0, math.erfc(float(score) / math.sqrt(2.0))))
-    return pd.Series(out, dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(x) or not a or not b else kolmogorov(float(x), int(a), int(b)) for x, a, b in zip(d, n1, n2)],
-        dtype="float64")
+    gap = round(d * n1 * n2)
+    j = np.arange(n2 + 1)
+    paths = np.where(np.abs(j * n1) < gap, 1.0, 0.0)
+    paths = np.where(np.cumprod(paths) > 0, 1.0, 0.0)
+    for i in range(1, n1 + 1):
+        inside = np.abs(i * n2 - j * n1) < gap
+        # Each step divides by the number of orders so far, to stay within doubles.
+        row, left = np.zeros(n2 + 1), 0.0
+        for k in range(n2 + 1):
+            left = (paths[k] * i / (i + k) + left * k / (i + k)) if inside[k] else 0.0
+            row[k] = left
+        paths = row
+    return float(min(1.0, max(0.0, 1.0 - paths[n2])))
+
+
+def _exact(law):
+    @F.pandas_udf(T.DoubleType())
+    def p(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(y) or pd.isna(z) else law(x, y, z) for x, y, z in zip(a, b, c)], dtype="float64")
+
+    return p
+
+
+def _check(law: str, known: tuple[str, str]) -> None:
+    if law not in known:
+        raise ValueError(f"unknown law {law!r}; one of {known}")
+
+
+def wilcoxon_p(n, w_plus, has_ties, z, law: str = "normal") -> Column:
+    """Signed-rank test; ``n`` counts the non-zero differences."""
+    _check(law, ("normal", "exact"))
+    normal = F.when(_column(n) > 0, normal_two_sided(z))
+    if law == "normal":
+        return normal
+    exact = _exact(lambda count, w, _: exact_signed_rank(int(count), float(w)) if count else None)
+    return F.when(_column(has_ties), normal).otherwise(exact(_column(n).cast("double"), _column(w_plus).cast("double"), F.lit(0.0)))
+
+
+def rank_sum_p(n1, n2, u, has_ties, z, law: str = "normal") -> Column:
+    """Rank-sum test, with the continuity correction that ``z`` carries."""
+    _check(law, ("normal", "exact"))
+    z = _column(z)
+    normal = F.when((_column(n1) > 0) & (_column(n2) > 0), F.when(z < 0, 1.0).otherwise(normal_two_sided(z)))
+    if law == "normal":
+        return normal
+    exact = _exact(lambda a, b, s: exact_rank_sum(int(a), int(b), float(s)) if a and b else None)
+    return F.when(_column(has_ties), normal).otherwise(exact(_column(n1).cast("double"), _column(n2).cast("double"), _column(u).cast("double")))
+
+
+def ks_p(d, n1, n2, law: str = "limit") -> Column:
+    _check(law, ("limit", "exact"))
+    if law == "limit":
+        return kolmogorov_p(d, n1, n2)
+    exact = _exact(lambda x, a, b: exact_kolmogorov(float(x), int(a), int(b)) if a and b else None)
+    return exact(_column(d), _column(n1).cast("double"), _column(n2).cast("double"))

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from foretrace.functions.cells import half_width
 from foretrace.functions.draws import hashed_position
 from foretrace.functions.durable import durable, small
+from foretrace.functions.pvalues import kolmogorov_p
 from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles, running_totals
 from foretrace.operators.metrics import inside, per_stay_smape, two_sample_ks
 from foretrace.operators.stats import bootstrap_draws, bootstrap_interval
 
 HOUR_BAND = 8
-# The calibration cell that defines a factor lies exactly on its own bound.
-SLACK = 1e-9
 
 
 def conformal_rank(n: Column, percent: int) -> Column:
@@ -53,20 +52,27 @@ def apply(forecasts: DataFrame, factors: DataFrame, keys=("condition", "variable
     return scaled(joined, F.col("_f")).drop("_f")
 
 
-def before_after(forecasts: DataFrame, factors: DataFrame, keys=("condition", "variable")) -> DataFrame:
-    """Coverage and width per group before and after the factors, in one pass."""
-    keys = list(keys)
+def before_after(forecasts: DataFrame, factors: DataFrame, keys=("condition", "variable"),
+                 on=("condition", "variable")) -> DataFrame:
+    """Coverage and width per group before and after the factors, in one pass.
+
+    ``on``: the key of the factors. The cell that defines a factor lies on its own bound, so
+    cells with a scaled interval count as covered by score <= factor, not by rebuilt ends."""
+    keys, on = list(keys), list(on)
     both = forecasts.withColumn("_lo", F.col("y_lower")).withColumn("_hi", F.col("y_upper"))
-    after = apply(both, factors, ("condition", "variable"))
-    factor_cols = factors.select("condition", "variable", "factor")
+    joined = both.withColumn("_hit_half", half_width()).join(small(factors.select(*on, F.col("factor").alias("_f")), on), on, "left")
+    error, half = F.abs(F.col("y_true") - F.col("y_pred")), F.col("_hit_half")
+    scaled_hit = F.when(half > 0, error / F.nullif(half, F.lit(0.0)) <= F.col("_f")).otherwise(error <= F.col("_f") * half).cast("double")
+    after = scaled(joined.withColumn("_now", F.when(F.col("_f").isNull(), inside()).otherwise(scaled_hit)), F.col("_f"))
+    factor_cols = factors.select(*on, "factor")
     was = F.when(
         F.col("y_true").isNotNull() & F.col("_lo").isNotNull() & F.col("_hi").isNotNull(),
         F.col("y_true").between(F.col("_lo"), F.col("_hi")).cast("double"))
     out = after.groupBy(*keys).agg(
-        F.avg(was).alias("coverage_before"), F.avg(inside(SLACK)).alias("coverage_after"),
+        F.avg(was).alias("coverage_before"), F.avg("_now").alias("coverage_after"),
         F.avg(F.col("_hi") - F.col("_lo")).alias("width_before"),
         F.avg(F.col("y_upper") - F.col("y_lower")).alias("width_after"))
-    return out.join(factor_cols, keys, "left") if keys == ["condition", "variable"] else out
+    return out.join(factor_cols, keys, "left") if keys == on else out
 
 
 def report(calibration: DataFrame, percent: int = 90) -> DataFrame:
@@ -87,12 +93,14 @@ def settings_key(*parts) -> Column:
 
 def apply_to_test(test: DataFrame, factors: DataFrame) -> DataFrame:
     """Before/after coverage and width on test forecasts of factors fitted under
-    the same ``settings_key``; others are left out (see ``rejected``)."""
+    the same ``settings_key``, with the pooled coverage of the condition; forecasts of other
+    settings are left out (see ``rejected``)."""
     keys = ["condition", "variable", "settings_key"]
     both = ["condition", "settings_key"]
     matched = test.join(small(factors.select(*both).distinct(), both), both, "left_semi")
-    fitted = factors.select(*keys, "factor")
-    return before_after(matched.drop("settings_key"), fitted.drop("settings_key"))
+    pooled = before_after(matched, factors, both, keys).select(
+        *both, F.col("coverage_before").alias("pooled_before"), F.col("coverage_after").alias("pooled_after"))
+    return before_after(matched, factors, keys, keys).join(pooled, both)
 
 
 def rejected(test: DataFrame, factors: DataFrame) -> DataFrame:
@@ -112,15 +120,15 @@ def covered_by(factor: Column) -> Column:
     return F.when(w > 0, error / F.nullif(w, F.lit(0.0)) <= factor).otherwise(error <= factor * w).cast("double")
 
 
-def by_group(calibration: DataFrame, test: DataFrame, group: str, percent: int = 90) -> DataFrame:
+def by_group(calibration: DataFrame, test: DataFrame, group: str, percent: int = 90, zero_falls_back: bool = False) -> DataFrame:
     """One factor per (condition, variable, group), falling back to the single
-    factor where the group's is missing or 0; coverage per group and overall and
+    factor where the group's is missing or, if asked for, 0; coverage per group and overall and
     mean width relative to the single factor."""
     keys = ["condition", "variable"]
     single = conformal_factors(calibration, keys, percent).select(*keys, F.col("factor").alias("single"))
     fine = conformal_factors(calibration, [*keys, group], percent).select(*keys, group, F.col("factor").alias("fine"))
     cells = test.join(small(single, keys), keys).join(small(fine, [*keys, group]), [*keys, group], "left")
-    use = F.when(F.col("fine").isNull() | (F.col("fine") == 0), F.col("single")).otherwise(F.col("fine"))
+    use = F.coalesce(F.nullif("fine", F.lit(0.0)) if zero_falls_back else F.col("fine"), F.col("single"))
     w = half_width()
     grouped = cells.withColumn("_use", use).withColumn("_hit", covered_by(use)).withColumn("_w", w)
     overall = grouped.groupBy(*keys).agg(
@@ -132,10 +140,10 @@ def by_group(calibration: DataFrame, test: DataFrame, group: str, percent: int =
 
 def mondrian(calibration: DataFrame, test: DataFrame, measured: DataFrame, percent: int = 90) -> DataFrame:
     """``by_group`` over measured / not measured in the observation window.
-    ``measured``: stay_id, variable, measured (boolean)."""
+    ``measured``: stay_id, variable, measured (boolean). A factor of 0 falls back to the single one."""
     label = F.when(F.col("measured"), "measured").otherwise("not_measured")
     tag = lambda df: df.join(measured, ["stay_id", "variable"]).withColumn("window_group", label).drop("measured")
-    return by_group(tag(calibration), tag(test), "window_group", percent)
+    return by_group(tag(calibration), tag(test), "window_group", percent, zero_falls_back=True)
 
 
 def by_hour(calibration: DataFrame, test: DataFrame, percent: int = 90, width: int = HOUR_BAND) -> DataFrame:
@@ -144,7 +152,8 @@ def by_hour(calibration: DataFrame, test: DataFrame, percent: int = 90, width: i
 
 def diagnose(calibration: DataFrame, test: DataFrame, percent: int = 90) -> DataFrame:
     """Per condition and variable: factor, coverage, stays and cells on both
-    sets, score median and 90th percentile, and the KS distance of the scores."""
+    sets, score median and 90th percentile, and the KS distance of the scores with its p-value.
+    Calibration stays and cells are counted by known truths, test ones by scored cells."""
     keys = ["condition", "variable"]
     factors = conformal_factors(calibration, keys, percent).select(*keys, "factor")
     columns = [*keys, "stay_id", "y_true", "y_pred", "y_lower", "y_upper"]
@@ -157,18 +166,19 @@ def diagnose(calibration: DataFrame, test: DataFrame, percent: int = 90) -> Data
     sides = [
         (f(F.when(F.col("set") == s, e)).alias(f"{s}_{n}"))
         for s in ("cal", "test") for n, f, e in (
-            ("hits", F.sum, F.col("hits")), ("cells", F.sum, F.col("cells")),
-            ("stays", F.count, F.when(F.col("cells") > 0, 1)))]
+            ("hits", F.sum, F.col("hits")), ("scored", F.sum, F.col("cells")),
+            ("cells", F.sum, F.col("truths" if s == "cal" else "cells")),
+            ("stays", F.count, F.when(F.col("truths" if s == "cal" else "cells") > 0, 1)))]
     both = per_stay.groupBy(*keys, "factor").agg(*sides)
     spread = quantiles(tagged.filter(F.col("score").isNotNull()), [*keys, "set"], "score", {"median": 0.5, "p90": 0.9})
     wide = spread.groupBy(*keys).agg(*[
         F.max(F.when(F.col("set") == s, F.col(c))).alias(f"{s}_{c}") for s in ("cal", "test") for c in ("median", "p90")])
     gap = two_sample_ks(tagged.filter(F.col("score").isNotNull()).select(*keys, "score", "set"), keys, "score",
-                        F.col("set") == "cal").select(*keys, "ks_statistic", "n1", "n2")
+                        F.col("set") == "cal").select(*keys, "ks_statistic", "n1", "n2").withColumn("ks_p_value", kolmogorov_p("ks_statistic", "n1", "n2")).drop("n1", "n2")
     return both.select(
         *keys, "factor",
-        F.try_divide("cal_hits", "cal_cells").alias("cal_coverage"), "cal_stays", "cal_cells",
-        F.try_divide("test_hits", "test_cells").alias("test_coverage"), "test_stays", "test_cells",
+        F.try_divide("cal_hits", "cal_scored").alias("cal_coverage"), "cal_stays", "cal_cells",
+        F.try_divide("test_hits", "test_scored").alias("test_coverage"), "test_stays", "test_cells",
     ).join(wide, keys, "left").join(gap, keys, "left")
 
 

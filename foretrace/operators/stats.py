@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import seconds_between, smape_cell
-from foretrace.functions.draws import digest, hashed_position, word
+from foretrace.functions.draws import LONG_RANGE, digest, hashed_position, long_word
 from foretrace.functions.durable import durable
 from foretrace.functions.pvalues import rank_sum_p, wilcoxon_p
 from foretrace.functions.ranks import running_totals
@@ -16,15 +16,16 @@ from foretrace.operators import critic
 from foretrace.operators.metrics import per_stay_smape, violation_rate
 from foretrace.settings import MODEL_CONDITIONS, Variable, Windows, split_condition
 
-DRAWS_PER_DIGEST = 4
+DRAWS_PER_DIGEST = 2
 MIN_PAIRS = 10
+D_PLACES = 12
 
 
 # --- bootstrap ------------------------------------------------------------
 
 def bootstrap_draws(placed: DataFrame, keys: list[str], resamples: int, seed) -> DataFrame:
     """(keys, b, position): for every resample as many hash draws as the key has
-    rows. One digest gives four draws. The rows are spread before they expand."""
+    rows. One digest gives two draws of 60 bits. The rows are spread before they expand."""
     keys = list(keys)
     spread = placed.select(*keys, "position", "n_rows").repartition(
         placed.sparkSession.sparkContext.defaultParallelism, *keys, "position")
@@ -32,7 +33,7 @@ def bootstrap_draws(placed: DataFrame, keys: list[str], resamples: int, seed) ->
     hashed = spread.select(*keys, "n_rows", "position", blocks).withColumn(
         "_h", digest(seed, "b", F.col("_k"), F.col("position")))
     draws = F.explode(F.array(*[
-        F.struct((F.col("_k") * DRAWS_PER_DIGEST + i).alias("b"), (word(F.col("_h"), i) % F.col("n_rows")).alias("p"))
+        F.struct((F.col("_k") * DRAWS_PER_DIGEST + i).alias("b"), (long_word(F.col("_h"), i) % F.col("n_rows")).alias("p"))
         for i in range(DRAWS_PER_DIGEST)]))
     return hashed.select(*keys, draws.alias("_d")).select(
         *keys, F.col("_d.b").alias("b"), F.col("_d.p").alias("position")).filter(F.col("b") < resamples)
@@ -45,13 +46,19 @@ def bootstrap_interval(values: DataFrame, keys: list[str], alpha: float) -> Data
         *keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) quantile of a uniform draw."""
-    steps, term, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
+def poisson_steps() -> list[float]:
+    steps, term, total, k = [], 0.36787944117144233, 0.0, 0
+    while total + term > total:
         total += term
         steps.append(total)
-        term /= k + 1
+        k += 1
+        term /= k
+    return steps
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) quantile of a uniform draw; steps go on until a double can hold no more."""
+    steps = poisson_steps()
     out = F.lit(len(steps))
     for k in reversed(range(len(steps))):
         out = F.when(u < steps[k], k).otherwise(out)
@@ -80,7 +87,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
         one = known.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS_PER_DIGEST))))
         one = one.withColumn("_h", digest(seed, "p", F.col("_k"), F.col(id_col)))
         draws = F.explode(F.array(*[
-            F.struct((F.col("_k") * DRAWS_PER_DIGEST + i).alias("b"), (word(F.col("_h"), i) / 4294967296.0).alias("u"))
+            F.struct((F.col("_k") * DRAWS_PER_DIGEST + i).alias("b"), (long_word(F.col("_h"), i) / LONG_RANGE).alias("u"))
             for i in range(DRAWS_PER_DIGEST)]))
         weighted = one.select(*keys, "_v", draws.alias("_d")).filter(F.col("_d.b") < resamples).select(
             *keys, "_v", F.col("_d.b").alias("b"), poisson_weight(F.col("_d.u")).alias("w"))
@@ -96,15 +103,17 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
 
 # --- rank tests -----------------------------------------------------------
 
-def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group_limit: int | None = None) -> DataFrame:
-    """Signed-rank statistics of paired differences: zeros dropped, average ranks.
+def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group_limit: int | None = None,
+             law: str = "normal") -> DataFrame:
+    """Signed-rank statistics of paired differences: zeros dropped, average ranks. ``law`` of the
+    p-value: "normal" or "exact" (see pvalues).
 
     Equal |d| are combined first, so the ranks, W+ and the tie term are sums
     over distinct values.
     """
     keys = list(keys)
     if not keys:
-        return wilcoxon(df.withColumn("_g", F.lit(0)), ["_g"], d, p_value, group_limit).drop("_g")
+        return wilcoxon(df.withColumn("_g", F.lit(0)), ["_g"], d, p_value, group_limit, law).drop("_g")
     limit = {"group_limit": group_limit} if group_limit else {}
     known = df.filter(F.col(d).isNotNull()).select(*keys, d).withColumn("_a", F.abs(F.col(d)))
     zeros = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_a") == 0, 1)).alias("zeros"))
@@ -126,11 +135,11 @@ def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group
         ((F.col("ties") > 0) | (F.col("zeros") > 0)).alias("has_ties"))
     if not p_value:
         return out
-    return out.withColumn("p_value", wilcoxon_p("n_nonzero", "w_plus", "has_ties", "z"))
+    return out.withColumn("p_value", wilcoxon_p("n_nonzero", "w_plus", "has_ties", "z", law))
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, is_first: Column, p_value: bool = True,
-                 group_limit: int | None = None) -> DataFrame:
+                 group_limit: int | None = None, law: str = "normal") -> DataFrame:
     """Rank-sum test between two samples told apart by ``is_first``."""
     keys = list(keys)
     limit = {"group_limit": group_limit} if group_limit else {}
@@ -147,7 +156,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, is_first: Column, p
     gap = F.abs(u - n1 * n2 / 2) - 0.5
     out = sums.filter((F.col("n1") > 0) & (F.col("n2") > 0)).select(
         *keys, "n1", "n2", u.alias("u"), F.try_divide(gap, sd).alias("z"), (F.col("ties") > 0).alias("has_ties"))
-    return out.withColumn("p_value", rank_sum_p("n1", "n2", "u", "has_ties", "z")) if p_value else out
+    return out.withColumn("p_value", rank_sum_p("n1", "n2", "u", "has_ties", "z", law)) if p_value else out
 
 
 # --- paired comparisons ---------------------------------------------------
@@ -163,7 +172,8 @@ def _pair_roles(pairs: list[tuple[str, str]]) -> Column:
 def paired_errors(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, comparison, stay_id, smape_a, smape_b, d) over the stays common to
     both conditions. The pair list is configuration; stays are matched by one
-    grouped pass, not by a join."""
+    grouped pass, not by a join. Differences are rounded far below any of interest, so that
+    equal forecasts differ by 0 in whatever order their errors were added."""
     involved = sorted({c for p in pairs for c in p})
     errors = per_stay_smape(forecasts.filter(F.col("condition").isin(involved)), (*keys, "condition"))
     roles = errors.withColumn("_r", _pair_roles(pairs)).select(
@@ -171,7 +181,8 @@ def paired_errors(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tupl
     side = lambda r: F.max(F.when(F.col("role") == r, F.col("smape")))
     both = roles.groupBy(*keys, "comparison", "stay_id").agg(
         side("a").alias("smape_a"), side("b").alias("smape_b"), F.countDistinct("role").alias("_n"))
-    return both.filter(F.col("_n") == 2).drop("_n").withColumn("d", F.col("smape_a") - F.col("smape_b"))
+    return both.filter(F.col("_n") == 2).drop("_n").withColumn(
+        "d", F.round(F.col("smape_a") - F.col("smape_b"), D_PLACES))
 
 
 def compare_many(forecasts: DataFrame, pairs: list[tuple[str, str]], resamples: int = 2000, alpha: float = 0.05,

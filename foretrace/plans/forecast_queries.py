@@ -346,16 +346,6 @@ def replay_settings(spark, sf):
     return replay_tables(spark, sf)[1].select("condition", "drift_damping", "level_anchor_weight").distinct()
 
 
-@register("critic_replay_scores", "condition:s smape:d coverage:d violations:i", f"""
-SELECT condition, avg(smape) AS smape, max(coverage) AS coverage, max(violations) AS violations FROM (
-  SELECT condition, stay_id, avg({SMAPE}) AS smape FROM arm_test GROUP BY ALL)
-JOIN (SELECT condition, avg(CAST(y_true BETWEEN y_pred - factor*half AND y_pred + factor*half AS DOUBLE)) AS coverage,
-        count(*) FILTER (y_pred < 5 OR y_pred > 150) AS violations FROM arm_test GROUP BY condition) USING (condition) GROUP BY ALL""")
-def replay_scores(spark, sf):
-    scored = critic.replay_scores(replay_tables(spark, sf)[0], S.VARIABLES, resamples=40)
-    return scored.withColumnRenamed("mean", "smape")
-
-
 @register("critic_replay_difference", "condition:s max_abs_diff:d", f"""
 SELECT condition, max(abs(y_pred - {HARD})) AS max_abs_diff FROM (
   SELECT f.condition, f.y_pred, m.y_adj, m.variable FROM test_set f JOIN moved m USING (condition, stay_id, variable, hour)) GROUP BY ALL""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foretrace.functions.durable import durable
 from foretrace.operators import calibrate, metrics
 from foretrace.plans import standin as S
-from foretrace.plans.parts import SMAPE
+from foretrace.plans.parts import SMAPE, kolmogorov_sql
 from foretrace.plans.registry import part, register
 
 POINT = f"avg({SMAPE}) AS smape, avg(abs(y_true - y_pred)) AS mae, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, count(y_true - y_pred) AS n_obs"
@@ -49,10 +49,10 @@ def ks(spark, sf):
     return metrics.ks(S.Workspace(spark, sf).finished("test"), p_value=False)
 
 
-@register("metric_ks_p_values", "condition:s variable:s ks_statistic:d p_value:d")
+@register("metric_ks_p_values", "condition:s variable:s ks_statistic:d p_value:d p_log10:d", f"""
+SELECT *, log10(p_value) AS p_log10 FROM (SELECT condition, variable, ks_statistic, {kolmogorov_sql('ks_statistic', 'n1', 'n1')} AS p_value FROM ks_stats)""")
 def ks_p_values(spark, sf):
-    """No SQL counterpart: the engine has no closed form for p."""
-    return metrics.ks(S.Workspace(spark, sf).finished("test"))
+    return metrics.ks(S.Workspace(spark, sf).finished("test")).withColumn("p_log10", F.log10("p_value"))
 
 
 PAIRS = list(combinations(range(len(S.NAMES)), 2))
@@ -150,7 +150,7 @@ def factors_query(spark, sf):
 part("calibrated", """
 SELECT t.*, factor, CASE WHEN factor IS NULL THEN y_lower ELSE y_pred - factor*half END AS lo, CASE WHEN factor IS NULL THEN y_upper ELSE y_pred + factor*half END AS hi
 FROM test_set t LEFT JOIN factors USING (condition, variable)""")
-IN = "CAST(y_true BETWEEN lo - 1e-9*(hi - lo) AND hi + 1e-9*(hi - lo) AS DOUBLE)"
+IN = "CAST(CASE WHEN factor IS NULL THEN y_true BETWEEN y_lower AND y_upper ELSE abs(y_true - y_pred)/half <= factor END AS DOUBLE)"
 
 
 def both(spark, sf):
@@ -180,16 +180,27 @@ SELECT t.*, factor, CASE WHEN factor IS NULL THEN y_lower ELSE y_pred - factor*h
 FROM calibration t LEFT JOIN factors USING (condition, variable)""")
 
 
-@register("calibration_on_test", "condition:s variable:s factor:d coverage_before:d coverage_after:d width_before:d width_after:d", f"""
-SELECT condition, variable, max(factor) AS factor, avg({HIT}) AS coverage_before, avg({IN}) AS coverage_after,
-  avg(y_upper - y_lower) AS width_before, avg(hi - lo) AS width_after FROM calibrated WHERE condition NOT LIKE '%@alt' GROUP BY ALL""")
+part("keyed_test", """
+SELECT *, CASE WHEN factor IS NULL THEN y_lower ELSE y_pred - factor*half END AS lo, CASE WHEN factor IS NULL THEN y_upper ELSE y_pred + factor*half END AS hi FROM (
+  SELECT t.* EXCLUDE (factor, lo, hi), sha256(split_part(condition, '@', 1) || '|v' || k) AS settings_key, factor + 0.25*(k - 1) AS factor
+  FROM (SELECT *, 1 + stay_id % 2 AS k FROM calibrated WHERE condition NOT LIKE '%@alt') t)""")
+
+
+@register("calibration_on_test", "condition:s variable:s settings_key:s factor:d coverage_before:d coverage_after:d width_before:d width_after:d pooled_before:d pooled_after:d", f"""
+SELECT v.*, pooled_before, pooled_after FROM (
+  SELECT condition, variable, settings_key, max(factor) AS factor, avg({HIT}) AS coverage_before, avg({IN}) AS coverage_after,
+    avg(y_upper - y_lower) AS width_before, avg(hi - lo) AS width_after FROM keyed_test GROUP BY ALL) v
+JOIN (SELECT condition, settings_key, avg({HIT}) AS pooled_before, avg({IN}) AS pooled_after FROM keyed_test GROUP BY ALL) USING (condition, settings_key)""")
 def calibration_on_test(spark, sf):
-    """The '@alt' forecasts carry another settings key, so their factors are not applied."""
+    """Half of the stays were forecast under a second setting, whose factors are wider. The '@alt'
+    forecasts carry keys without factors and are left out."""
     _, cal, test = both(spark, sf)
-    factors = calibrate.conformal_factors(cal).withColumn("settings_key", calibrate.settings_key(F.split("condition", "@")[0], "v1"))
-    keyed = test.withColumn("settings_key", calibrate.settings_key(
-        F.split("condition", "@")[0], F.when(F.col("condition").endswith("@alt"), "v2").otherwise("v1")))
-    return calibrate.apply_to_test(keyed, factors)
+    base = F.split("condition", "@")[0]
+    fitted = calibrate.conformal_factors(cal).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    factors = fitted.withColumn("factor", F.col("factor") + 0.25 * (F.col("k") - 1)).withColumn(
+        "settings_key", calibrate.settings_key(base, F.concat(F.lit("v"), F.col("k").cast("string"))))
+    version = F.when(F.col("condition").endswith("@alt"), "v3").otherwise(F.concat(F.lit("v"), (1 + F.col("stay_id") % 2).cast("string")))
+    return calibrate.apply_to_test(test.withColumn("settings_key", calibrate.settings_key(base, version)), factors)
 
 
 @register("calibration_rejected_settings", "condition:s", "SELECT DISTINCT condition FROM test_set WHERE condition LIKE '%@alt'")
@@ -201,29 +212,34 @@ def rejected(spark, sf):
     return calibrate.rejected(keyed, factors)
 
 
-def grouped_sql(cal_tag, test_tag, group):
-    """One factor per group with fallback to the single one."""
+def grouped_sql(cal_tag, test_tag, group, zero=False):
+    """One factor per group with fallback to the single one where it is missing or, with ``zero``, 0."""
+    fine = "nullif(f.factor, 0)" if zero else "f.factor"
+    def fitted(keys):
+        return f"""(SELECT {keys}, score AS factor FROM (
+        SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY {keys}) AS n FROM (
+          SELECT {keys}, abs(y_true - y_pred)/half AS score FROM ({cal_tag}) WHERE y_true IS NOT NULL)
+        WINDOW w AS (PARTITION BY {keys} ORDER BY score)) WHERE r = least(n, (9*(n + 1) + 9)//10))"""
+
     return f"""
 SELECT condition, variable, {group}, max(fine) AS factor, avg(hit) AS coverage, count(hit) AS n_cells, max(cov) AS coverage_all, max(ratio) AS width_ratio FROM (
   SELECT *, avg(hit) OVER g AS cov, (avg(half*used) OVER g)/(avg(half*single) OVER g) AS ratio FROM (
     SELECT *, CAST(abs(y_true - y_pred)/half <= used AS DOUBLE) AS hit FROM (
-      SELECT t.*, s.factor AS single, f.factor AS fine, CASE WHEN f.factor IS NULL OR f.factor = 0 THEN s.factor ELSE f.factor END AS used
-      FROM ({test_tag}) t JOIN factors s USING (condition, variable)
-      LEFT JOIN (SELECT condition, variable, {group}, score AS factor FROM (
-        SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY condition, variable, {group}) AS n FROM (
-          SELECT condition, variable, {group}, abs(y_true - y_pred)/half AS score FROM ({cal_tag}) WHERE y_true IS NOT NULL)
-        WINDOW w AS (PARTITION BY condition, variable, {group} ORDER BY score)) WHERE r = least(n, (9*(n + 1) + 9)//10)) f
+      SELECT t.*, s.factor AS single, f.factor AS fine, coalesce({fine}, s.factor) AS used
+      FROM ({test_tag}) t JOIN {fitted('condition, variable')} s USING (condition, variable)
+      LEFT JOIN {fitted(f'condition, variable, {group}')} f
       USING (condition, variable, {group})))
   WINDOW g AS (PARTITION BY condition, variable)) GROUP BY ALL"""
 
 
+PERFECT = "CASE WHEN variable = 'view' AND hour < 8 AND y_true IS NOT NULL THEN y_pred ELSE y_true END"
 GROUPED = "factor:d coverage:d n_cells:i coverage_all:d width_ratio:d"
 MEASURED = "(SELECT stay_id, variable, CASE WHEN n_obs > 6 THEN 'measured' ELSE 'not_measured' END AS window_group FROM summary)"
 
 
 @register("coverage_by_window_group", f"condition:s variable:s window_group:s {GROUPED}", grouped_sql(
     f"SELECT * FROM calibration JOIN {MEASURED} USING (stay_id, variable)",
-    f"SELECT * FROM test_set JOIN {MEASURED} USING (stay_id, variable)", "window_group"))
+    f"SELECT * FROM test_set JOIN {MEASURED} USING (stay_id, variable)", "window_group", zero=True))
 def by_window(spark, sf):
     """Often measured (more than six bins) plays 'measured in the window'."""
     ws, cal, test = both(spark, sf)
@@ -232,14 +248,16 @@ def by_window(spark, sf):
 
 
 @register("coverage_by_hour_band", f"condition:s variable:s band:i {GROUPED}", grouped_sql(
-    "SELECT *, hour//8 AS band FROM calibration", "SELECT *, hour//8 AS band FROM test_set", "band"))
+    f"SELECT * REPLACE ({PERFECT} AS y_true), hour//8 AS band FROM calibration", "SELECT *, hour//8 AS band FROM test_set", "band"))
 def by_hour(spark, sf):
+    """One variable is calibrated on perfect forecasts of the first band, so its factor there is 0."""
     _, cal, test = both(spark, sf)
-    return calibrate.by_hour(cal, test)
+    perfect = (F.col("variable") == "view") & (F.col("hour") < 8) & F.col("y_true").isNotNull()
+    return calibrate.by_hour(cal.withColumn("y_true", F.when(perfect, F.col("y_pred")).otherwise(F.col("y_true"))), test)
 
 
 DIAG = ("condition:s variable:s factor:d cal_coverage:d cal_stays:i cal_cells:i test_coverage:d test_stays:i test_cells:i "
-        "cal_median:d cal_p90:d test_median:d test_p90:d ks_statistic:d")
+        "cal_median:d cal_p90:d test_median:d test_p90:d ks_statistic:d ks_p_value:d")
 part("all_scores", """
 SELECT 'cal' AS side, condition, variable, stay_id, hour, abs(y_true - y_pred)/half AS score FROM calibration WHERE y_true IS NOT NULL
 UNION ALL SELECT 'test', condition, variable, stay_id, hour, abs(y_true - y_pred)/half FROM test_set WHERE y_true IS NOT NULL""")
@@ -253,11 +271,12 @@ def side_sql(s):
 @register("coverage_diagnosis", DIAG, f"""
 SELECT * FROM (SELECT condition, variable, max(factor) AS factor, {side_sql('cal')}, {side_sql('test')}
   FROM all_scores JOIN factors USING (condition, variable) GROUP BY ALL)
-JOIN (SELECT condition, variable, max(abs(ca/na - cb/nb)) AS ks_statistic FROM (
+JOIN (SELECT condition, variable, ks_statistic, {kolmogorov_sql('ks_statistic', 'na', 'nb')} AS ks_p_value FROM (
+  SELECT condition, variable, max(abs(ca/na - cb/nb)) AS ks_statistic, max(na) AS na, max(nb) AS nb FROM (
   SELECT condition, variable, count(*) FILTER (side = 'cal') OVER w AS ca, count(*) FILTER (side = 'test') OVER w AS cb,
     count(*) FILTER (side = 'cal') OVER g AS na, count(*) FILTER (side = 'test') OVER g AS nb FROM all_scores
   WINDOW w AS (PARTITION BY condition, variable ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), g AS (PARTITION BY condition, variable))
-  GROUP BY ALL) USING (condition, variable)""")
+  GROUP BY ALL)) USING (condition, variable)""")
 def diagnosis(spark, sf):
     _, cal, test = both(spark, sf)
     return calibrate.diagnose(cal, test)
@@ -272,18 +291,18 @@ def by_hour_single(spark, sf):
 
 
 def draws_sql(source, keys, resamples, seed):
-    """Positions drawn per resample: four draws per digest, as on the Spark side."""
+    """Positions drawn per resample: two draws of 60 bits per digest, as on the Spark side."""
     ks = ", ".join(keys)
     return " UNION ALL ".join(f"""
-SELECT {ks}, k*4 + {i} AS b, CAST('0x' || substr(md5('{seed}:b:' || k || ':' || position), {1 + 8 * i}, 8) AS BIGINT) % n_rows AS position
-FROM {source} CROSS JOIN (SELECT unnest(range({(resamples + 3) // 4})) AS k) WHERE k*4 + {i} < {resamples}""" for i in range(4))
+SELECT {ks}, k*2 + {i} AS b, CAST('0x' || substr(md5('{seed}:b:' || k || ':' || position), {1 + 16 * i}, 15) AS BIGINT) % n_rows AS position
+FROM {source} CROSS JOIN (SELECT unnest(range({(resamples + 1) // 2})) AS k) WHERE k*2 + {i} < {resamples}""" for i in range(2))
 
 
 part("stay_hits", """
 SELECT *, row_number() OVER (PARTITION BY condition, variable ORDER BY md5('42:' || stay_id), stay_id) - 1 AS position, count(*) OVER (PARTITION BY condition, variable) AS n_rows
 FROM (SELECT condition, variable, stay_id, sum(CAST(abs(y_true - y_pred)/half <= factor AS INT)) AS hits, count(y_true) AS cells
   FROM test_set JOIN factors USING (condition, variable) GROUP BY ALL HAVING count(y_true) > 0)""")
-part("coverage_draws", draws_sql("stay_hits", ("condition", "variable"), 40, 42))
+part("coverage_draws", draws_sql("stay_hits", ("condition", "variable"), 1000, 42))
 
 
 @register("coverage_bootstrap", "condition:s variable:s ci_lo:d ci_hi:d", """
@@ -291,13 +310,13 @@ SELECT condition, variable, quantile_cont(v, 0.05) AS ci_lo, quantile_cont(v, 0.
   SELECT condition, variable, b, sum(hits)/sum(cells) AS v FROM coverage_draws JOIN stay_hits USING (condition, variable, position) GROUP BY ALL) GROUP BY ALL""")
 def coverage_bootstrap(spark, sf):
     _, cal, test = both(spark, sf)
-    return calibrate.bootstrap_coverage(test, calibrate.conformal_factors(cal), 40, 42)
+    return calibrate.bootstrap_coverage(test, calibrate.conformal_factors(cal), 1000, 42)
 
 
 part("cal_stays", """
 SELECT *, row_number() OVER (PARTITION BY condition, variable ORDER BY md5('42:' || stay_id), stay_id) - 1 AS position, count(*) OVER (PARTITION BY condition, variable) AS n_rows
 FROM (SELECT DISTINCT condition, variable, stay_id FROM calibration WHERE y_true IS NOT NULL)""")
-part("factor_draws", draws_sql("cal_stays", ("condition", "variable"), 40, 42))
+part("factor_draws", draws_sql("cal_stays", ("condition", "variable"), 500, 42))
 
 
 @register("conformal_factor_bootstrap", "condition:s variable:s ci_lo:d ci_hi:d", """
@@ -308,4 +327,4 @@ SELECT condition, variable, quantile_cont(score, 0.05) AS ci_lo, quantile_cont(s
   JOIN (SELECT condition, variable, stay_id, score FROM all_scores WHERE side = 'cal') USING (condition, variable, stay_id))
 WHERE r = least(n, (9*(n + 1) + 9)//10) GROUP BY ALL""")
 def factor_bootstrap(spark, sf):
-    return calibrate.bootstrap_factor(durable(S.Workspace(spark, sf).finished("calibration")), 40, seed=42)
+    return calibrate.bootstrap_factor(durable(S.Workspace(spark, sf).finished("calibration")), 500, seed=42)

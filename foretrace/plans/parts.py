@@ -14,6 +14,19 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def normal_p_sql(z: str) -> str:
+    """P(|Z| >= |z|) as in functions.pvalues."""
+    return (f"CASE WHEN abs({z}) < 0.1 THEN 1 - sqrt(2/pi())*(abs({z}) - pow(abs({z}), 3)/6 + pow(abs({z}), 5)/40 - pow(abs({z}), 7)/336) "
+            f"WHEN {z} IS NOT NULL THEN list_sum(list_transform(range(400), lambda i: exp(-({z})*({z})/(2*pow(sin((i + 0.5)*pi()/800), 2)))))/400 END")
+
+
+def kolmogorov_sql(d: str, n1: str, n2: str) -> str:
+    """The limit law of the two-sample distance as in functions.pvalues."""
+    x = f"({d}*sqrt({n1}::DOUBLE*{n2}/({n1} + {n2})))"
+    return (f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} < 1 THEN 1 - sqrt(2*pi())/{x}*list_sum(list_transform(range(12), lambda i: exp(-pow((2*i + 1)*pi()/{x}, 2)/8))) "
+            f"ELSE least(1.0, greatest(0.0, 2*list_sum(list_transform(range(12), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END*exp(-2*pow((i + 1)*{x}, 2)))))) END")
+
+
 VARS = values([(n, i) for i, n in enumerate(NAMES)])
 CONDS = values([(c,) for c in CONDITIONS])
 # Hard upper bound per variable; the lower one is 0 for all.

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretrace.functions.durable import durable
-from foretrace.operators import metrics, stats, tuning
+from foretrace.operators import critic, metrics, stats, tuning
 from foretrace.plans import standin as S
 from foretrace.plans.feature_queries import knn_vectors, train_horizon
-from foretrace.plans.forecast_queries import best_sql
+from foretrace.plans.forecast_queries import best_sql, replay_tables
 from foretrace.plans.metric_queries import draws_sql
-from foretrace.plans.parts import SMAPE, adjusted, final
+from foretrace.plans.parts import SMAPE, adjusted, final, normal_p_sql
 from foretrace.plans.registry import part, register
 
-B = 40
+B = 2000
 PAIRS = [("single_model_llm", "full_pipeline"), ("full_pipeline_no_critic", "full_pipeline"),
          ("single_model_llm@alt", "full_pipeline@alt"), ("full_pipeline_no_critic@alt", "full_pipeline@alt")]
 
@@ -26,7 +26,7 @@ def paired_sql(pairs, source="per_stay", extra=""):
     cols = "".join(f"a.{c}, " for c in extra.split())
     on = " AND ".join(["a.stay_id = b.stay_id"] + [f"a.{c} = b.{c}" for c in extra.split()])
     return " UNION ALL ".join(
-        f"SELECT {cols}'{pair_name(p)}' AS comparison, a.stay_id, a.smape AS smape_a, b.smape AS smape_b, a.smape - b.smape AS d "
+        f"SELECT {cols}'{pair_name(p)}' AS comparison, a.stay_id, a.smape AS smape_a, b.smape AS smape_b, round(a.smape - b.smape, 12) AS d "
         f"FROM {source} a JOIN {source} b ON {on} WHERE a.condition = '{p[0]}' AND b.condition = '{p[1]}'" for p in pairs)
 
 
@@ -51,9 +51,18 @@ def bootstrap_mean(spark, sf):
     return stats.bootstrap_ci(durable(S.Workspace(spark, sf).finished("test").transform(metrics.per_stay_smape)), ["condition"], "smape", B)
 
 
-@register("bootstrap_poisson_interval", "condition:s n:i mean:d")
+STEPS = stats.poisson_steps()
+part("poisson_weights", " UNION ALL ".join(f"""
+SELECT condition, smape, k*2 + {i} AS b, {' + '.join(f"CAST(u >= {s!r} AS INT)" for s in STEPS)} AS w FROM (
+  SELECT condition, smape, k, CAST('0x' || substr(md5('42:p:' || k || ':' || stay_id), {1 + 16 * i}, 15) AS BIGINT)/1152921504606846976.0 AS u
+  FROM per_stay CROSS JOIN (SELECT unnest(range({B // 2})) AS k) WHERE smape IS NOT NULL)""" for i in range(2)))
+
+
+@register("bootstrap_poisson_interval", "condition:s n:i mean:d ci_lo:d ci_hi:d", """
+SELECT p.*, ci_lo, ci_hi FROM (SELECT condition, count(smape) AS n, avg(smape) AS mean FROM per_stay GROUP BY ALL) p
+JOIN (SELECT condition, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM (
+  SELECT condition, b, sum(smape*w)/nullif(sum(w), 0) AS m FROM poisson_weights GROUP BY ALL) GROUP BY ALL) USING (condition)""")
 def bootstrap_poisson(spark, sf):
-    """Interval ends are random weights; rows only."""
     return stats.bootstrap_ci(metrics.per_stay_smape(S.Workspace(spark, sf).finished("test")), ["condition"], "smape", B, method="poisson")
 
 
@@ -88,9 +97,11 @@ def signed_rank_ties(spark, sf):
     return stats.wilcoxon(lines, ["group"], "d", p_value=False)
 
 
-@register("signed_rank_p_values", "comparison:s statistic:d p_value:d")
+@register("signed_rank_p_values", "comparison:s statistic:d p_value:d p_log10:d", f"""
+SELECT *, log10(p_value) AS p_log10 FROM (
+  SELECT comparison, statistic, {normal_p_sql('z')} AS p_value FROM ({signed_rank_sql("SELECT * FROM paired", ["comparison"])}))""")
 def signed_rank_p(spark, sf):
-    return stats.wilcoxon(paired(spark, sf), ["comparison"], "d")
+    return stats.wilcoxon(paired(spark, sf), ["comparison"], "d").withColumn("p_log10", F.log10("p_value"))
 
 
 def rank_sum_sql(source, keys):
@@ -103,27 +114,31 @@ SELECT {ks}, n1, n2, u, (abs(u - n1*n2/2) - 0.5)/sqrt(n1*n2/12*(n1 + n2 + 1 - ti
       SELECT *, rank() OVER (PARTITION BY {ks} ORDER BY v) AS r, count(*) OVER (PARTITION BY {ks}, v) AS t FROM ({source})) GROUP BY ALL))"""
 
 
-@register("rank_sum_test", "l_linestatus:s n1:i n2:i u:d z:d", rank_sum_sql(
-    "SELECT l_linestatus, l_discount AS v, l_returnflag = 'R' AS first FROM lineitem", ["l_linestatus"]))
+def with_rank_sum_p(sql):
+    return f"SELECT *, log10(p_value) AS p_log10 FROM (SELECT *, CASE WHEN z < 0 THEN 1.0 ELSE {normal_p_sql('z')} END AS p_value FROM ({sql}))"
+
+
+@register("rank_sum_test", "l_linestatus:s n1:i n2:i u:d z:d p_value:d p_log10:d", with_rank_sum_p(rank_sum_sql(
+    "SELECT l_linestatus, l_discount AS v, l_returnflag = 'R' AS first FROM lineitem", ["l_linestatus"])))
 def rank_sum(spark, sf):
     lines = S.table(spark, sf, "lineitem").select("l_linestatus", "l_discount", "l_returnflag")
-    return stats.mann_whitney(lines, ["l_linestatus"], "l_discount", F.col("l_returnflag") == "R", p_value=False)
+    return stats.mann_whitney(lines, ["l_linestatus"], "l_discount", F.col("l_returnflag") == "R").withColumn("p_log10", F.log10("p_value"))
 
 
 # --- comparisons -----------------------------------------------------------------
 
-COMPARE = "comparison:s n_pairs:i a_mean:d a_ci_lo:d a_ci_hi:d b_mean:d b_ci_lo:d b_ci_hi:d statistic:d z:d"
+COMPARE = "comparison:s n_pairs:i a_mean:d a_ci_lo:d a_ci_hi:d b_mean:d b_ci_lo:d b_ci_hi:d statistic:d z:d p_value:d"
 
 
-def compare_sql(name, pairs):
-    part(f"{name}_paired", paired_sql(pairs))
+def compare_sql(name, pairs, source="per_stay"):
+    part(f"{name}_paired", paired_sql(pairs, source))
     boot_sql(name, f"SELECT comparison, 'a' AS side, stay_id, smape_a AS smape FROM {name}_paired UNION ALL "
                    f"SELECT comparison, 'b', stay_id, smape_b FROM {name}_paired", ("comparison", "side"), "smape")
     side = ", ".join(f"max({c}) FILTER (side = '{s}') AS {s}_{c}" for s in "ab" for c in ("mean", "ci_lo", "ci_hi"))
     # The test is reported for ten pairs or more that are not all close to each other.
     tested = "n_pairs >= 10 AND far > 0"
     return f"""
-SELECT * EXCLUDE (far, rank_statistic, rank_z), CASE WHEN {tested} THEN rank_statistic END AS statistic, CASE WHEN {tested} THEN rank_z END AS z
+SELECT * EXCLUDE (far, rank_statistic, rank_z), CASE WHEN {tested} THEN rank_statistic END AS statistic, CASE WHEN {tested} THEN rank_z END AS z, CASE WHEN {tested} THEN {normal_p_sql('rank_z')} END AS p_value
 FROM (SELECT comparison, count(d) AS n_pairs, max(abs(d) - (1e-8 + 1e-5*abs(smape_b))) AS far FROM {name}_paired GROUP BY ALL)
 LEFT JOIN (SELECT comparison, {side} FROM {name}_ci GROUP BY ALL) USING (comparison)
 LEFT JOIN (SELECT comparison, statistic AS rank_statistic, z AS rank_z FROM ({signed_rank_sql(f'SELECT * FROM {name}_paired', ['comparison'])})) USING (comparison)"""
@@ -133,7 +148,7 @@ LEFT JOIN (SELECT comparison, statistic AS rank_statistic, z AS rank_z FROM ({si
 def compare_listed(spark, sf):
     """One listed pair lacks its forecasts and is skipped."""
     done = durable(S.Workspace(spark, sf).finished("test"))
-    return stats.compare_many(done, [*PAIRS, ("full_pipeline", "not_there")], B, p_value=False)
+    return stats.compare_many(done, [*PAIRS, ("full_pipeline", "not_there")], B)
 
 
 VARIANTS = stats.all_pairs(S.CONDITIONS)
@@ -141,7 +156,7 @@ VARIANTS = stats.all_pairs(S.CONDITIONS)
 
 @register("compare_model_variants", COMPARE, compare_sql("variants", VARIANTS))
 def compare_variants(spark, sf):
-    return stats.compare_many(durable(S.Workspace(spark, sf).finished("test")), VARIANTS, B, p_value=False)
+    return stats.compare_many(durable(S.Workspace(spark, sf).finished("test")), VARIANTS, B)
 
 
 ABLATION = [p for p in PAIRS if p[0].startswith("full_pipeline_no_critic")]
@@ -182,7 +197,7 @@ def question(name, columns, sql, table):
     def run(spark, sf):
         ws = S.Workspace(spark, sf)
         done = durable(ws.finished("test"))
-        return stats.question_report(done, ws.flags(), S.VARIABLES, (None, "alt"), resamples=B, p_value=False)[table]
+        return stats.question_report(done, ws.flags(), S.VARIABLES, (None, "alt"), resamples=B)[table]
 
     return run
 
@@ -218,20 +233,20 @@ def sampled_flags(ws):
     return ws.flags().select("stay_id", "deteriorating", F.explode(F.array(*[F.lit(s) for s in SAMPLES])).alias("sample"))
 
 
-@register("pooled_comparison", "comparison:s scope:s subgroup:s n:i mean_diff:d share_a_better:d w_plus:d z:d ci_lo:d ci_hi:d", f"""
-SELECT * FROM ({signed_rank_sql('SELECT * FROM scoped', ['comparison', 'scope', 'subgroup'])})
+@register("pooled_comparison", "comparison:s scope:s subgroup:s n:i mean_diff:d share_a_better:d w_plus:d z:d p_value:d ci_lo:d ci_hi:d", f"""
+SELECT *, {normal_p_sql('z')} AS p_value FROM ({signed_rank_sql('SELECT * FROM scoped', ['comparison', 'scope', 'subgroup'])})
 JOIN (SELECT comparison, scope, subgroup, avg(d) AS mean_diff, avg(CAST(d < 0 AS DOUBLE)) AS share_a_better FROM scoped GROUP BY ALL) USING (comparison, scope, subgroup)
 LEFT JOIN (SELECT comparison, scope, subgroup, ci_lo, ci_hi FROM pool_ci) USING (comparison, scope, subgroup)""")
 def pooled(spark, sf):
     ws = S.Workspace(spark, sf)
-    return stats.pooled_compare(sampled(ws), sampled_flags(ws), POOL_PAIRS, B, p_value=False)
+    return stats.pooled_compare(sampled(ws), sampled_flags(ws), POOL_PAIRS, B)
 
 
-@register("pooled_subgroup_interaction", "comparison:s n1:i n2:i u:d z:d", rank_sum_sql(
-    "SELECT comparison, d AS v, subgroup = 'stable' AS first FROM scoped WHERE scope = 'pooled' AND subgroup <> 'all'", ["comparison"]))
+@register("pooled_subgroup_interaction", "comparison:s n1:i n2:i u:d z:d p_value:d", with_rank_sum_p(rank_sum_sql(
+    "SELECT comparison, d AS v, subgroup = 'stable' AS first FROM scoped WHERE scope = 'pooled' AND subgroup <> 'all'", ["comparison"])))
 def interaction(spark, sf):
     ws = S.Workspace(spark, sf)
-    return stats.subgroup_interaction(sampled(ws), sampled_flags(ws), POOL_PAIRS, p_value=False)
+    return stats.subgroup_interaction(sampled(ws), sampled_flags(ws), POOL_PAIRS)
 
 
 @register("shared_test_stays", "sample_a:s sample_b:s n_shared:i", """
@@ -372,3 +387,25 @@ def reproduces(spark, sf):
     fitted = postprocess.fit(ws.raw("calibration"), ws.recent(), S.VARIABLES)
     kept = spark.createDataFrame([(c, 0.1, 0.75) for c in S.CONDITIONS], "condition string, drift_damping double, level_anchor_weight double")
     return tuning.reproduces(fitted, kept)
+
+
+# --- replayed critic arms --------------------------------------------------------
+
+part("arm_smape", f"SELECT condition, stay_id, avg({SMAPE}) AS smape FROM arm_test GROUP BY ALL")
+boot_sql("arms_boot", "arm_smape", ("condition",), "smape")
+
+
+@register("critic_replay_scores", "condition:s smape:d ci_lo:d ci_hi:d coverage:d violations:i", """
+SELECT condition, mean AS smape, ci_lo, ci_hi, coverage, violations FROM arms_boot_ci
+JOIN (SELECT condition, avg(CAST(y_true BETWEEN y_pred - factor*half AND y_pred + factor*half AS DOUBLE)) AS coverage,
+        count(*) FILTER (y_pred < 5 OR y_pred > 150) AS violations FROM arm_test GROUP BY condition) USING (condition)""")
+def replay_scores(spark, sf):
+    return critic.replay_scores(replay_tables(spark, sf)[0], S.VARIABLES, resamples=B).withColumnRenamed("mean", "smape")
+
+
+REPLAYED = critic.ARMS[:3]
+
+
+@register("critic_replay_pairs", COMPARE, compare_sql("arm_pairs", critic.arm_pairs(REPLAYED), "arm_smape"))
+def replay_pairs(spark, sf):
+    return critic.replay_pairs(durable(replay_tables(spark, sf)[0]), REPLAYED, B)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretrace.functions import pvalues, ranks
+from foretrace.functions.draws import digest, long_word
 from foretrace.operators import calibrate, metrics, stats
 
 
@@ -61,7 +62,7 @@ def test_signed_rank_statistic(skewed, limit):
 
 def test_signed_rank_exact_small(spark):
     d = [1.5, -0.5, 2.5, 3.5, -1.0, 4.0, 0.25]
-    got = stats.wilcoxon(spark.createDataFrame([(x,) for x in d], "d double"), [], "d").first()
+    got = stats.wilcoxon(spark.createDataFrame([(x,) for x in d], "d double"), [], "d", law="exact").first()
     r = brute_ranks(np.abs(np.array(d)))
     w = min(sum(r[i] for i, x in enumerate(d) if x > 0), sum(r[i] for i, x in enumerate(d) if x < 0))
     hits = sum(sum(rr for rr, s in zip(r, signs) if s) <= w for signs in itertools.product((0, 1), repeat=len(d)))
@@ -71,7 +72,7 @@ def test_signed_rank_exact_small(spark):
 def test_rank_sum(spark):
     a, b = [1.0, 4.0, 6.0, 9.0], [2.0, 3.0, 5.0, 7.0, 8.0, 10.0]
     df = spark.createDataFrame([(x, True) for x in a] + [(x, False) for x in b], "v double, first boolean")
-    got = stats.mann_whitney(df.withColumn("g", F.lit(0)), ["g"], "v", F.col("first")).first()
+    got = stats.mann_whitney(df.withColumn("g", F.lit(0)), ["g"], "v", F.col("first"), law="exact").first()
     u = sum(x > y for x in a for y in b)
     assert got.u == u
     every = [sum(x > y for x in c for y in set(a + b) - set(c)) for c in itertools.combinations(a + b, len(a))]
@@ -79,11 +80,35 @@ def test_rank_sum(spark):
     assert np.isclose(got.p_value, min(1, 2 * sum(e <= low for e in every) / len(every)))
 
 
-def test_extreme_p_values_are_resolved():
-    assert 0 < pvalues._normal_two_sided(10.5) < 1e-24
-    assert pvalues.kolmogorov(0.0, 5, 5) == 1.0
-    # Two samples of three that do not overlap: 2 of 20 orders are this extreme.
-    assert np.isclose(pvalues.kolmogorov(1.0, 3, 3), 2 / 20)
+def test_normal_and_limit_laws_are_resolved(spark):
+    zs = [0.0, 1e-4, 0.05, 0.1, 0.7, -2.5, 6.0, 10.5, 25.0]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(pvalues.normal_two_sided("z").alias("p")).collect()]
+    np.testing.assert_allclose(got, [math.erfc(abs(z) / math.sqrt(2)) for z in zs], rtol=1e-8)
+    xs = [0.05, 0.2, 0.5, 0.99, 1.0, 1.5, 4.0, 9.0]
+    df = spark.createDataFrame([(x / math.sqrt(5000.0), 10_000, 10_000) for x in xs], "d double, a long, b long")
+    got = [r.p for r in df.select(pvalues.kolmogorov_p("d", "a", "b").alias("p")).collect()]
+    want = [min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2.0 * (k * x) ** 2) for k in range(1, 400)))) for x in xs]
+    np.testing.assert_allclose(got, want, rtol=1e-8, atol=1e-12)
+
+
+def test_exact_laws_count_orders():
+    rng = np.random.default_rng(1)
+    for n1, n2 in ((3, 3), (3, 5), (4, 6)):
+        values = rng.permutation(n1 + n2).astype(float)
+        gap = lambda c: max(abs(sum(v in c for v in values if v <= x) / n1 - sum(v not in c for v in values if v <= x) / n2) for x in values)
+        every = [gap(set(c)) for c in itertools.combinations(values, n1)]
+        for d in set(np.round(every, 9)):
+            assert np.isclose(pvalues.exact_kolmogorov(d, n1, n2), np.mean([e >= d - 1e-9 for e in every]))
+    assert pvalues.exact_kolmogorov(0.0, 5, 5) == 1.0
+    # Unequal sizes beyond any threshold still follow the exact law, close to the limit.
+    assert np.isclose(pvalues.exact_kolmogorov(0.12, 300, 450), 0.0108, atol=0.003)
+
+
+def test_draws_reach_every_position_of_huge_groups(spark):
+    n = 3_000_000_000
+    df = spark.range(20_000).select((long_word(digest(42, "b", F.lit(0), F.col("id"))) % n).alias("p"))
+    counts = [r.n for r in df.groupBy(F.floor(F.col("p") * 10 / n).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(counts) == 10 and min(counts) > 1800 and max(counts) < 2200
 
 
 def test_bootstrap_interval_behaves(spark):
