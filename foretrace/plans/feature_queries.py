@@ -83,10 +83,11 @@ def neighbour_features(spark, sf):
     return vectors.select("stay_id", F.posexplode("vector").alias("feature", "value"))
 
 
-@register("tree_features", "stay_id:i click_last:d click_n_obs:d purchase_slope:d view_mean:d view_std:d", """
-SELECT stay_id, coalesce(max(last) FILTER (variable = 'click'), 0.0) AS click_last, max(n_obs) FILTER (variable = 'click') AS click_n_obs,
-  coalesce(max(slope) FILTER (variable = 'purchase'), 0.0) AS purchase_slope, coalesce(max(mean) FILTER (variable = 'view'), 0.0) AS view_mean,
-  coalesce(max(std) FILTER (variable = 'view'), 0.0) AS view_std FROM summary GROUP BY stay_id""")
+TREE = [(v, s) for v in S.NAMES for s in ("last", "mean", "std", "slope", "n_obs")]
+
+
+@register("tree_features", "stay_id:i " + " ".join(f"{v}_{s}:d" for v, s in TREE), f"""
+SELECT stay_id, {', '.join(f"coalesce(max({s}) FILTER (variable = '{v}'), 0.0) AS {v}_{s}" for v, s in TREE)} FROM summary GROUP BY stay_id""")
 def tree_features(spark, sf):
     return features.tree_vector(S.Workspace(spark, sf).series(), S.VARIABLES)
 

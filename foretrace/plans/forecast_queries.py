@@ -6,6 +6,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from foretrace.functions.durable import durable
 from foretrace.operators import critic, forecast, postprocess
 from foretrace.operators.forecast import gbt_fit, gbt_predict
 from foretrace.plans import standin as S
@@ -199,8 +200,6 @@ WHERE y_true IS NOT NULL GROUP BY ALL""")
 
 @register("postprocess_two_fold_validation", "condition:s strategy:s grid:s score:d", cv_sql())
 def two_fold(spark, sf):
-    from foretrace.functions.durable import durable
-
     ws = S.Workspace(spark, sf)
     return postprocess.cross_validate(durable(ws.raw("calibration")), ws.recent(), S.VARIABLES)
 
@@ -330,8 +329,6 @@ SELECT a.*, coalesce(factor, 1.0) AS factor FROM arm_final a LEFT JOIN arm_facto
 
 
 def replay_tables(spark, sf):
-    from foretrace.functions.durable import durable
-
     ws = S.Workspace(spark, sf)
     sides = []
     for which in ("calibration", "test"):
@@ -386,18 +383,47 @@ def finished_run(spark, sf):
     return forecast_store.stored_run(cal, test, ws.recent(), S.VARIABLES, settings)[0]
 
 
+def half_stored(spark, sf):
+    """A third of the test stays stored under the same settings, a third under others in another run."""
+    from foretrace.plans.cohort_queries import scratch
+
+    ws = S.Workspace(spark, sf)
+    path = scratch(spark, "batches")
+    done = durable(ws.finished("test", ["full_pipeline"]))
+    forecast_store.write(done.filter(F.col("stay_id") % 3 == 0), path, "mine", "b0", {"k": 20})
+    forecast_store.write(done.filter(F.col("stay_id") % 3 == 1), path, "other", "b1", {"k": 50})
+    return done, path
+
+
 @register("forecast_pending_stays", "stay_id:i", """
 SELECT stay_id FROM cohort WHERE split = 'test' AND stay_id % 3 <> 0""")
 def pending(spark, sf):
-    """A third of the test stays is already stored under the same settings,
-    another third under different ones."""
-    ws = S.Workspace(spark, sf)
-    mine, other = {"k": 20}, {"k": 50}
-    test = ws.cohort.filter(F.col("split") == "test").select("stay_id")
-    done = test.filter(F.col("stay_id") % 3 == 0).withColumn("fingerprint", forecast_store.fingerprint(mine)).unionByName(
-        test.filter(F.col("stay_id") % 3 == 1).withColumn("fingerprint", forecast_store.fingerprint(other))).withColumn(
-        "condition", F.lit("full_pipeline"))
-    return forecast_store.pending(test, done, "full_pipeline", mine)
+    done, path = half_stored(spark, sf)
+    return forecast_store.pending(done.select("stay_id").distinct(), forecast_store.read(spark, path), "full_pipeline", {"k": 20})
+
+
+@register("forecast_store_resumed", "stay_id:i variable:s hour:i y_pred:d fingerprint:s", """
+SELECT stay_id, variable, hour, y_pred, sha256('{"k": 20}') AS fingerprint FROM test_set WHERE condition = 'full_pipeline'""")
+def resumed(spark, sf):
+    """A first batch, then what is still pending, then that batch once more; each row is there once."""
+    done, path = half_stored(spark, sf)
+    left = forecast_store.pending(done.select("stay_id").distinct(), forecast_store.read(spark, path, "mine"), "full_pipeline", {"k": 20})
+    rest = durable(done.join(left, "stay_id", "left_semi"))
+    for _ in range(2):
+        forecast_store.write(rest, path, "mine", "b1", {"k": 20})
+    return forecast_store.read(spark, path, "mine")
+
+
+@register("forecast_store_changed_settings", "condition:s fingerprint:s", """
+SELECT 'full_pipeline' AS condition, sha256('{"k": 50}') AS fingerprint FROM test_set WHERE condition = 'full_pipeline' AND stay_id % 3 = 1 LIMIT 1""")
+def changed_settings(spark, sf):
+    """Stored settings that differ from the present ones; writing under them is refused."""
+    done, path = half_stored(spark, sf)
+    try:
+        forecast_store.write(done, path, "other", "b2", {"k": 20})
+    except ValueError:
+        return forecast_store.changed(forecast_store.read(spark, path), "full_pipeline", {"k": 20})
+    raise AssertionError("a changed fingerprint was accepted")
 
 
 @register("forecast_overridden_conditions", "sample:s condition:s stay_id:i variable:s hour:i y_pred:d", """

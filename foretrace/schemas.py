@@ -26,5 +26,5 @@ MAPPING = _fields("variable string, source string, itemid long, label string")
 PANEL = _fields("stay_id long, variable string, hour int, value double")
 FORECASTS = _fields(
     "run string, condition string, stay_id long, variable string, hour int, "
-    "y_true double, y_pred double, y_lower double, y_upper double, y_raw double"
+    "y_true double, y_pred double, y_lower double, y_upper double, y_raw double, fingerprint string"
 )

@@ -6,24 +6,42 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foretrace import schemas
 from foretrace.operators.forecast import ensemble
 
 
-def write(forecasts: DataFrame, path: str, run: str, mode: str = "append") -> None:
-    """Partitioned by run and condition, so a reader opens only what it asks for."""
-    names = [f.name for f in schemas.FORECASTS.fields]
-    df = forecasts.withColumn("run", F.lit(run))
-    for name in names:
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast("double"))
-    df.select(*names).write.mode(mode).partitionBy("run", "condition").parquet(path)
+def write(forecasts: DataFrame, path: str, run: str, batch: str = "all", params: dict | None = None) -> None:
+    """Partitioned by run, condition and batch, so a reader opens only what it asks for.
+
+    Writing a batch again replaces it; other batches stay. ``params`` are the settings it was
+    computed under, stored as a fingerprint; a condition stored under others is refused."""
+    spark = forecasts.sparkSession
+    df = forecasts.drop("fingerprint").withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch))
+    if params is not None:
+        df = df.withColumn("fingerprint", fingerprint(params))
+        if _exists(spark, path):
+            stored = read(spark, path, run).join(df.select("condition").distinct(), "condition", "left_semi")
+            if stored.filter(F.col("fingerprint") != fingerprint(params)).head(1):
+                raise ValueError(f"run {run!r} was stored under other settings; use another path or run")
+    fields = [f for f in schemas.FORECASTS.fields]
+    for f in fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    df.select(*[f.name for f in fields], "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run", "condition", "batch").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def read(spark: SparkSession, path: str, run: str | None = None, conditions: list[str] | None = None) -> DataFrame:
     """A condition that was never stored simply has no rows."""
-    df = spark.read.schema(schemas.FORECASTS).parquet(path)
+    names = [f.name for f in schemas.FORECASTS.fields]
+    df = spark.read.schema(T.StructType([*schemas.FORECASTS.fields, T.StructField("batch", T.StringType())])).parquet(path).select(*names)
     if run is not None:
         df = df.filter(F.col("run") == run)
     if conditions is not None:

@@ -14,9 +14,13 @@ def events_path(root: str, kind: str, window_hours: int) -> str:
 
 
 def write_events(df: DataFrame, root: str, kind: str, window_hours: int, cluster_by: str | None = None) -> str:
-    """Filtered events as Parquet; clustering by key keeps row groups skippable."""
+    """Filtered events as Parquet; clustering by key keeps row groups skippable. The ranges are
+    over the key and a hash of the row, so one key with very many events spreads over many tasks."""
     path = events_path(root, kind, window_hours)
-    out = df.repartition(cluster_by).sortWithinPartitions(cluster_by) if cluster_by else df
+    out = df
+    if cluster_by:
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        out = df.withColumn("_spread", spread).repartitionByRange(cluster_by, "_spread").sortWithinPartitions(cluster_by).drop("_spread")
     out.write.mode("overwrite").parquet(path)
     return path
 
