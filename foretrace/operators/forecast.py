@@ -167,17 +167,21 @@ def run_conditions(summary: DataFrame, conditions: list[str], variables: list[Va
     return out
 
 
-def ensemble(forecasts: DataFrame, members: list[str], name: str | None = None) -> DataFrame:
-    """Mean forecast and mean half-width of the members; null where any member is."""
+def ensemble(forecasts: DataFrame, members: list[str], name: str | None = None, keys: tuple[str, ...] = (),
+             same_stays: bool = False) -> DataFrame:
+    """Mean forecast and mean half-width of the members, per ``keys``; null where any member is.
+    ``same_stays``: members that forecast different stays are an error (runs a small job)."""
     if len(members) < 2:
         raise ValueError("an ensemble needs at least two members")
+    if same_stays and member_mismatch(forecasts, members).head(1):
+        raise ValueError(f"the members {members} forecast different stays")
     n = len(members)
     width = (F.col("y_upper") - F.col("y_lower")) / 2
-    joined = forecasts.filter(F.col("condition").isin(members)).groupBy("stay_id", "variable", "hour").agg(
+    joined = forecasts.filter(F.col("condition").isin(members)).groupBy(*keys, "stay_id", "variable", "hour").agg(
         F.max("y_true").alias("y_true"),
         F.when(F.count("y_pred") == n, F.avg("y_pred")).alias("y_pred"),
         F.when(F.count(width) == n, F.avg(width)).alias("width"))
-    return with_interval(joined.withColumn("condition", F.lit(name or "+".join(members)))).select(*COLUMNS)
+    return with_interval(joined.withColumn("condition", F.lit(name or "+".join(members)))).select(*keys, *COLUMNS)
 
 
 def member_mismatch(forecasts: DataFrame, members: list[str]) -> DataFrame:

@@ -19,7 +19,10 @@ TIMEOUT, SERVER_ERROR = "llm_timeout", "llm_server_error"
 TRUNCATED, OVERFLOW, MALFORMED = "truncated_forecast", "context_overflow", "malformed_forecast"
 ZERO_INTERVAL, ABSURD = "zero_interval", "absurd_values"
 
-_TOP = "forecast map<string,string>, interval_halfwidth map<string,string>"
+# Widths keep the JSON type of their entries; forecasts take any text that is a number.
+_TOP = "array<struct<forecast: map<string,string>, interval_halfwidth: map<string,variant>>>"
+_NUMBER = r"(?i)^\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*$"
+_NOT_FINITE = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 
 
 def extract_json(text: Column | str = "text") -> Column:
@@ -32,27 +35,42 @@ def extract_json(text: Column | str = "text") -> Column:
 
 
 def parse(responses: DataFrame) -> DataFrame:
-    """Adds ``parsed`` (two string maps, null parts when absent or malformed)."""
-    return responses.withColumn("parsed", F.from_json(extract_json(), _TOP))
+    """Adds ``parsed`` (two maps, null parts when absent or malformed; null when the block is
+    not JSON: quotes are double and nothing follows the object)."""
+    wrapped = F.from_json(F.concat(F.lit("["), extract_json(), F.lit("]")), _TOP, {"allowSingleQuotes": "false"})
+    return responses.withColumn("parsed", F.when(F.size(wrapped) == 1, wrapped[0]))
+
+
+def _last(entries: Column, name: str) -> Column:
+    """The value of a key; of a doubled key the last one."""
+    same = F.filter(F.map_entries(entries), lambda e: e["key"] == name)
+    return F.try_element_at(F.transform(same, lambda e: e["value"]), F.lit(-1))
+
+
+def _number(text: Column) -> Column:
+    """A written number, NaN for one that is not finite, null for any other text."""
+    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double")).when(text.rlike(_NOT_FINITE), F.lit(float("nan")))
 
 
 def _finite(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
 
 
-def halfwidths(text: Column, horizon: int) -> Column:
-    """A number, a list of ``horizon`` numbers or {start, end} as absolute values
-    per hour; null for any other shape. The end points are interpolated."""
-    number = text.try_cast("double")
-    listed = F.from_json(text, "array<double>")
-    ends = F.from_json(text, "start double, end double")
+def halfwidths(value: Column, horizon: int) -> Column:
+    """A variant that holds a number, a list of ``horizon`` numbers or {start, end}, as absolute
+    values per hour; null for any other shape. The end points are interpolated. A single width
+    has to be a JSON number; inside a list or pair, quoted numbers count too."""
+    kind, text = F.schema_of_variant(value), F.to_json(value)
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    listed = F.transform(F.from_json(text, "array<string>"), _number)
+    pair = F.from_json(text, "start string, end string")
+    ends = F.struct(_number(pair["start"]).alias("start"), _number(pair["end"]).alias("end"))
     hours = F.sequence(F.lit(0), F.lit(horizon - 1))
     step = lambda h: ends["start"] + (ends["end"] - ends["start"]) * h / F.lit(max(1, horizon - 1))
     both = ends["start"].isNotNull() & ends["end"].isNotNull()
-    starts = F.substring(F.ltrim(text), 1, 1)
     raw = (
-        F.when(starts == "[", F.when(F.size(listed) == horizon, listed))
-        .when(starts == "{", F.when(both, F.transform(hours, step)))
+        F.when(kind.startswith("ARRAY"), F.when((F.size(listed) == horizon) & ~F.exists(listed, lambda x: x.isNull()), listed))
+        .when(kind.startswith("OBJECT"), F.when(both, F.transform(hours, step)))
         .when(number.isNotNull(), F.array_repeat(number, horizon)))
     return F.transform(raw, lambda x: F.abs(x))
 
@@ -66,16 +84,19 @@ def validate(responses: DataFrame, variables: list[Variable], windows: Windows)
     entries = []
     for v in variables:
         present = F.coalesce(F.map_contains_key(values_map, v.name), F.lit(False))
-        text = F.try_element_at(values_map, F.lit(v.name))
-        values = F.when(F.substring(F.ltrim(text), 1, 1) == "[", F.from_json(text, "array<double>"))
-        widths = halfwidths(F.try_element_at(width_map, F.lit(v.name)), h)
+        text = _last(values_map, v.name)
+        listed = F.when(F.substring(F.ltrim(text), 1, 1) == "[", F.from_json(text, "array<string>"))
+        # A null counts as a value that is not finite; a text that is no number spoils the answer.
+        values = F.transform(listed, lambda x: F.when(x.isNull(), F.lit(float("nan"))).otherwise(_number(x)))
+        widths = halfwidths(_last(width_map, v.name), h)
         low, high = (F.lit(x).cast("double") for x in v.sane)
         absurd = F.exists(values, lambda x: ~_finite(x) | outside(x, low, high))
         entries.append(F.struct(
             F.lit(v.name).alias("variable"), present.alias("present"), values.alias("values"),
             widths.alias("widths"), (present & F.coalesce(absurd, F.lit(False))).alias("absurd")))
     df = parsed.withColumn("_vars", F.array(*entries))
-    wrong = F.exists("_vars", lambda s: s["present"] & ~F.coalesce(F.size(s["values"]) == h, F.lit(False)))
+    right = lambda s: (F.size(s["values"]) == h) & ~F.exists(s["values"], lambda x: x.isNull())
+    wrong = F.exists("_vars", lambda s: s["present"] & ~F.coalesce(right(s), F.lit(False)))
     usable = lambda s: s["present"] & ~s["absurd"]
     nothing = ~F.exists("_vars", usable)
     no_width = F.exists("_vars", lambda s: usable(s) & s["widths"].isNull())
@@ -172,9 +193,8 @@ def audit(responses: DataFrame, variables: list[Variable], windows: Windows) ->
     """Shape of each answer: parses, variables of the right length, longest run of decimals."""
     parsed = parse(responses)
     values_map = F.col("parsed.forecast")
-    block = extract_json()
-    parses = F.coalesce(F.get_json_object(block, "$").isNotNull(), F.lit(False))
-    sizes = [F.coalesce(F.size(F.from_json(F.try_element_at(values_map, F.lit(v.name)), "array<string>")), F.lit(-1)) for v in variables]
+    parses = F.col("parsed").isNotNull()
+    sizes = [F.coalesce(F.size(F.from_json(_last(values_map, v.name), "array<string>")), F.lit(-1)) for v in variables]
     right = sum([F.when(s == windows.horizon, 1).otherwise(0) for s in sizes], F.lit(0))
     runs = F.transform(F.regexp_extract_all("text", F.lit(r"\d\.(\d+)"), 1), lambda x: F.length(x))
     return parsed.select(

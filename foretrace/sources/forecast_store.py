@@ -106,7 +106,4 @@ def with_overrides(store: DataFrame, samples: DataFrame, overrides: DataFrame) -
 
 def override_ensemble(forecasts: DataFrame, members: list[str]) -> DataFrame:
     """The ensemble of (possibly overridden) members, per sample."""
-    tagged = forecasts.withColumn("variable", F.concat_ws("\u0001", "sample", "variable"))
-    mixed = ensemble(tagged, members)
-    parts = F.split("variable", "\u0001")
-    return mixed.withColumn("sample", parts[0]).withColumn("variable", parts[1])
+    return ensemble(forecasts, members, keys=("sample",))

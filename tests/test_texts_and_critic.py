@@ -119,6 +119,37 @@ def test_unusable_answers_fall_back(spark, text, kind):
     assert got["b"].y == [55.0] * 3
 
 
+GOOD = '{"forecast": {"a": [1, 2, 3], "b": [4, 5, 6]}, "interval_halfwidth": {"a": %s, "b": 2}}'
+
+
+def test_what_counts_as_json(spark):
+    rows = {
+        "trailing": body() + " and {more}", "single": body().replace('"', "'"), "suffix": GOOD % '"1d"', "quoted": GOOD % '"1"',
+        "listed": GOOD % '[1, "2", 3]', "boolean": GOOD % "true", "null": GOOD % "null", "nan": GOOD % "NaN",
+        "half": body()[: len(body()) // 2], "prose": "it will be fine", "words": body().replace("[1, 2, 3]", '["1", "two", 3]'),
+        "strings": body().replace("[1, 2, 3]", '["1", 2.5, "3e0"]'), "double": GOOD % 1 + "",
+        "doubled": '{"forecast": {"a": [9, 9, 9], "b": [4, 5, 6], "a": [1, 2, 3]}, "interval_halfwidth": {"a": 7, "b": 2, "a": 1}}'}
+    df = spark.createDataFrame(list(rows.items()), "condition string, text string")
+    got = {(r.condition, r.variable): r for r in responses.validate(df, VS, W).collect()}
+    bad = {k for k in rows if got[k, "a"].malformed}
+    assert bad == {"trailing", "single", "suffix", "quoted", "boolean", "null", "half", "prose", "words"}
+    assert got["listed", "a"].widths == [1.0, 2.0, 3.0] and got["strings", "a"]["values"] == [1.0, 2.5, 3.0]
+    assert got["doubled", "a"]["values"] == [1.0, 2.0, 3.0] and got["doubled", "a"].widths == [1.0] * 3
+    assert all(x != x for x in got["nan", "a"].widths) and got["nan", "a"].usable
+    parses = {r.condition: r.parses for r in responses.audit(df, VS, W).collect()}
+    assert {k for k, v in parses.items() if not v} == {"trailing", "single", "half", "prose"}
+
+
+def test_members_have_to_forecast_the_same_stays(spark):
+    rows = [("x", 1, "a", 0, 1.0, 2.0, 1.0, 3.0), ("y", 1, "a", 0, 1.0, 4.0, 3.0, 5.0), ("x", 2, "a", 0, 1.0, 2.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "condition string, stay_id long, variable string, hour int, y_true double, y_pred double, y_lower double, y_upper double")
+    from foretrace.operators import forecast
+
+    assert forecast.ensemble(df, ["x", "y"]).count() == 2
+    with pytest.raises(ValueError):
+        forecast.ensemble(df, ["x", "y"], same_stays=True)
+
+
 def test_failures_before_parsing(spark):
     assert answer(spark, "", status="timeout")["a"].error_kind == "llm_timeout"
     assert answer(spark, "", status="server_error")["a"].error_kind == "llm_server_error"
