@@ -74,6 +74,8 @@ def _junk(name: str, attributes: dict[str, str]) -> bool:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
+    if name in ("article", "main", "body"):  # their names tell what else the page has
+        return False
     return any(w in JUNK_NAMES for w in re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
 
 

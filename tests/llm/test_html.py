@@ -26,6 +26,11 @@ def test_article_without_the_rest(weight):
     assert html.main_text(PAGE % ARTICLE, weight).split("\n\n") == WANTED
 
 
+def test_names_of_the_page_itself_are_no_junk(weight):
+    page = (PAGE % ARTICLE).replace("<body>", '<body class="has-sidebar">').replace("<article>", '<article id="main-with-comments">')
+    assert html.main_text(page, weight).split("\n\n") == WANTED
+
+
 def test_pages_that_mark_no_article(weight):
     text = html.main_text(PAGE % DIVS, weight)
     assert text.split("\n\n") == [f"Paragraph {k} has a number of plain words in it." for k in range(6)]
