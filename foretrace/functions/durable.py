@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +33,20 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foretrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove what durable() has written in this process; call it once the results are stored."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        n += 1
+    return n
+
+
 # Keys whose combinations are configuration: a table with one row per combination
 # has at most (conditions x variables x groups) rows, whatever the data volume.
 CONFIG_KEYS = {"condition", "variable", "settings_key", "band", "window_group", "setting"}

@@ -198,3 +198,14 @@ def test_deterioration_window_is_inclusive(spark):
     starts = spark.createDataFrame([(i, t0 + timedelta(hours=h)) for i, h in enumerate((23.9, 24, 48, 48.1), 1)], "stay_id long, starttime timestamp")
     got = {r.stay_id: r.deteriorating for r in stats.deterioration_flags(cohort, starts, Windows(24, 24), 24).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_release_removes_what_was_written(spark, monkeypatch):
+    from foretrace.functions import durable
+
+    monkeypatch.setattr(durable, "_written", [])
+    kept = durable.durable(spark.range(3))
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and durable.release(spark) == 1 and durable.release(spark) == 0
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
