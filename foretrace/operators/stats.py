@@ -169,19 +169,28 @@ def _pair_roles(pairs: list[tuple[str, str]]) -> Column:
     return F.explode(F.array_compact(F.array(*entries)))
 
 
-def paired_errors(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, comparison, stay_id, smape_a, smape_b, d) over the stays common to
-    both conditions. The pair list is configuration; stays are matched by one
-    grouped pass, not by a join. Differences are rounded far below any of interest, so that
-    equal forecasts differ by 0 in whatever order their errors were added."""
+def _sides(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides' errors by comparison and stay, and ``_n``, how many sides forecast the stay."""
     involved = sorted({c for p in pairs for c in p})
     errors = per_stay_smape(forecasts.filter(F.col("condition").isin(involved)), (*keys, "condition"))
     roles = errors.withColumn("_r", _pair_roles(pairs)).select(
         *keys, F.col("_r.comparison").alias("comparison"), F.col("_r.role").alias("role"), "stay_id", "smape")
     side = lambda r: F.max(F.when(F.col("role") == r, F.col("smape")))
-    both = roles.groupBy(*keys, "comparison", "stay_id").agg(
+    return roles.groupBy(*keys, "comparison", "stay_id").agg(
         side("a").alias("smape_a"), side("b").alias("smape_b"), F.countDistinct("role").alias("_n"))
-    return both.filter(F.col("_n") == 2).drop("_n").withColumn(
+
+
+def unpaired_stays(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Stays that only one side of a comparison forecasts."""
+    return _sides(forecasts, pairs, keys).filter(F.col("_n") < 2).select(*keys, "comparison", "stay_id")
+
+
+def paired_errors(forecasts: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, comparison, stay_id, smape_a, smape_b, d) over the stays common to
+    both conditions. The pair list is configuration; stays are matched by one
+    grouped pass, not by a join. Differences are rounded far below any of interest, so that
+    equal forecasts differ by 0 in whatever order their errors were added."""
+    return _sides(forecasts, pairs, keys).filter(F.col("_n") == 2).drop("_n").withColumn(
         "d", F.round(F.col("smape_a") - F.col("smape_b"), D_PLACES))
 
 
@@ -300,9 +309,12 @@ def pooled_scopes(paired: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def pooled_compare(forecasts: DataFrame, flags: DataFrame, pairs: list[tuple[str, str]], resamples: int = 2000,
-                   alpha: float = 0.05, seed: int = 42, p_value: bool = True) -> DataFrame:
+                   alpha: float = 0.05, seed: int = 42, p_value: bool = True, same_stays: bool = False) -> DataFrame:
     """(comparison, scope, subgroup): n, mean difference, share where the first
-    is better, signed-rank test, and the pooled bootstrap interval."""
+    is better, signed-rank test, and the pooled bootstrap interval. ``same_stays``: sides that
+    forecast different stays of a sample are an error (runs a small job)."""
+    if same_stays and unpaired_stays(forecasts, pairs, ("sample",)).head(1):
+        raise ValueError("the sides of a comparison forecast different stays")
     scoped = durable(pooled_scopes(paired_errors(forecasts, pairs, ("sample",)), flags))
     keys = ["comparison", "scope", "subgroup"]
     base = scoped.groupBy(*keys).agg(

@@ -209,3 +209,12 @@ def test_release_removes_what_was_written(spark, monkeypatch):
     assert kept.count() == 3 and durable.release(spark) == 1 and durable.release(spark) == 0
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_sides_of_a_pooled_comparison_have_to_forecast_the_same_stays(spark):
+    rows = [("s", c, i, "a", 0, 1.0, 2.0) for c in ("x", "y") for i in range(3) if (c, i) != ("y", 2)]
+    df = spark.createDataFrame(rows, "sample string, condition string, stay_id long, variable string, hour int, y_true double, y_pred double")
+    flags = spark.createDataFrame([("s", 0, True)], "sample string, stay_id long, deteriorating boolean")
+    assert [r.stay_id for r in stats.unpaired_stays(df, [("x", "y")], ("sample",)).collect()] == [2]
+    with pytest.raises(ValueError):
+        stats.pooled_compare(df, flags, [("x", "y")], 10, same_stays=True)
