@@ -8,6 +8,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foretrace.llm import decontam, lines, near, packing, quality
 from foretrace.llm.queries import tokenizer
-from foretrace.llm.store import shared_folder, table
+from foretrace.llm.store import shared_folder, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,21 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed_documents(docs, tokenizer())
 
 
+def _shipped(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("near dedup", near_dedup),
-    ("decontamination", benchmark_decontamination),
-    ("packing", best_fit_packing),
+    ("quality rules", _shipped(quality_rules)),
+    ("line dedup", _shipped(line_dedup)),
+    ("near dedup", _shipped(near_dedup)),
+    ("decontamination", _shipped(benchmark_decontamination)),
+    ("packing", _shipped(best_fit_packing)),
 ]
 
 # Tokens, perplexities and signatures are beyond SQL; tests compare with brute force.

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +51,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once in an application, so that workers need no
+    installed copy. Registered queries and pipeline stages do it; a job that has the package
+    among its --py-files need not."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="llm-")) / f"{package.name}-llm.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        out.write(package / "__init__.py", f"{package.name}/__init__.py")
+        for file in sorted((package / "llm").glob("*.py")):
+            out.write(file, f"{package.name}/llm/{file.name}")
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def with_bytes(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """The named columns, and the text as UTF-8 bytes (null: empty) in ``text``."""
     return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
