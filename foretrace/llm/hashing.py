@@ -101,8 +101,11 @@ class MinHash:
     def minima_of_runs(self, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(size, runs) minima of consecutive non-empty runs of 32-bit hashes."""
         out = np.empty((self.size, len(starts)), np.uint32)
+        turned = np.empty_like(low)
         for j in range(self.size):
-            out[j] = np.minimum.reduceat((low ^ self.flip[j]) * self.times[j], starts)
+            np.bitwise_xor(low, self.flip[j], out=turned)
+            np.multiply(turned, self.times[j], out=turned)
+            np.minimum.reduceat(turned, starts, out=out[j])
         return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from foretrace.llm.hashing import MinHash, Spans, band_keys, mixed, packed_bits
 from foretrace.llm.links import similar_components
-from foretrace.llm.sketches import Bits
+from foretrace.llm.sketches import Bits, cell_bits, count_min
 from foretrace.llm.store import keep, with_bytes
 
 SHINGLE = 8
@@ -29,57 +29,69 @@ PERCENT = 80
 PERMUTATIONS, BITS = 48, 4
 BANDS, ROWS = 12, 4  # a pair at 0.8 shares no band 18 times in 10,000, one at 0.9 hardly ever
 FLOOR = 0.2
-CHUNK = 100_000
+CHUNK = 60_000
 _LAST = (1 << 63) - 1
 _MARK = "__removed_lines__"
+_BLANKS = bytes.maketrans(b"\t\v\f\r", b"    ")
 
 
 @functools.lru_cache(maxsize=1)
-def _tools() -> tuple[Spans, MinHash]:
-    return Spans(0), MinHash(PERMUTATIONS, seed=4)
+def _tools() -> tuple[Spans, MinHash, np.ndarray]:
+    return Spans(0), MinHash(PERMUTATIONS, seed=4), np.random.default_rng(11).integers(0, 1 << 64, 1 << 16, dtype=np.uint64)
 
 
 def plain_lines(text: bytes) -> tuple[list[int], list[str]]:
     """Numbers and compared forms of the lines that have a word."""
+    flat = text.lower().translate(_BLANKS)
+    while b"  " in flat:
+        flat = flat.replace(b"  ", b" ")
     numbers, lines = [], []
-    for k, line in enumerate(text.lower().split(b"\n")):
-        if words := line.split():
+    for k, line in enumerate(flat.decode("utf-8", "replace").split("\n")):
+        if line := line.strip(" "):
             numbers.append(k)
-            lines.append(b" ".join(words).decode("utf-8", "replace"))
+            lines.append(line)
     return numbers, lines
 
 
-def _prefix(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums over the code points of all lines, and where each line starts and ends."""
-    spans = _tools()[0]
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    if len(points) >= len(spans.up):
-        spans.grow(2 * len(points))
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mixed(points + np.uint64(1)) * spans.up[: len(points)], out=sums[1:])
-    ends = np.cumsum([len(x) for x in lines])
-    return sums, ends - [len(x) for x in lines], ends
+class _Lines:
+    """Prefix sums over the code points of some lines, and where each line starts and ends."""
+
+    def __init__(self, lines: list[str]):
+        self.spans, _, table = _tools()
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+        if len(points) >= len(self.spans.up):
+            self.spans.grow(2 * len(points))
+        values = table[points & np.uint32(0xFFFF)]
+        if len(points) and points.max() > 0xFFFF:
+            values = values + mixed((points >> np.uint32(16)).astype(np.uint64)) * np.uint64(2)
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(values * self.spans.up[: len(points)], out=self.sums[1:])
+        length = np.array([len(x) for x in lines], np.int64)
+        self.ends = np.cumsum(length)
+        self.starts = self.ends - length
+
+    def ids(self) -> np.ndarray:
+        return self.spans.hashes(self.sums, self.starts, self.ends).view(np.int64)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles of all lines, in order, not yet mixed, and where each line's
+        begin. A line shorter than a shingle is one itself."""
+        length = self.ends - self.starts
+        n = np.maximum(1, length - SHINGLE + 1)
+        runs = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(self.starts - runs, n)
+        ends = at + SHINGLE
+        short = np.flatnonzero(length < SHINGLE)
+        ends[runs[short]] = self.ends[short]
+        return (self.sums[ends] - self.sums[at]) * self.spans.down[at], runs
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
-    if not lines:
-        return np.zeros(0, np.int64)
-    return _tools()[0].hashes(*_prefix(lines)).view(np.int64)
-
-
-def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, in order, and where each line's begin. A line
-    shorter than a shingle is one itself."""
-    sums, starts, ends = _prefix(lines)
-    length = ends - starts
-    n = np.maximum(1, length - SHINGLE + 1)
-    runs = np.cumsum(n) - n
-    at = np.arange(int(n.sum())) + np.repeat(starts - runs, n)
-    return _tools()[0].hashes(sums, at, at + np.repeat(np.minimum(length, SHINGLE), n)), runs
+    return _Lines(lines).ids()
 
 
 def shingle_set(line: bytes) -> np.ndarray:
-    return np.unique(line_shingles([line.decode("utf-8", "replace")])[0])
+    return np.unique(_Lines([line.decode("utf-8", "replace")]).shingles()[0])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -97,10 +109,11 @@ def signed_lines(docs: DataFrame) -> DataFrame:
         lines: list[str] = []
 
         def send() -> pd.DataFrame:
-            hashes, runs = line_shingles(lines)
-            low = _tools()[1].minima_of_runs(hashes.astype(np.uint32), runs).T
+            own = _Lines(lines)
+            hashes, runs = own.shingles()
+            low = _tools()[1].minima_of_runs((hashes >> np.uint64(32)).astype(np.uint32), runs).T
             out = pd.DataFrame(place, columns=names[:3]).assign(
-                id=line_ids(lines), keys=list(band_keys(low, BANDS, ROWS)), sig=list(packed_bits(low, BITS)))
+                id=own.ids(), keys=list(band_keys(low, BANDS, ROWS)), sig=list(packed_bits(low, BITS)))
             place.clear()
             lines.clear()
             return out
@@ -123,15 +136,42 @@ def signed_lines(docs: DataFrame) -> DataFrame:
     return plain.mapInPandas(sign, "doc long, crc long, line int, id long, keys array<long>, sig array<long>")
 
 
-def _texts(docs: DataFrame, wanted: Bits) -> DataFrame:
-    """id, text of lines that the filter hits; a task sends each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _place_hash(doc: Column, crc: Column) -> Column:
+    return F.xxhash64(doc, crc)
+
+
+def _places(rows: DataFrame, doc: str, crc: str) -> Bits:
+    """A filter of fixed size that hits every document of the rows and few others."""
+    hashed = rows.select(_place_hash(F.col(doc), F.col(crc)).alias("h")).distinct()
+    return count_min(hashed, lambda batch: iter([batch["h"].to_numpy(np.int64).view(np.uint64)]), cell_bits(hashed.count()), level=1)
+
+
+def _is_hit(places: Bits, spark):
+    shared = spark.sparkContext.broadcast(places)
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.hit(h.to_numpy(np.int64)))
+
+    return hit
+
+
+def _texts(docs: DataFrame, lines: DataFrame, wanted: Bits) -> DataFrame:
+    """id, text of lines that the filter hits, read from the first document of each; a task
+    sends each once."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(wanted)
+    hit = _is_hit(wanted, spark)
+    first = lines.filter(hit("id")).groupBy("id").agg(F.min(F.struct("doc", "crc")).alias("p")).select("p.doc", "p.crc")
+    # Tested where the lines are read: a second Python step in one stage would hold a second worker.
+    places = spark.sparkContext.broadcast(_places(first, "doc", "crc"))
+    docs = _keyed(docs.select("doc_id", "text")).withColumn("h", _place_hash(F.col("__doc__"), F.col("__crc__")))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"][places.value.hit(batch["h"].to_numpy(np.int64))]:
                 lines = plain_lines(text)[1]
                 ids = line_ids(lines)
                 for k in np.flatnonzero(shared.value.hit(ids)):
@@ -142,7 +182,7 @@ def _texts(docs: DataFrame, wanted: Bits) -> DataFrame:
                 sent.clear()
             yield pd.DataFrame(rows, columns=["id", "text"])
 
-    return with_bytes(docs).mapInPandas(pick, "id long, text binary")
+    return with_bytes(docs, "h").mapInPandas(pick, "id long, text binary")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -150,7 +190,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = keep(signed_lines(docs))
     words = PERMUTATIONS * BITS // 64
     known = similar_components(lines.select("id", "keys", "sig"), words, BITS, FLOOR,
-                               lambda wanted: _texts(docs, wanted), shingle_set, percent)
+                               lambda wanted: _texts(docs, lines, wanted), shingle_set, percent)
     place = F.struct("doc", "crc", "line")
     firsts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = keep(firsts.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -161,7 +201,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _marked(docs: DataFrame, percent: int) -> DataFrame:
-    return _keyed(docs).join(removed_lines(docs, percent), ["__doc__", "__crc__"], "left").drop("__doc__", "__crc__")
+    """Only the texts of documents that lose a line meet their marks in a shuffle."""
+    removed = keep(removed_lines(docs, percent))
+    some = _is_hit(_places(removed, "__doc__", "__crc__"), docs.sparkSession)
+    keyed = _keyed(docs).withColumn("__hit__", some(_place_hash(F.col("__doc__"), F.col("__crc__"))))
+    changed = keyed.filter("__hit__").join(removed.hint("shuffle_hash"), ["__doc__", "__crc__"], "left")
+    same = keyed.filter(~F.col("__hit__")).withColumn(_MARK, F.lit(None).cast("array<int>"))
+    return changed.select(*docs.columns, _MARK).union(same.select(*docs.columns, _MARK))
 
 
 def _kept(text: Column) -> Column:

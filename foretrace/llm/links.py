@@ -11,6 +11,7 @@ of copies costs one pair for each of its items; nothing is emitted for pairs tha
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -197,10 +198,11 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
         """Those of the pairs whose full sets are similar enough."""
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = functools.lru_cache(maxsize=1000)(set_of)  # a hub has many pairs
             for batch in batches:
                 good = []
                 for x, y in zip(batch["a_text"], batch["b_text"]):
-                    x, y = set_of(x), set_of(y)
+                    x, y = own(x), own(y)
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
                 yield batch.loc[np.array(good, bool), ["a", "b"]]
