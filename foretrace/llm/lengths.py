@@ -21,6 +21,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
         coder = word_ids(tokenizer)
         for batch in batches:
             yield pd.DataFrame({"n_tokens": [len(coder.ids(t)) // 4 for t in batch["text"]]}, dtype="int64")
+        coder.forget()
 
     return with_bytes(docs).mapInPandas(count, "n_tokens long")
 

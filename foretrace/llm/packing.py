@@ -45,6 +45,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = SEQUE
                     rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else ())))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else ())])
             yield out.astype({"doc_id": "Int64"})
+        coder.forget()
 
     plain = with_bytes(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
     return plain.mapInPandas(encode, PIECES + (", ids binary" if with_ids else ""))

@@ -34,7 +34,7 @@ class WordIds(dict):
     is encoded; a plain one by the model alone, from the units it has, any other by the whole
     tokenizer. Each cache is emptied when it holds ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -63,6 +63,11 @@ class WordIds(dict):
         self[word] = found
         return found
 
+    def forget(self) -> None:
+        """Free the caches; worker processes outlive their tasks."""
+        self.clear()
+        self.units.clear()
+
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text, four bytes each."""
         return b"".join(map(self.__getitem__, text.split()))
