@@ -76,7 +76,7 @@ def shared_buckets(items: DataFrame, flush: int = 1_000_000) -> DataFrame:
     spark = items.sparkSession
     size = items.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
     read = lambda batch: iter([np.concatenate([np.asarray(k, np.int64) for k in batch["keys"]]).view(np.uint64)] if len(batch) else [])
-    known = spark.sparkContext.broadcast(count_min(items.select("keys"), read, cell_bits(size), flush=flush))
+    known = spark.sparkContext.broadcast(count_min(items.select("keys"), read, cell_bits(size / 2), flush=flush))
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

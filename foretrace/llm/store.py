@@ -65,6 +65,8 @@ def ship(spark: SparkSession) -> None:
         for file in sorted((package / "llm").glob("*.py")):
             out.write(file, f"{package.name}/llm/{file.name}")
     context.addPyFile(str(archive))
+    # Texts are long: fewer rows in a batch bound what a worker holds at a time.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(context.applicationId)
 
 
