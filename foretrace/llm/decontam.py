@@ -1,10 +1,10 @@
-"""Find benchmark items in training texts: rare n-gram seeds, then Smith-Waterman alignment.
+"""Find benchmark items in training texts: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the items. A first pass over the texts counts in how many documents
-each seed occurs; the rarer half of an item's seeds are used. In the second pass, a document that
-has such a seed is aligned with the item around it, so that edited, shortened and partly
-paraphrased copies score too. Items are handled in blocks of bounded size; texts are never
-shuffled and every document is compared with every block.
+Seeds are the word n-grams of the items. A document that has any seed of an item is aligned with the
+item around it, so that edited, shortened and partly paraphrased copies score too, however many
+other copies there are. An upper bound of the score, from the words that a passage shares with
+the item, spares the alignments that cannot reach the share asked for; it loses none. Items
+are handled in blocks of bounded size; texts are read once for a block and never shuffled.
 """
 
 from __future__ import annotations
@@ -65,6 +65,13 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def bound(known: np.ndarray) -> int:
+    """No local score is larger, if ``known`` tells which passage words the item has: of the words
+    that an alignment spans, each of these scores MATCH at most and each other one costs something."""
+    total = np.cumsum(np.where(known, MATCH, max(MISMATCH, GAP)))
+    return int((total - np.minimum.accumulate(np.minimum(total, 0))).max(initial=0)) if len(total) else 0
+
+
 class Items:
     """A block of benchmark items with their seeds."""
 
@@ -73,6 +80,7 @@ class Items:
         known = [k for k, j in enumerate(joined) if j]
         self.ids = [ids[k] for k in known]
         self.words = [word_hashes(joined[k]) for k in known]
+        self.sorted_words = [np.unique(w) for w in self.words]
         own = [seeds_of(joined[k]) for k in known]
         self.sizes = sorted({min(len(w), SEED_WORDS) for w in self.words})
         self.seed = np.concatenate([np.zeros(0, np.uint64), *own])
@@ -87,19 +95,6 @@ class Items:
             return np.zeros(len(found), bool)
         return self.seed[np.minimum(np.searchsorted(self.seed, found), len(self.seed) - 1)] == found
 
-    def rarer(self, frequency: dict[int, int]) -> "Items":
-        """Keeps, of the seeds that an item shares with any document, those in no more documents
-        than the median one of them."""
-        n = np.array([frequency.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        use = np.zeros(len(n), bool)
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.cumsum(np.bincount(self.item, minlength=len(self.ids)))[:-1]):
-            met = own[n[own] > 0]
-            if len(met):
-                use[met] = n[met] <= np.sort(n[met])[(len(met) - 1) // 2]
-        self.seed, self.item, self.place = self.seed[use], self.item[use], self.place[use]
-        return self
-
     def hits(self, joined: bytes) -> list[tuple[int, int]]:
         """(place, hash) of the seeds in a plain text. Items shorter than a seed are seeds of their own length."""
         found = []
@@ -131,6 +126,10 @@ class Items:
                     passages[-1][1] = max(passages[-1][1], b)
                 else:
                     passages.append([a, b])
+            own = self.sorted_words[k]
+            passages = [(a, b) for a, b in passages if bound(own[np.minimum(np.searchsorted(own, words[a:b]), len(own) - 1)] == words[a:b]) / (MATCH * len(item)) >= least]
+            if not passages:
+                continue
             score, first, end = max((score, a, a + end) for a, b in passages for score, end in [alignment(item, words[a:b])])
             share = score / (MATCH * len(item))
             if share >= least:
@@ -150,23 +149,6 @@ def _blocks(items: DataFrame) -> Iterator[Items]:
         yield Items([r["item_id"] for r in rows], [bytes(r["text"]) for r in rows])
 
 
-def seed_frequency(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each seed occurs; tasks send sums, a row per seed at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        total: dict[int, int] = {}
-        for batch in batches:
-            for text in batch["text"]:
-                for seed in {int(h) for _, h in known.hits(plain(text))}:
-                    total[seed] = total.get(seed, 0) + 1
-        yield pd.DataFrame({"seed": np.array(list(total), np.uint64).view(np.int64), "n": list(total.values())}).astype("int64")
-
-    sums = with_bytes(docs).mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in sums.collect()}  # no more than the seeds of one block
-
-
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """doc_id, item_id, score, share, first_word, end_word for each document and each item of which
     it holds a copy: ``share`` is the alignment score over that of a full copy.
@@ -175,7 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SHARE)
     equal results. Word numbers count words without ASCII punctuation."""
     out = None
     for block in _blocks(items):
-        ready = docs.sparkSession.sparkContext.broadcast(block.rarer(seed_frequency(docs, block)))
+        ready = docs.sparkSession.sparkContext.broadcast(block)
 
         def align(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
             known = ready.value
@@ -203,6 +185,6 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST_SHARE) -> Data
     """The documents that hold no copy of an item; all columns stay."""
     out = docs
     for block in _blocks(items):
-        ready = docs.sparkSession.sparkContext.broadcast(block.rarer(seed_frequency(docs, block)))
+        ready = docs.sparkSession.sparkContext.broadcast(block)
         out = out.filter(~_holder(ready, least)(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return out

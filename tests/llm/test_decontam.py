@@ -65,6 +65,26 @@ def test_shares_equal_brute_force_over_whole_texts(spark, docs, items):
     assert got == wanted
 
 
+def test_an_edited_copy_is_found_beside_full_and_other_copies(spark, docs):
+    words = [f"w{k}" for k in range(22)]
+    edited = [f"x{k}" if k in (10, 13, 16, 19) else w for k, w in enumerate(words)]
+    other = [f"y{k}" if k in (3, 6) else w for k, w in enumerate(words)]
+    table = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    # The edited copy keeps eight of twenty seeds, all of them also in the full copy.
+    rows = [(1, "a " + " ".join(words) + " b"), (2, "c " + " ".join(edited) + " d"), (3, "e " + " ".join(other)), (4, "w0 w1 w2 " + "z " * 40)]
+    for kept in ([0, 1, 3], [0, 1, 2, 3]):
+        found = decontam.contaminated(docs([rows[k] for k in kept]), table).collect()
+        assert {r.doc_id: r.score for r in found} == {rows[k][0]: brute_alignment(words, rows[k][1].split()) for k in kept if k < 3}
+        assert [r.doc_id for r in decontam.clean(docs([rows[k] for k in kept]), table).collect()] == [4]
+
+
+def test_no_score_exceeds_its_bound():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        assert decontam.bound(np.isin(b, a)) >= brute_alignment(a, b)
+
+
 def test_copies_in_every_document_and_in_blocks(spark, docs, items, monkeypatch):
     texts, table = items
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
