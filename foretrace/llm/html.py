@@ -38,6 +38,8 @@ CONTAINER = frozenset("article main section div body td table ul ol blockquote".
 KNOWN = BLOCK | VOID | frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# A tag behind its name, to its end. Quotes count only where a value begins, and only if they close.
+TAG_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+>""")
 # What counts before any page is read: (inside, outside) of each kind.
 PRIOR = {"word p": (50, 5), "word h": (6, 3), "word li": (3, 3), "word td": (2, 2), "word other": (4, 6), "word link": (2, 20), "word junk": (1, 60)}
 TAG_PRIOR, LEAST_TAG_COST, LIMIT = (2.0, 2.0), 0.05, 4.0
@@ -55,18 +57,11 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
-def _tag_end(page: str, start: int) -> int:
-    """Where the tag that begins at ``start`` ends: at the first > outside quotes, or, if quotes
-    do not close within a few thousand characters, at the first > there is."""
-    first = end = page.find(">", start)
-    if first < 0:
-        return len(page)
-    while end >= 0 and end - start < 4000:
-        part = page[start:end]
-        if part.count('"') % 2 == 0 or "=" not in part:
-            return end
-        end = page.find(">", end + 1)
-    return first
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends before ``at``: at the first > outside quoted values. A
+    quote that never closes on the page is none."""
+    found = TAG_REST.match(page, at)
+    return found.end() - 1 if found else len(page)
 
 
 def _junk(name: str, attributes: dict[str, str]) -> bool:
@@ -114,14 +109,15 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
             end = page.find("-->", found.end())
             at = len(page) if end < 0 else end + 3
             continue
-        end = _tag_end(page, found.start())
-        at = min(len(page), end + 1)
         name = (found.group(2) or "!").lower()
+        end = page.find(">", found.end()) if name == "!" else _tag_end(page, found.end())
+        end = len(page) if end < 0 else end
+        at = min(len(page), end + 1)
         closing = found.group(1) == "/"
         if name in RAW:
             if not closing and page[end - 1 : end] != "/":
                 close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-                at = len(page) if not close else min(len(page), _tag_end(page, close.start()) + 1)
+                at = len(page) if not close else min(len(page), _tag_end(page, close.end()) + 1)
             continue
         if name == "!":
             continue

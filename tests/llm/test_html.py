@@ -61,6 +61,14 @@ def test_long_pages_take_linear_time(weight):
     assert html.main_text(page, weight).count("\n\n") >= 50_000
 
 
+def test_tags_end_outside_their_quotes(weight):
+    state = "x > y <p>" * 600
+    for given in (f'data-state="{state}"', f"data-state='{state}'", """title='5" > 4'""", '''title="it's > that"'''):
+        page = (PAGE % ARTICLE).replace("<article>", f"<article {given}>").replace("<p>End.", f"<p {given}>End.")
+        assert html.main_text(page, weight).split("\n\n") == WANTED
+    assert html.main_text(PAGE % ARTICLE + "<p title='never closed>", weight).split("\n\n") == WANTED
+
+
 def test_every_page_has_a_row(spark):
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", PAGE % "", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
