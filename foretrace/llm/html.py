@@ -24,11 +24,15 @@ RAW = frozenset("script style title textarea noscript template iframe object svg
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 JUNK = frozenset("nav header footer aside form dialog menu fieldset label address".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# Words of class and id values, split at anything but letters.
+WRAPPERS = frozenset("form fieldset".split())  # of a whole page at times
+# Words of class and id values, split at anything but letters. They tell what an element is, unless
+# it holds most of the page's words; after one of STATES, they tell what else the page has.
 JUNK_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments reply replies respond disqus discussion social share sharing related recommended widget pagination pager toolbar".split())
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())  # may well be longer than the article
+STATES = frozenset("has with without no is not".split())
 ARTICLE = frozenset("article main".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -37,7 +41,7 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article main section div body td table ul ol blockquote".split()) | JUNK
 KNOWN = BLOCK | VOID | frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 # A tag behind its name, to its end. Quotes count only where a value begins, and only if they close.
 TAG_REST = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+>""")
 # What counts before any page is read: (inside, outside) of each kind.
@@ -64,21 +68,65 @@ def _tag_end(page: str, at: int) -> int:
     return found.end() - 1 if found else len(page)
 
 
-def _junk(name: str, attributes: dict[str, str]) -> bool:
-    if name in JUNK or attributes.get("role", "").lower() in JUNK_ROLES:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+def _attributes(page: str, start: int, end: int) -> dict[str, str]:
+    """The attributes of a tag; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(page, start, end):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(given: dict[str, str]) -> bool:
+    return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in "".join(given.get("style", "").split()).lower()
+
+
+def _junk(name: str, given: dict[str, str]) -> bool:
+    role = given.get("role", "").lower()
+    return _hidden(given) or (name in JUNK and name not in WRAPPERS) or (role in JUNK_ROLES and role != "form")
+
+
+def _junk_names(name: str, given: dict[str, str]) -> set[str]:
+    """What speaks for junk, if the element does not hold most of the page."""
     if name in ("article", "main", "body"):  # their names tell what else the page has
-        return False
-    return any(w in JUNK_NAMES for w in re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+        return set()
+    out = {"form"} if name in WRAPPERS or given.get("role", "").lower() == "form" else set()
+    for one in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        before = ""
+        for word in re.split(r"[^a-z]+", one):
+            if word in JUNK_NAMES and before not in STATES:
+                out.add(word)
+            before = word
+    return out
+
+
+def _settle_names(blocks: list[Block], tokens: list[tuple[str, int, int]], named: dict[int, set[str]]) -> list[tuple[str, int, int]]:
+    """Decides which of the elements with junk names are junk, and marks their blocks and words: not
+    those that hold most of the page's words (if they are named after comments, its heading too)."""
+    total, held, headed = 0, dict.fromkeys(named, 0), set()
+    for kind, b, n in tokens:
+        if kind.startswith("word") and not blocks[b].junk:
+            total += n
+            for e in blocks[b].path:
+                if e in held:
+                    held[e] += n
+                    if kind == "word h1":
+                        headed.add(e)
+    junk = {e for e, names in named.items() if 2 * held[e] <= total or (names & COMMENTS and e not in headed)}
+    for block in blocks:
+        block.junk = block.junk or any(e in junk for e in block.path)
+    plain = {"word h1": "word h"}
+    return [("word junk" if blocks[b].junk and kind.startswith("word") else plain.get(kind, kind), b, n) for kind, b, n in tokens]
 
 
 def parsed(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
     """The blocks of a page, and its tokens: (kind, block, n) for n words of a kind or one tag."""
     blocks, tokens = [Block()], []
     open_elements: list[tuple[str, int, bool, bool]] = []  # name, number, junk, article
+    named: dict[int, set[str]] = {}  # elements whose names speak for junk
     number, links, kind, at = 0, 0, "other", 0
+    # An inline element that is hidden: its name, how many of that name and how many blocks are
+    # open in it. It ends with its closing tag, or with the block it lies in.
+    veil, same, inner, in_p = "", 0, 0, False
 
     def flush() -> None:
         if blocks[-1].pieces:
@@ -92,7 +140,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
         block.kind = kind
 
     def words(text: str) -> None:
-        if text:
+        if text and not veil:
             text = entities.unescape(text)
             blocks[-1].pieces.append(text)
             if n := len(text.split()):
@@ -121,32 +169,42 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
             continue
         if name == "!":
             continue
+        if veil:
+            if name == veil:
+                same += -1 if closing else 1
+            elif name in BLOCK and name not in VOID:
+                inner += -1 if closing else 1
+            if same == 0 or inner < 0 or (in_p and name in BLOCK):
+                veil = ""
+                if name not in BLOCK:
+                    links = 0 if name == "a" else links
+                    continue
+            else:
+                continue
         tokens.append((f"tag {'/' if closing else ''}{name if name in KNOWN else 'other'}", len(blocks) - 1, 1))
         if name == "a":
             links = 0 if closing else 1
         if name == "br":
             blocks[-1].pieces.append(" ")
         elif name in BLOCK:
-            links = 0
+            links, in_p = 0, name == "p" and not closing
             if closing:
                 if name in CONTAINER and any(e[0] == name for e in open_elements):
                     while open_elements.pop()[0] != name:
                         pass
                 kind = "other"
             else:
-                kind = "h" if re.fullmatch("h[1-6]", name) else name if name in ("p", "li", "td") else "p" if name in ("blockquote", "pre", "dd") else "other"
+                kind = "h1" if name == "h1" else "h" if re.fullmatch("h[2-6]", name) else name if name in ("p", "li", "td") else "p" if name in ("blockquote", "pre", "dd") else "other"
                 if name in CONTAINER:
-                    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(page, found.end(), end)}
+                    given = _attributes(page, found.end(), end)
                     number += 1
+                    if names := _junk_names(name, given):
+                        named[number] = names
                     open_elements.append((name, number, _junk(name, given), name in ARTICLE or given.get("itemprop", "").lower() == "articlebody"))
             flush()
-        elif not closing and name not in VOID and not blocks[-1].junk:
-            given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(page, found.end(), end)}
-            if "hidden" in given:
-                blocks.append(Block())
-                _settle(blocks[-1])
-                blocks[-1].junk = True
-    return blocks, tokens
+        elif not closing and name not in VOID and not blocks[-1].junk and _hidden(_attributes(page, found.end(), end)):
+            veil, same, inner = name, 1, 0
+    return blocks, _settle_names(blocks, tokens, named)
 
 
 def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
@@ -206,9 +264,9 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     elif len(shared) > 1:
         chosen = [k for k, b in enumerate(blocks) if b.path[: len(shared)] == shared and not b.junk]
     else:
-        while first > 0 and not blocks[first - 1].junk and blocks[first - 1].kind in ("p", "h"):
+        while first > 0 and not blocks[first - 1].junk and blocks[first - 1].kind in ("p", "h", "h1"):
             first -= 1
-        while last + 1 < len(blocks) and not blocks[last + 1].junk and blocks[last + 1].kind in ("p", "h"):
+        while last + 1 < len(blocks) and not blocks[last + 1].junk and blocks[last + 1].kind in ("p", "h", "h1"):
             last += 1
         chosen = [k for k in range(first, last + 1) if not blocks[k].junk]
     return "\n\n".join(t for k in chosen if (t := blocks[k].text()))

@@ -69,6 +69,27 @@ def test_tags_end_outside_their_quotes(weight):
     assert html.main_text(PAGE % ARTICLE + "<p title='never closed>", weight).split("\n\n") == WANTED
 
 
+@pytest.mark.parametrize("piece, wanted", [
+    ('See <a href="/hidden-gems">these</a> and much more', "See these and much more"), ('a <span hidden>x <span>y</span> z</span> b', "a b"),
+    ("a <span hidden>never closed", "a"), ('<i data-hidden="false" title="hidden costs">a</i> b', "a b"), ("<i style='display: none'>a</i> b <b>c</b>", "b c")])
+def test_only_hidden_elements_are_hidden(weight, piece, wanted):
+    page = (PAGE % ARTICLE).replace("<p>End.", f"<p>{piece}</p><div title='hidden costs' data-hidden=false><p>All of it.</p></div><p>End.")
+    assert html.main_text(page, weight).split("\n\n") == [*WANTED[:-1], wanted, "All of it.", "End."]
+
+
+@pytest.mark.parametrize("wrapper", ['div class="page has-sidebar"', 'div id="content-with-sidebar"', 'div class="widget"', "form id=aspnetForm", 'div class="single comments-open"'])
+def test_names_of_wrappers_do_not_empty_the_page(weight, wrapper):
+    for inside in (ARTICLE, "<div><h1>A heading</h1>" + DIVS + "</div>"):
+        page, name = PAGE % inside, wrapper.split()[0]
+        wrapped = page.replace(inside, f"<{wrapper}>{inside}</{name}>") if name == "div" else page.replace("<body>", f"<body><{wrapper}>").replace("<form>Name <input></form>", "")
+        assert html.main_text(wrapped, weight) == html.main_text(page, weight) != ""
+
+
+def test_comments_longer_than_the_text_stay_out(weight):
+    comments = '<section class="comments">' + "<p>reader says this and that at length</p>" * 60 + "</section>"
+    assert html.main_text((PAGE % ARTICLE).replace("</article>", comments + "</article>"), weight).split("\n\n") == WANTED
+
+
 def test_every_page_has_a_row(spark):
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", PAGE % "", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
