@@ -3,7 +3,7 @@
 Words score positive and tags negative, with weights from labelled pages: those that mark their
 article with <article>, <main> or itemprop="articleBody" say for each kind of word and tag how
 often it stands inside. A linear scan finds the region with the largest sum; it is completed to
-the blocks, and to the element, that it lies in. Menus, headers, footers, sidebars, notices, adverts,
+its blocks and the innermost article around it, or, where nothing is marked, to the element it lies in. Menus, headers, footers, sidebars, notices, adverts,
 forms, comments and the like are left out of it by element, role and class.
 """
 
@@ -54,9 +54,13 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     path: tuple[int, ...] = ()
     junk: bool = False
-    inside: bool = False
+    articles: tuple[int, ...] = ()  # those of the path that are marked as articles
     kind: str = "other"
 
+    @property
+    def inside(self) -> bool:
+        return bool(self.articles)
+
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
 
@@ -87,7 +91,7 @@ def _junk(name: str, given: dict[str, str]) -> bool:
 
 def _junk_names(name: str, given: dict[str, str]) -> set[str]:
     """What speaks for junk, if the element does not hold most of the page."""
-    if name in ("article", "main", "body"):  # their names tell what else the page has
+    if name in ("main", "body"):  # their names tell what else the page has
         return set()
     out = {"form"} if name in WRAPPERS or given.get("role", "").lower() == "form" else set()
     for one in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
@@ -136,7 +140,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
     def _settle(block: Block) -> None:
         block.path = tuple(e[1] for e in open_elements)
         block.junk = any(e[2] for e in open_elements)
-        block.inside = any(e[3] for e in open_elements)
+        block.articles = tuple(e[1] for e in open_elements if e[3])
         block.kind = kind
 
     def words(text: str) -> None:
@@ -244,7 +248,8 @@ def best_region(tokens: list[tuple[str, int, int]], weight: dict[str, float]) ->
 
 
 def main_text(page: str, weight: dict[str, float]) -> str:
-    """The blocks of the best region and of the innermost element around it, joined by blank lines."""
+    """The blocks of the best region and of the innermost article or, without one, element around it,
+    joined by blank lines."""
     blocks, tokens = parsed(page)
     region = best_region(tokens, weight)
     if region is None:
@@ -259,8 +264,12 @@ def main_text(page: str, weight: dict[str, float]) -> str:
         while n < min(len(shared), len(blocks[b].path)) and shared[n] == blocks[b].path[n]:
             n += 1
         shared = shared[:n]
-    if any(blocks[b].inside for b in good):  # the article that holds most of the region
-        chosen = [k for k, b in enumerate(blocks) if b.inside and not b.junk]
+    around = [e for e in blocks[good[0]].articles if e in shared]
+    touched = {e for b in good for e in blocks[b].articles}
+    if around:  # the article that the region lies in, without others in it
+        chosen = [k for k, b in enumerate(blocks) if around[-1] in b.articles and not b.junk and touched.issuperset(b.articles)]
+    elif touched:  # the region, and the whole of each article that it reaches into
+        chosen = [k for k, b in enumerate(blocks) if not b.junk and (first <= k <= last or (b.articles and touched.issuperset(b.articles)))]
     elif len(shared) > 1:
         chosen = [k for k, b in enumerate(blocks) if b.path[: len(shared)] == shared and not b.junk]
     else:

@@ -90,6 +90,26 @@ def test_comments_longer_than_the_text_stay_out(weight):
     assert html.main_text((PAGE % ARTICLE).replace("</article>", comments + "</article>"), weight).split("\n\n") == WANTED
 
 
+def test_the_region_chooses_among_articles(weight):
+    cards = "".join(f'<article><h2>Card {k}</h2><a href="/c{k}">Read more of this</a></article>' for k in range(4))
+    comments = "".join(f'<article class="comment"><p>Reader {k} says this and that about it.</p></article>' for k in range(3))
+    page = PAGE % (f"<main>{ARTICLE}</main><div><ul><li><a href='/x'>a</a></li><li><a href='/y'>b</a></li></ul></div>{cards}{comments}")
+    assert html.main_text(page, weight).split("\n\n") == WANTED
+    nested = (PAGE % ARTICLE).replace("</article>", comments + "</article>")
+    assert html.main_text(nested, weight).split("\n\n") == WANTED
+
+
+def test_unmarked_text_beside_an_article_is_kept(weight):
+    beside = "".join(f"<p>Paragraph {k} has a number of plain words in it.</p>" for k in range(8))
+    text = html.main_text(PAGE % ("<div>" + ARTICLE + beside + "</div>"), weight).split("\n\n")
+    assert text == WANTED + [f"Paragraph {k} has a number of plain words in it." for k in range(8)]
+
+
+def test_the_scan_finds_articles_whose_marks_are_gone(weight):
+    page = (PAGE % ARTICLE).replace("<article>", "<div>").replace("</article>", "</div>")
+    assert html.main_text(page, weight).split("\n\n") == WANTED
+
+
 def test_every_page_has_a_row(spark):
     rows = [(1, "u", PAGE % ARTICLE, "t"), (1, "u", PAGE % ARTICLE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", PAGE % "", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
