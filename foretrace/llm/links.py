@@ -2,7 +2,9 @@
 
 Items that share a band key form a bucket. Each item is paired with two hubs of each of its
 buckets; pairs that their packed signatures call unlike are dropped, and the rest join items into
-clusters, so that any two similar items with a common bucket are in one cluster. A first round
+clusters. Where a bucket holds items of several clusters, the signatures of these are compared with
+each other in blocks, and clusters with a pair that may be similar become one, so that any two
+similar items with a common bucket are in one cluster. A first round
 verifies each item with the hub most like it, and what that links falls into components. Where a
 cluster still holds several components, its items are compared in blocks: exact intersections
 from an inverted list, of which only links that join two components leave the task. A group
@@ -24,6 +26,7 @@ from foretrace.llm.store import keep
 
 MAX_STEPS = 60
 BLOCK_ITEMS = 1500
+BUCKET_ITEMS = 4000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -168,6 +171,75 @@ def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], per
     return found
 
 
+def least_estimate(lanes: int, bits: int, percent: int) -> float:
+    """Six standard errors below the threshold: a linked pair is estimated lower once in a billion."""
+    chance, p = 0.5**bits, percent / 100
+    equal = chance + (1 - chance) * p
+    return p - 6 * (equal * (1 - equal) / lanes) ** 0.5 / (1 - chance)
+
+
+def estimates(sig: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of packed signatures, ``estimated`` of it and each later row."""
+    lane = np.uint64({1: 0xFFFFFFFFFFFFFFFF, 2: 0x5555555555555555, 4: 0x1111111111111111}[bits])
+    lanes, chance = sig.shape[1] * (64 // bits), 0.5**bits
+    for k in range(len(sig) - 1):
+        x = sig[k + 1 :] ^ sig[k]
+        for shift in (1, 2)[: bits.bit_length() - 1]:
+            x |= x >> np.uint64(shift)
+        off = np.bitwise_count(x & lane).sum(axis=1, dtype=np.int64)
+        yield k, ((lanes - off) / lanes - chance) / (1 - chance)
+
+
+def bridges(buckets: DataFrame, clusters: DataFrame, signs: DataFrame, words: int, bits: int, least: float) -> DataFrame:
+    """a, b, like, a_cluster, b_cluster: pairs of items that share a bucket, lie in different clusters and
+    are estimated ``least`` or more; for each block of a bucket, enough of them to join the clusters that
+    any such pair joins. Hubs have met all items of their bucket before. A pair of blocks is a task."""
+    rest = keep(buckets.filter("id <> hub AND id <> first").select("key", "id").join(clusters, "id", "left").select(
+        "key", "id", F.coalesce("cluster", "id").alias("cluster")))
+    open_keys = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("_a"), F.max("cluster").alias("_b")).filter(
+        "_a <> _b").select("key", F.ceil(F.col("n") / BUCKET_ITEMS).cast("int").alias("blocks"))
+    left = keep(rest.join(open_keys, "key"))
+    few = max(1, left.count() // (8 * BUCKET_ITEMS))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    one = F.col("blocks") == 1
+    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "key", "cluster", F.when(one, F.lit(None)).otherwise(F.col("key")).alias("large"),
+        F.when(one, F.pmod(F.xxhash64("key"), F.lit(few)).cast("int")).otherwise(F.least("own", "other")).alias("i"),
+        F.greatest("own", "other").alias("j")).join(signs, "id")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
+        key, ids, labels = (rows[c].to_numpy(np.int64) for c in ("key", "id", "cluster"))
+        sig = np.stack(rows["sig"].to_list()).astype(np.int64).view(np.uint64)
+        found = []
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for start, end in zip(edges[:-1], edges[1:]):
+            own = labels[start:end]
+            if (own == own[0]).all():
+                continue
+            for k, like in estimates(sig[start:end], bits):
+                for at in np.flatnonzero((like >= least) & (own[k + 1 :] != own[k])):
+                    x, y = start + k, start + k + 1 + at
+                    a, b = find(int(labels[x])), find(int(labels[y]))
+                    if a != b:
+                        root[a] = b
+                        x, y = (x, y) if ids[x] < ids[y] else (y, x)
+                        found.append((ids[x], ids[y], like[at], labels[x], labels[y]))
+        return pd.DataFrame(found, columns=["a", "b", "like", "a_cluster", "b_cluster"]).astype(
+            {"a": "int64", "b": "int64", "like": "float64", "a_cluster": "int64", "b_cluster": "int64"})
+
+    return keep(dealt.select("id", "key", "cluster", "sig", "large", "i", "j").groupBy("large", "i", "j").applyInPandas(
+        compare, "a long, b long, like double, a_cluster long, b_cluster long"))
+
+
 def similar_components(items: DataFrame, words: int, bits: int, floor: float, texts_of: Callable[[Bits], DataFrame],
                        set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
     """id, component of the items linked with another.
@@ -188,9 +260,16 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     rated = keep(asked.join(of("a"), "a").join(of("b"), "b").withColumn(
         "like", estimated(F.col("a_sig"), F.col("b_sig"), words, bits)).filter(F.col("like") >= floor).select("a", "b", "like"))
+    clusters = keep(components(rated).withColumnRenamed("component", "cluster"))
+    more = bridges(buckets, clusters, signs, words, bits, max(floor, least_estimate(words * (64 // bits), bits, percent)))
+    if not more.isEmpty():
+        rated = keep(rated.union(more.select("a", "b", "like").distinct()))
+        joined = keep(components(more.select(F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b"))).toDF("cluster", "_c"))
+        alone = joined.select(F.col("cluster").alias("id")).join(clusters, "id", "left_anti").select("id", F.col("id").alias("cluster"))
+        clusters = keep(clusters.select("id", "cluster").union(alone).join(joined, "cluster", "left").select(
+            "id", F.coalesce("_c", "cluster").alias("cluster")))
     ends = rated.select(F.col("a").alias("id"), "a", "b", "like").union(rated.select(F.col("b").alias("id"), "a", "b", "like"))
     best = ends.groupBy("id").agg(F.max(F.struct("like", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    clusters = keep(components(rated).withColumnRenamed("component", "cluster"))
 
     texts = keep(texts_of(id_bits(ids_of(rated))).dropDuplicates(["id", "text"]))
 

@@ -159,3 +159,28 @@ def test_large_clusters_are_compared_in_blocks(spark, docs, monkeypatch):
     rng.shuffle(rows)
     got = near.near_duplicates(docs(rows), 3, 85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(rows, 3, 85)
+
+
+@pytest.mark.parametrize("block", [4000, 9])
+def test_similar_pairs_in_a_large_bucket_of_unlike_items(spark, monkeypatch, block):
+    monkeypatch.setattr(links, "BUCKET_ITEMS", block, raising=False)
+    rng, tool = np.random.default_rng(4), hashing.MinHash(128)
+    sets = [np.unique(rng.integers(0, 1 << 40, 200)) for _ in range(60)]
+    for k in range(0, 40, 4):  # pairs at 0.85 and a little above; few of them hold a hub
+        sets[k + 1] = np.unique(np.r_[sets[k][: 200 - k // 4], rng.integers(0, 1 << 40, 15)])
+    rows = [(k, [77], hashing.packed_bits(tool.minima(x.astype(np.uint64)), 2).tolist()) for k, x in enumerate(sets)]
+    items = spark.createDataFrame(rows, "id long, keys array<long>, sig array<long>").repartition(3)
+    texts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, text binary")
+    got = links.similar_components(items, 4, 2, 0.2, lambda _: texts, lambda t: np.frombuffer(t, np.int64), 85).collect()
+    pairs = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    assert len(pairs) == 10 and sorted((r.id, r.component) for r in got) == sorted((x, min(p)) for p in pairs for x in p)
+
+
+def test_estimates_of_arrays_equal_those_of_columns(spark):
+    rng = np.random.default_rng(9)
+    for bits in (1, 2, 4):
+        sig = rng.integers(-(1 << 63), (1 << 63) - 1, (5, 3)) & rng.integers(-(1 << 63), (1 << 63) - 1, 3)
+        got = {(k, k + 1 + at): x for k, row in links.estimates(sig.view(np.uint64), bits) for at, x in enumerate(row)}
+        df = spark.createDataFrame([(i, j, sig[i].tolist(), sig[j].tolist()) for i, j in got], "i int, j int, a array<long>, b array<long>")
+        for r in df.select("i", "j", links.estimated(F.col("a"), F.col("b"), 3, bits).alias("x")).collect():
+            assert abs(got[r.i, r.j] - r.x) < 1e-12
