@@ -1,8 +1,10 @@
 """Spelling variants: words one edit apart, found over a reduced alphabet.
 
 Letters are hashed to a few symbols. Two words one edit apart have reduced words at most one edit
-apart, so each word is sent to every reduced word in the full one-edit neighbourhood of its own, by
-a 64-bit hash, and meets there the words that reduce to it. The original strings decide.
+apart, so one of them lies in the one-edit neighbourhood of the other. Being a neighbour is mutual:
+each word is sent to those of its own reduced word's neighbours that have one symbol fewer or a higher
+one in some place, by a 64-bit hash, and meets there the words that reduce to them; the other half of
+the full neighbourhood is sent from the other side. The original strings decide.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x100)]))
 WORD = re.compile("[A-Za-zÀ-ÿ]+")
 # Symbols tried, in turn, until no reduced word stands for more than CROWDED words. With one symbol
 # for each letter a reduced word is the word.
-SYMBOLS = (6, 12, 24, len(LETTERS))
+SYMBOLS = (8, 16, 32, len(LETTERS))
 CROWDED = 1_000
 HELD = 200_000  # distinct words that a task adds up before it sends them on
 ROWS = 1 << 18  # neighbours made at a time
@@ -79,20 +81,29 @@ def one_dropped(one_in: int) -> Callable[[object, bytes], bytes]:
     return rewrite
 
 
-def symbol_of(symbols: int) -> np.ndarray:
-    """The symbol of each code point up to U+00FF: letters in the order of their hashes, dealt in
-    turn, so that the symbols are alike in size."""
+def symbol_of(symbols: int, letters: str = LETTERS) -> np.ndarray:
+    """The symbol of each code point up to U+00FF. ``letters``, best the most frequent first, are dealt
+    to the symbols forwards and backwards in turn: the symbols are alike in weight, and frequent
+    letters are told apart."""
     out = np.zeros(256, np.int64)
-    codes = np.array([ord(c) for c in LETTERS])
-    out[codes[np.argsort(mixed(codes.astype(_U)))]] = np.arange(len(codes)) % symbols
+    for k, letter in enumerate(letters):
+        turn, place = divmod(k, symbols)
+        out[ord(letter)] = symbols - 1 - place if turn % 2 else place
     return out
 
 
+def letters_by_use(vocabulary: DataFrame) -> str:
+    """All letters, those that most words have most often first."""
+    counts = vocabulary.select(F.explode(F.split("word", "")).alias("letter")).groupBy("letter").count()
+    n = {r["letter"]: r["count"] for r in counts.collect()}  # one row per letter of LETTERS at most
+    return "".join(sorted(LETTERS, key=lambda c: (-n.get(c, 0), c)))
+
+
 class Reduced:
     """Hashes of reduced words and of their one-edit neighbours, for words of one length."""
 
-    def __init__(self, symbols: int):
-        self.symbol = symbol_of(symbols)
+    def __init__(self, symbols: int, letters: str = LETTERS):
+        self.symbol = symbol_of(symbols, letters)
         self.value = np.random.default_rng(5).integers(0, 1 << 63, symbols, dtype=_U) * _U(2) + _U(1)
         self.base = 0x9E3779B97F4A7C15
         self.inverse = pow(self.base, -1, 1 << 64)
@@ -101,31 +112,30 @@ class Reduced:
         return np.cumprod(np.r_[_U(1), np.full(n, self.base, _U)])
 
     def _sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the letters, and hashes of the first 0, 1, 2 ... letters, one row per word."""
+        """Symbols, and hashes of the first 0, 1, 2 ... symbols, one row per word."""
         codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
-        values = self.value[self.symbol[codes]]
+        symbols = self.symbol[codes]
         sums = np.zeros((len(words), codes.shape[1] + 1), _U)
-        np.cumsum(values * self._powers(codes.shape[1])[:-1], axis=1, out=sums[:, 1:])
-        return values, sums
+        np.cumsum(self.value[symbols] * self._powers(codes.shape[1])[:-1], axis=1, out=sums[:, 1:])
+        return symbols, sums
 
     def own(self, words: list[str]) -> np.ndarray:
         return mixed(self._sums(words)[1][:, -1] + _U(len(words[0]))).view(np.int64)
 
     def neighbours(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(which word, key) of all distinct reduced words at most one edit from each one's own."""
+        """(which word, key) of the reduced words that come from each one's own by dropping one
+        symbol or by raising one, each once."""
         length, power = len(words[0]), self._powers(len(words[0]))
-        values, sums = self._sums(words)
+        symbols, sums = self._sums(words)
         whole = sums[:, -1:]
-        dropped = sums[:, :-1] + (whole - sums[:, 1:]) * _U(self.inverse)
-        changed = (whole - values * power[:-1])[:, :, None] + power[:-1, None] * self.value
-        added = (sums + (whole - sums) * _U(self.base))[:, :, None] + power[:, None] * self.value
-        keys = np.concatenate([
-            mixed(dropped + _U(length - 1)), mixed(changed + _U(length)).reshape(len(words), -1),
-            mixed(added + _U(length + 1)).reshape(len(words), -1)], axis=1)
-        keys.sort(axis=1)
-        new = np.ones(keys.shape, bool)
-        new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-        return np.nonzero(new)[0], keys[new].view(np.int64)
+        dropped = mixed(sums[:, :-1] + (whole - sums[:, 1:]) * _U(self.inverse) + _U(length - 1))
+        drops = np.ones(symbols.shape, bool)
+        drops[:, 1:] = symbols[:, 1:] != symbols[:, :-1]  # of equal neighbours the first
+        bare = whole - self.value[symbols] * power[:-1]
+        raised = mixed(bare[:, :, None] + power[:-1, None] * self.value + _U(length))
+        raises = np.arange(len(self.value)) > symbols[:, :, None]
+        which = np.concatenate([np.nonzero(drops)[0], np.nonzero(raises)[0]])
+        return which, np.concatenate([dropped[drops], raised[raises]]).view(np.int64)
 
 
 def _by_length(words: list[str], rows_of: Callable[[int], int]) -> Iterator[np.ndarray]:
@@ -138,9 +148,9 @@ def _by_length(words: list[str], rows_of: Callable[[int], int]) -> Iterator[np.n
             yield same[k : k + step]
 
 
-def _own_keys(vocabulary: DataFrame, symbols: int) -> DataFrame:
+def _own_keys(vocabulary: DataFrame, symbols: int, letters: str) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reduced = Reduced(symbols)
+        reduced = Reduced(symbols, letters)
         for batch in batches:
             words, keys = batch.column(0).to_pylist(), np.zeros(batch.num_rows, np.int64)
             for at in _by_length(words, lambda n: n) if words else ():
@@ -150,12 +160,12 @@ def _own_keys(vocabulary: DataFrame, symbols: int) -> DataFrame:
     return vocabulary.select("word", "n", "id").mapInArrow(keyed, "word string, n long, id long, key long")
 
 
-def _neighbour_keys(vocabulary: DataFrame, symbols: int) -> DataFrame:
+def _neighbour_keys(vocabulary: DataFrame, symbols: int, letters: str) -> DataFrame:
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reduced = Reduced(symbols)
+        reduced = Reduced(symbols, letters)
         for batch in batches:
             words, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for at in _by_length(words, lambda n: n * (2 * symbols + 1)) if words else ():
+            for at in _by_length(words, lambda n: n * (symbols + 1)) if words else ():
                 which, keys = reduced.neighbours([words[i] for i in at])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at][which]), pa.array(keys)], names=["of", "key"])
 
@@ -168,15 +178,22 @@ def near_words(vocabulary: DataFrame, symbols: tuple[int, ...] = SYMBOLS, crowde
     number of symbols is the first that leaves no reduced word with more than ``crowded`` words; it
     changes the work, never the pairs. An empty vocabulary gives no pairs."""
     numbered = keep(vocabulary.select("word", "n").withColumn("id", F.monotonically_increasing_id()))
+    letters = letters_by_use(numbered)
     for size in symbols:
-        keyed = keep(_own_keys(numbered, size))
+        keyed = keep(_own_keys(numbered, size, letters))
         if size == symbols[-1] or not keyed.groupBy("key").count().filter(F.col("count") > crowded).limit(1).count():
             break
     other = keyed.select("key", F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = _neighbour_keys(numbered, size).join(other, "key").filter("of != near_id").drop("key", "near_id")
-    pairs = met.join(numbered, met["of"] == numbered["id"])
     one_edit = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    return pairs.filter(one_edit).select("word", "n", "near", "near_n")
+    # Words of one reduced word meet there, the lower number first; all others at a neighbour.
+    alike = keyed.join(other, "key").filter((F.col("id") < F.col("near_id")) & one_edit)
+    met = _neighbour_keys(numbered, size, letters).join(other, "key").drop("key", "near_id")
+    apart = met.join(numbered, met["of"] == numbered["id"]).filter(one_edit)
+    columns = ("word", "n", "near", "near_n")
+    found = alike.select(*columns).unionByName(apart.select(*columns))
+    both = F.explode(F.array(F.struct(*columns), F.struct(
+        F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
+    return found.select(both.alias("pair")).select("pair.*")
 
 
 def spelling_groups(counts: DataFrame, at_least: int = 3, letters: int = 5, times: int = 2) -> DataFrame:
