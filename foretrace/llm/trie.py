@@ -3,13 +3,15 @@
 The encoding of a prefix followed by a token is the encoding of the longer text exactly if the
 prefix's last token and that token, encoded together, stay as they are. So one state per trie node,
 the last token of its prefix, is enough: a node's state comes from the longest vocabulary token that
-ends there and is compatible with the state before it. Distinct words go into the trie, new nodes
-get their states depth first, and a word's ids are read off backwards along its last tokens.
+ends there and is compatible with the state before it. The trie of a batch's distinct words is walked
+depth first; only the path to the current node is held, with the encoding of each prefix on it, so
+that a prefix shared by many words is encoded once.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
@@ -26,16 +28,18 @@ from foretrace.llm.tokens import _byte_letters
 # A surely visible character followed by sure white space: no piece of the pre-tokenizer crosses.
 _UNIT = re.compile(r".+?(?:(?<=[!-~])(?=[\t-\r ])|\Z)", re.S)
 # A word of letters, then other signs without an apostrophe: two pieces, whatever comes before.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-NODES = 600_000
-UNITS = 250_000
+# After a line feed, a piece of its own, there may be two more.
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+_PLAIN = re.compile(f"{_WORD}(?:\n{_WORD})?")
+PAIRS = 300_000
+UNITS = 300_000
 BATCH_BYTES = 32 << 20
 
 
 class Trie:
-    """Prefixes of the words met, each with the last token of its encoding."""
+    """Encodings of the words of a trie, from one state per node: the last token so far."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: Iterable, limit: int = NODES):
+    def __init__(self, vocabulary: dict[str, int], merges: Iterable, limit: int = PAIRS):
         parts = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.limit = limit
         self.rank = {(vocabulary[a], vocabulary[b]): k for k, (a, b) in enumerate(parts)}
@@ -45,14 +49,8 @@ class Trie:
         self.ending = {t: i for t, i in vocabulary.items() if i in self.reached}
         self.beginnings = {t[:n] for t in self.ending for n in range(1, len(t) + 1)}
         # Ends of a prefix that begin some token, as an automaton filled in when first needed.
-        self.state_of, self.states, self.tokens_at, self.goto = {"": 0}, [""], [()], {}
+        self.state_of, self.states, self.tokens_at, self.goto = {"": 0}, [""], [()], [{}]
         self.pairs: dict[int, bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last, self.back, self.at = [-1], [0], [0]
-        self.pairs.clear()
 
     def _spines(self, vocabulary: dict[str, int], parts: list[tuple[str, str]]) -> None:
         """For each token, what stands at its two ends while it is being merged, each with the rank
@@ -90,55 +88,49 @@ class Trie:
         if (found := self.state_of.get(text)) is None:
             found = self.state_of[text] = len(self.states)
             self.states.append(text)
+            self.goto.append({})
             ends = [text[i:] for i in range(len(text))]
-            self.tokens_at.append(tuple((len(t), self.ending[t]) for t in ends if t in self.ending))
+            self.tokens_at.append(tuple(
+                (len(t), self.ending[t], array("i", [self.ending[t]]).tobytes()) for t in ends if t in self.ending))
+        self.goto[state][letter] = found
         return found
 
-    def insert(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each distinct word with its ids. Words are taken in order, which is the order of a
-        depth-first walk: the path of the word before is kept as far as both agree."""
-        path, before = [0], ""
+    def encodings(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its ids, four bytes each. Words in sorted order are the leaves of
+        their trie, depth first: of the path to the word before, what both share is kept."""
+        tokens_at, goto, pairs = self.tokens_at, self.goto, self.pairs
+        last, at, ids, before = [-1], [0], [b""], ""
         for word in sorted(set(words)):
-            if len(self.last) > self.limit:
-                self.clear()
-                path, before = [0], ""
-            child, last, back, at, goto, pairs = self.child, self.last, self.back, self.at, self.goto, self.pairs
             shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            del path[shared + 1 :]
-            node = path[shared]
-            for end in range(shared + 1, len(word) + 1):
-                letter = word[end - 1]
-                step = node << 9 | ord(letter)
-                if (known := child.get(step)) is None:
-                    move = at[node] << 9 | ord(letter)
-                    if (state := goto.get(move)) is None:
-                        state = goto[move] = self._step(at[node], letter)
-                    for length, token in self.tokens_at[state]:
-                        previous = path[end - length]
-                        if not previous:
-                            break
-                        pair = last[previous] << 32 | token
-                        if (fits := pairs.get(pair)) is None:
-                            fits = pairs[pair] = self.compatible(last[previous], token)
-                        if fits:
-                            break
-                    else:
-                        raise ValueError(f"no token ends {word[:end]!r}")
-                    known = child[step] = len(last)
-                    last.append(token)
-                    back.append(previous)
-                    at.append(state)
-                node = known
-                path.append(node)
-            before, ids = word, []
-            while node:
-                ids.append(last[node])
-                node = back[node]
-            yield word, ids[::-1]
+            del last[shared + 1 :], at[shared + 1 :], ids[shared + 1 :]
+            state, end = at[shared], shared
+            for letter in word[shared:]:
+                end += 1
+                if (onward := goto[state].get(letter)) is None:
+                    onward = self._step(state, letter)
+                state = onward
+                for length, token, own in tokens_at[state]:
+                    start = end - length
+                    if not start:
+                        break
+                    pair = last[start] << 32 | token
+                    if (fits := pairs.get(pair)) is None:
+                        fits = pairs[pair] = self.compatible(last[start], token)
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:end]!r}")
+                last.append(token)
+                at.append(state)
+                ids.append(ids[start] + own)
+            before = word
+            yield word, ids[-1]
+        if len(pairs) > self.limit:
+            pairs.clear()
 
 
 class Encoder:
@@ -171,27 +163,32 @@ class Encoder:
 
     def _pieces(self, unit: str, blank: str) -> list[str]:
         """What the pre-tokenizer makes of a unit, in the letters that stand for bytes."""
+        before = self.letters[32] if blank else ""
+        if unit.isascii() and unit.isalpha():
+            return [before + unit]
         if (plain := _PLAIN.fullmatch(unit)) is None:
             return [p for p, _ in self.pieces(blank + unit)]
-        word, signs = plain[1], plain[2]
-        if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        word = self.letters[32] + word if blank else word
-        return [word, signs] if signs else [word]
-
-    def _learn(self, units: Iterable[str], known: dict[str, bytes], blank: str) -> None:
-        """Ids of the units that are new: their pieces go into the trie together."""
-        older, new = self.older[bool(blank)], {}
-        for unit in set(units).difference(known):
-            if unit in older:
-                known[unit] = older[unit]
+        word, signs, second, more = plain.groups("")
+        found = [before + self._written(word), signs, self.letters[10], self._written(second), more] if second else [
+            before + self._written(word), signs]
+        return [p for p in found if p]
+
+    def _written(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+
+    def _learn(self, units: list[list[str]], known: dict[str, bytes], blank: str) -> None:
+        """Ids of the units that are new: their pieces make up one trie."""
+        older, new, pieces = self.older[bool(blank)], {}, []
+        for unit in set().union(*units).difference(known):
+            if (found := older.get(unit)) is None:
+                new[unit] = found = self._pieces(unit, blank)
+                pieces += found
             else:
-                new[unit] = self._pieces(unit, blank)
-        if not new:
-            return
-        ids = {p: array("i", found).tobytes() for p, found in self.trie.insert(p for ps in new.values() for p in ps)}
-        for unit, pieces in new.items():
-            known[unit] = b"".join(map(ids.__getitem__, pieces))
+                known[unit] = found
+        if new:
+            ids = dict(self.trie.encodings(pieces))
+            for unit, found in new.items():
+                known[unit] = ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found))
 
     def _units(self, text: str) -> tuple[list[str], list[str]]:
         """Units that stand as they are, then units that follow one blank each."""
@@ -206,9 +203,10 @@ class Encoder:
             self.older = (self.whole, self.after_blank)
             self.whole, self.after_blank = {}, {}
         cut = [[t] if self.cut is None or not any(a in t for a in self.added) else [p for p in self.cut.split(t) if p] for t in texts]
-        units = [[self._units(part) if part not in self.added else part for part in parts] for parts in cut]
-        self._learn((u for parts in units for p in parts if not isinstance(p, str) for u in p[0]), self.whole, "")
-        self._learn((u for parts in units for p in parts if not isinstance(p, str) for u in p[1]), self.after_blank, " ")
+        units = [[part if part in self.added else self._units(part) for part in parts] for parts in cut]
+        split = [p for parts in units for p in parts if not isinstance(p, str)]
+        self._learn([whole for whole, _ in split], self.whole, "")
+        self._learn([after for _, after in split], self.after_blank, " ")
         whole, after = self.whole.__getitem__, self.after_blank.__getitem__
         return [b"".join(self.added[p] if isinstance(p, str) else b"".join(map(whole, p[0])) + b"".join(map(after, p[1])) for p in parts)
                 for parts in units]
@@ -217,7 +215,9 @@ class Encoder:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary file; its tables are bounded."""
-    return Encoder(path)
+    found = Encoder(path)
+    gc.freeze()  # it lives as long as the worker: no need to look through it again and again
+    return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -230,13 +230,13 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return found | {t["id"]: t["content"].encode() for t in content["added_tokens"]}
 
 
-def _batched(batches: Iterator[pa.RecordBatch], size_of) -> Iterator[tuple[pa.Array, list]]:
-    """Ids and values in parts of bounded size; one longer value is a part of its own."""
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts in parts of bounded size; one longer text is a part of its own."""
     for batch in batches:
         begun, held, size = 0, [], 0
         for k, value in enumerate(batch.column(1)):
             held.append(value.as_py())
-            size += size_of(held[-1])
+            size += len(held[-1])
             if size >= BATCH_BYTES:
                 yield batch.column(0).slice(begun, len(held)), held
                 begun, held, size = k + 1, [], 0
@@ -250,13 +250,13 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
     Equal to the library's encode() without special tokens around the text, truncation or padding;
     special tokens written in a text are their own ids, as there. A null or empty text has no ids; a
     null id is kept; repeated rows are repeated; an empty table gives an empty one; other columns,
-    whatever their names, are left out. Nothing is shuffled; a worker's trie and its table of units
-    are begun anew when they reach their limits."""
+    whatever their names, are left out. Nothing is shuffled; a worker's table of units
+    is begun anew when it reaches its limit."""
     kind = docs.schema[id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for keys, texts in _batched(batches, len):
+        for keys, texts in _batched(batches):
             found = known.encode(texts)
             cuts = np.r_[0, np.cumsum([len(f) // 4 for f in found])].astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -274,9 +274,16 @@ def decoded(tokens: DataFrame, path: str, id: str = "doc_id", ids: str = "ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = token_bytes(path).__getitem__
-        for keys, lists in _batched(batches, lambda found: 8 * len(found)):
-            texts = pa.array([b"".join(map(bytes_of, found)).decode("utf-8", "replace") for found in lists], pa.string())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(lists, pa.list_(pa.int32())), texts], names=[id, "ids", "text"])
+        for batch in batches:
+            cuts, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            begun = 0
+            while begun < batch.num_rows:
+                upto = max(begun + 1, int(np.searchsorted(cuts, cuts[begun] + BATCH_BYTES // 8, "right")) - 1)
+                texts = [b"".join(map(bytes_of, flat[a:b].tolist())).decode("utf-8", "replace")
+                         for a, b in zip(cuts[begun:upto], cuts[begun + 1 : upto + 1])]
+                part = batch.slice(begun, upto - begun)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id, "ids", "text"])
+                begun = upto
 
     rows = tokens.select(id, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("__ids__"))
     return rows.mapInArrow(decode, f"`{id}` {kind}, ids array<int>, text string")
