@@ -31,9 +31,9 @@ _UNIT = re.compile(r".+?(?:(?<=[!-~])(?=[\t-\r ])|\Z)", re.S)
 # After a line feed, a piece of its own, there may be two more.
 _WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
 _PLAIN = re.compile(f"{_WORD}(?:\n{_WORD})?")
-PAIRS = 300_000
-UNITS = 300_000
-BATCH_BYTES = 32 << 20
+PAIRS = 150_000
+UNITS = 120_000
+BATCH_BYTES = 8 << 20
 
 
 class Trie:
