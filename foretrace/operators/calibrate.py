@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import half_width
-from foretrace.functions.draws import hashed_position
 from foretrace.functions.durable import durable, small
 from foretrace.functions.pvalues import kolmogorov_p
-from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles, running_totals
+from foretrace.functions.ranks import GROUP_LIMIT, at_ranks, quantiles
+from foretrace.functions.resample import resampled_at_rank, resampled_sums
 from foretrace.operators.metrics import inside, per_stay_smape, two_sample_ks
-from foretrace.operators.stats import bootstrap_draws, bootstrap_interval
+from foretrace.operators.stats import bootstrap_interval
 
 HOUR_BAND = 8
 
@@ -194,28 +194,20 @@ def bootstrap_coverage(test: DataFrame, factors: DataFrame, resamples: int = 100
     """5-95 % interval of the coverage over resampled stays (ratio of sums)."""
     keys = ["condition", "variable"]
     hit = covered_by(F.col("factor"))
-    stays = durable(test.join(small(factors.select(*keys, "factor"), keys), keys).groupBy(*keys, "stay_id").agg(
-        F.sum(hit).alias("hits"), F.count(hit).alias("cells")).filter(F.col("cells") > 0))
-    placed = hashed_position(stays, seed, "stay_id", tuple(keys))
-    drawn = bootstrap_draws(placed, keys, resamples, seed).join(
-        placed.select(*keys, "position", "hits", "cells"), [*keys, "position"])
-    ratios = drawn.groupBy(*keys, "b").agg((F.sum("hits") / F.sum("cells")).alias("value"))
-    return bootstrap_interval(ratios, keys, 0.10)
+    stays = test.join(small(factors.select(*keys, "factor"), keys), keys).groupBy(*keys, "stay_id").agg(
+        F.sum(hit).alias("hits"), F.count(hit).alias("cells")).filter(F.col("cells") > 0)
+    sums = resampled_sums(stays, keys, "stay_id", ["hits", "cells"], resamples, seed)
+    return bootstrap_interval(sums.select(*keys, "b", (F.col("hits") / F.col("cells")).alias("value")), keys, 0.10)
 
 
 def bootstrap_factor(calibration: DataFrame, resamples: int = 500, percent: int = 90, seed: int = 42) -> DataFrame:
     """5-95 % interval of the factor over resampled stays.
 
     A resample is a multiplicity per stay, so the factor is a weighted order
-    statistic: scores are never replicated, only their weights are.
+    statistic of the scores (see functions.resample).
     """
     keys = ["condition", "variable"]
-    scored = durable(with_score(calibration).filter(F.col("y_true").isNotNull()).select(*keys, "stay_id", "score"))
-    placed = hashed_position(scored.select(*keys, "stay_id").distinct(), seed, "stay_id", tuple(keys))
-    weights = bootstrap_draws(placed, keys, resamples, seed).groupBy(*keys, "b", "position").agg(
-        F.count(F.lit(1)).alias("weight"))
-    stays = weights.join(placed.select(*keys, "stay_id", "position"), [*keys, "position"])
-    cells = scored.filter(F.col("score").isNotNull()).join(stays, [*keys, "stay_id"])
-    cum = running_totals(cells, [*keys, "b"], "score", {"n": F.col("weight")})
-    factors = cum.filter(F.col("n_cum") >= conformal_rank(F.col("n_total"), percent)).groupBy(*keys, "b").agg(F.min("score").alias("value"))
+    stays = with_score(calibration).filter(F.col("y_true").isNotNull()).groupBy(*keys, "stay_id").agg(
+        F.collect_list("score").alias("scores"))
+    factors = resampled_at_rank(durable(stays), keys, "stay_id", "scores", resamples, seed, conformal_rank(F.col("n_rows"), percent))
     return bootstrap_interval(factors, keys, 0.10)

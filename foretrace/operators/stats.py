@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.cells import seconds_between, smape_cell
-from foretrace.functions.draws import LONG_RANGE, digest, hashed_position, long_word
+from foretrace.functions.draws import LONG_RANGE, digest, long_word
 from foretrace.functions.durable import durable
 from foretrace.functions.pvalues import rank_sum_p, wilcoxon_p
 from foretrace.functions.ranks import running_totals
+from foretrace.functions.resample import resampled_sums
 from foretrace.operators import critic
 from foretrace.operators.metrics import per_stay_smape, violation_rate
 from foretrace.settings import MODEL_CONDITIONS, Variable, Windows, split_condition
@@ -23,22 +24,6 @@ D_PLACES = 12
 
 # --- bootstrap ------------------------------------------------------------
 
-def bootstrap_draws(placed: DataFrame, keys: list[str], resamples: int, seed) -> DataFrame:
-    """(keys, b, position): for every resample as many hash draws as the key has
-    rows. One digest gives two draws of 60 bits. The rows are spread before they expand."""
-    keys = list(keys)
-    spread = placed.select(*keys, "position", "n_rows").repartition(
-        placed.sparkSession.sparkContext.defaultParallelism, *keys, "position")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS_PER_DIGEST))).alias("_k")
-    hashed = spread.select(*keys, "n_rows", "position", blocks).withColumn(
-        "_h", digest(seed, "b", F.col("_k"), F.col("position")))
-    draws = F.explode(F.array(*[
-        F.struct((F.col("_k") * DRAWS_PER_DIGEST + i).alias("b"), (long_word(F.col("_h"), i) % F.col("n_rows")).alias("p"))
-        for i in range(DRAWS_PER_DIGEST)]))
-    return hashed.select(*keys, draws.alias("_d")).select(
-        *keys, F.col("_d.b").alias("b"), F.col("_d.p").alias("position")).filter(F.col("b") < resamples)
-
-
 def bootstrap_interval(values: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """Percentile interval of one value per resample."""
     ends = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
@@ -69,10 +54,9 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
                  seed: int = 42, id_col: str = "stay_id", method: str = "multinomial") -> DataFrame:
     """(keys, n, mean, ci_lo, ci_hi) of the mean over resampled rows; nulls dropped.
 
-    ``multinomial`` draws n positions per resample and joins them back on
-    (keys, position), an evenly spread key. ``poisson`` gives every row an
-    independent Poisson(1) weight per resample: one pass, no join, for groups
-    too large to redraw.
+    ``multinomial`` makes n draws per resample, split among hash leaves of the rows
+    (see functions.resample); only sums are shuffled. ``poisson`` gives every row
+    an independent Poisson(1) weight per resample.
     """
     if method not in ("multinomial", "poisson"):
         raise ValueError(f"unknown method {method!r}")
@@ -80,7 +64,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
     if not keys:
         one = bootstrap_ci(df.withColumn("_g", F.lit(0)), ["_g"], value, resamples, alpha, seed, id_col, method)
         return one.drop("_g")
-    # Read for the mean, the positions and the draws: its history runs once.
+    # Read for the mean and the draws: its history runs once.
     known = durable(df.filter(F.col(value).isNotNull()).select(*keys, id_col, F.col(value).alias("_v")))
     point = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     if method == "poisson":
@@ -94,10 +78,8 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
         means = weighted.groupBy(*keys, "b").agg(
             F.try_divide(F.sum(F.col("_v") * F.col("w")), F.sum("w")).alias("value"))
     else:
-        placed = hashed_position(known, seed, id_col, tuple(keys))
-        drawn = bootstrap_draws(placed, keys, resamples, seed).join(
-            placed.select(*keys, "position", "_v"), [*keys, "position"])
-        means = drawn.groupBy(*keys, "b").agg(F.avg("_v").alias("value"))
+        sums = resampled_sums(known, keys, id_col, ["_v"], resamples, seed)
+        means = sums.select(*keys, "b", (F.col("_v") / F.col("draws")).alias("value"))
     return point.join(bootstrap_interval(means, keys, alpha), keys)
 
 

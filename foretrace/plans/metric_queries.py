@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from foretrace.functions.durable import durable
+from foretrace.functions.resample import mix_sql, stream_starts
 from foretrace.operators import calibrate, metrics
 from foretrace.plans import standin as S
 from foretrace.plans.parts import SMAPE, kolmogorov_sql
@@ -291,11 +292,14 @@ def by_hour_single(spark, sf):
 
 
 def draws_sql(source, keys, resamples, seed):
-    """Positions drawn per resample: two draws of 60 bits per digest, as on the Spark side."""
+    """Positions drawn per resample, as on the Spark side where a key's rows are one leaf."""
     ks = ", ".join(keys)
-    return " UNION ALL ".join(f"""
-SELECT {ks}, k*2 + {i} AS b, CAST('0x' || substr(md5('{seed}:b:' || k || ':' || position), {1 + 16 * i}, 15) AS BIGINT) % n_rows AS position
-FROM {source} CROSS JOIN (SELECT unnest(range({(resamples + 1) // 2})) AS k) WHERE k*2 + {i} < {resamples}""" for i in range(2))
+    s = stream_starts(seed)
+    words = lambda x, a, b: f"{mix_sql(f'xor({x}, {s[a]})')} AS h, {mix_sql(f'xor({x}, {s[b]})')} AS l"
+    return f"""
+SELECT {ks}, b, (({mix_sql("xor(r.h, d.h)")} * 1073741824) + ({mix_sql("xor(r.l, d.l)")} >> 2)) % n_rows AS position
+FROM (SELECT {ks}, position AS j, n_rows, {words("position", 2, 3)} FROM (SELECT DISTINCT {ks}, position, n_rows FROM {source})) d
+CROSS JOIN (SELECT b, {words("b", 0, 1)} FROM (SELECT unnest(range({resamples})) AS b)) r"""
 
 
 part("stay_hits", """
