@@ -41,6 +41,41 @@ def summarize(cut_grid: DataFrame, windows: Windows, recent: int = 6, keep_truth
     return cut_grid.groupBy("stay_id", *carry, "variable").agg(*aggregates)
 
 
+def summarize_packed(series: DataFrame, windows: Windows, recent: int = 6, keep_truth: bool = False,
+                     recents: tuple[int, ...] = ()) -> DataFrame:
+    """``summarize`` for packed series (``harmonize.packed``): one fold per series, other columns
+    than ``values`` are kept."""
+    keep = [c for c in series.columns if c != "values"]
+
+    def cells(first: int, count: int) -> Column:
+        """Measured bins as (hour, value), hours from zero."""
+        part = F.transform(F.slice("values", first + 1, count), lambda v, h: F.struct(h.alias("hour"), v.alias("value")))
+        return F.filter(part, lambda c: c["value"].isNotNull())
+
+    def total(column: str, term) -> Column:
+        return F.aggregate(column, F.lit(0.0), lambda a, c: a + term(c))
+
+    def mean_since(hour: int) -> Column:
+        own = F.filter("_seen", lambda c: c["hour"] >= hour)
+        return F.aggregate(own, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, c: F.struct(
+            (a["sum"] + c["value"]).alias("sum"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["sum"], a["n"]))
+
+    seen = series.select(*keep, cells(0, windows.obs).alias("_seen"), *([cells(windows.obs, windows.horizon).alias("_truth")] if keep_truth else []))
+    known = F.nullif(F.size("_seen"), F.lit(0))
+    seen = seen.withColumn("_n", known).withColumns({
+        "_x": total("_seen", lambda c: c["value"]) / F.col("_n"), "_h": total("_seen", lambda c: c["hour"]) / F.col("_n")})
+    x, h = F.col("_x"), F.col("_h")
+    spread = total("_seen", lambda c: (c["value"] - x) * (c["value"] - x))
+    hours = total("_seen", lambda c: (c["hour"] - h) * (c["hour"] - h))
+    both = total("_seen", lambda c: (c["hour"] - h) * (c["value"] - x))
+    return seen.select(
+        *keep, F.get("_seen", F.size("_seen") - 1)["value"].alias("last"), x.alias("mean"), F.sqrt(spread / F.col("_n")).alias("std"),
+        F.when(F.col("_n").isNotNull(), F.coalesce(F.try_divide(both, hours), F.lit(0.0))).alias("slope"),
+        F.size("_seen").cast("long").alias("n_obs"), mean_since(windows.obs - recent).alias("recent_mean"),
+        *[mean_since(windows.obs - r).alias(f"recent_mean_{r}") for r in recents],
+        *([F.map_from_entries("_truth").alias("truth")] if keep_truth else []))
+
+
 def reference_stats(train_grid: DataFrame) -> DataFrame:
     """Median, quartiles (exact) and population std of every value of the
     training stays, observation and horizon alike, per variable."""

@@ -45,7 +45,8 @@ def grid_dense(spark, sf):
 
 @register("gaps_interpolated", "stay_id:i variable:s hour:i value:d", "SELECT stay_id, variable, hour, value FROM interp")
 def gaps_interpolated(spark, sf):
-    return harmonize.interpolate(grid_dense(spark, sf))
+    ws = S.Workspace(spark, sf)
+    return harmonize.unpacked(harmonize.fill_gaps(harmonize.packed(ws.cohort, ws.panel, S.VARIABLES, S.WINDOWS)))
 
 
 @register("gaps_interpolated_strict", "stay_id:i variable:s hour:i value:d", """
@@ -53,23 +54,25 @@ SELECT stay_id, variable, hour, CASE WHEN value IS NOT NULL THEN value
   WHEN pv IS NOT NULL AND nv IS NOT NULL AND nh - ph - 1 <= 3 THEN pv + (nv - pv)*(hour - ph)/(nh - ph) END AS value
 FROM bracketed""")
 def gaps_strict(spark, sf):
-    return harmonize.interpolate(grid_dense(spark, sf), strict=True)
+    ws = S.Workspace(spark, sf)
+    return harmonize.unpacked(harmonize.fill_gaps(harmonize.packed(ws.cohort, ws.panel, S.VARIABLES, S.WINDOWS), strict=True))
 
 
 @register("observation_horizon_cut", "stay_id:i variable:s part:s hour:i value:d",
           "SELECT stay_id, variable, part, hour, value FROM cut")
 def cut_query(spark, sf):
-    return S.Workspace(spark, sf).tensors()
+    ws = S.Workspace(spark, sf)
+    return harmonize.tensors(ws.cohort, ws.panel, S.VARIABLES, S.WINDOWS)
 
 
 @register("observation_summary", "stay_id:i variable:s last:d mean:d std:d slope:d n_obs:i recent_mean:d", "SELECT * FROM summary")
 def observation_summary(spark, sf):
-    return features.summarize(S.Workspace(spark, sf).tensors(), S.WINDOWS, S.RECENT)
+    return features.summarize_packed(S.Workspace(spark, sf).packed, S.WINDOWS, S.RECENT)
 
 
 @register("reference_statistics", "variable:s median:d q1:d q3:d std:d n:i", "SELECT * FROM reference")
 def reference_statistics(spark, sf):
-    return features.reference_stats(S.Workspace(spark, sf).tensors().filter(F.col("split") == "train"))
+    return features.reference_stats(S.Workspace(spark, sf).cells.filter(F.col("split") == "train"))
 
 
 @register("fill_for_unobserved", "variable:s fill_value:d fill_width:d", "SELECT * FROM fill")

@@ -99,18 +99,19 @@ class Workspace:
     def subsets(self) -> DataFrame:
         return durable(C.validation_subsets(self.cohort, N_TUNE, SEED).select("stay_id", "subset"))
 
-    def tensors(self) -> DataFrame:
-        """Interpolated grid cut into observation and horizon, with the stay's split (lazy)."""
-        return harmonize.tensors(self.cohort, self.panel, VARIABLES, WINDOWS, carry=("split",))
+    @cached_property
+    def packed(self) -> DataFrame:
+        """One array per (stay, variable), short gaps filled, with the stay's split."""
+        return durable(harmonize.fill_gaps(harmonize.packed(self.cohort, self.panel, VARIABLES, WINDOWS, carry=("split",))))
 
     @cached_property
     def cells(self) -> DataFrame:
-        return durable(self.tensors())
+        """One row per bin, cut into observation and horizon (lazy)."""
+        return harmonize.cut(harmonize.unpacked(self.packed), WINDOWS)
 
     @cached_property
     def all_series(self) -> DataFrame:
-        cells = self.__dict__.get("cells") or self.tensors()
-        return durable(features.summarize(cells, WINDOWS, RECENT, keep_truth=True, carry=("split",)))
+        return durable(features.summarize_packed(self.packed, WINDOWS, RECENT, keep_truth=True))
 
     def series(self, split: str | None = None) -> DataFrame:
         """One row per (stay, variable): summary, split and horizon truth."""
@@ -128,7 +129,6 @@ class Workspace:
         return forecast.persistence(self.with_fill().series(split), WINDOWS, fill=self.fill)
 
     def with_fill(self) -> "Workspace":
-        """Fill first: it materialises the cells the series are then made from."""
         self.fill
         return self
 

@@ -179,3 +179,47 @@ def test_grid_of_a_stay_without_rows(spark):
     panel = spark.createDataFrame([(1, "v", 0, 3.0), (1, "v", 4, 8.0)], "stay_id long, variable string, hour int, value double")
     out = harmonize.grid(cohort, panel, [Variable("v")], Windows(2, 2))
     assert out.count() == 8 and out.filter(F.col("value").isNotNull()).count() == 1
+
+
+def packed_series(spark, x):
+    rows = [(s, "v", [None if np.isnan(v) else float(v) for v in r]) for s, r in enumerate(x)]
+    return spark.createDataFrame(rows, "stay_id long, variable string, values array<double>")
+
+
+def sparse_series(seed, n=60, bins=20):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(50, 9, (n, bins))
+    x[rng.random(x.shape) < rng.choice([0.3, 0.6, 0.95], (n, 1))] = np.nan
+    x[0] = np.nan
+    x[1, 1:] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("inside", [None, Windows(12, 8)])
+def test_packed_fill_equals_rows_per_bin(spark, strict, inside):
+    x = sparse_series(5)
+    rows = filled(harmonize.interpolate(series(spark, x), 3, strict, inside), 20)
+    fold = filled(harmonize.unpacked(harmonize.fill_gaps(packed_series(spark, x), 3, strict, inside)), 20)
+    np.testing.assert_allclose(fold, rows, atol=1e-9)
+
+
+def test_packed_summary_equals_rows_per_bin(spark):
+    x, w = sparse_series(6), Windows(12, 8)
+    columns = ["last", "mean", "std", "slope", "n_obs", "recent_mean", "recent_mean_2"]
+    rows = features.summarize(cells(spark, x, 12), w, 5, keep_truth=True, recents=(2,)).orderBy("stay_id").toPandas()
+    fold = features.summarize_packed(packed_series(spark, x), w, 5, keep_truth=True, recents=(2,)).orderBy("stay_id").toPandas()
+    np.testing.assert_allclose(fold[columns].astype(float), rows[columns].astype(float), atol=1e-9)
+    assert fold.truth.tolist() == rows.truth.tolist()
+
+
+def test_packing_needs_no_window_sort_or_join(spark):
+    cohort = spark.createDataFrame([(1, "train"), (2, "test")], "stay_id long, split string")
+    panel = spark.createDataFrame([(1, "v", 0, 3.0), (1, "v", 9, 8.0), (3, "v", 0, 1.0)], "stay_id long, variable string, hour int, value double")
+    w = Windows(2, 2)
+    series_ = harmonize.fill_gaps(harmonize.packed(cohort, panel, [Variable("v"), Variable("u")], w, carry=("split",)))
+    out = features.summarize_packed(series_, w, keep_truth=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Window", "Sort", "Join"))
+    got = sorted((r.stay_id, r.variable, r.split, r.n_obs, r["last"]) for r in out.collect())
+    assert got == [(1, "u", "train", 0, None), (1, "v", "train", 1, 3.0), (2, "u", "test", 0, None), (2, "v", "test", 0, None)]
