@@ -83,29 +83,41 @@ def contributions(raw: DataFrame, recent: DataFrame, variables: list[Variable],
     """(keys, setting, drift_damping, level_anchor_weight, variable, term): terms
     whose sum over variables is the mean per-stay sMAPE under that setting.
 
-    Each cell carries the weight 1 / (its stay's number of cells), so all
-    settings come out of one exploded, partially aggregated pass.
+    Each cell carries the weight 1 / (its stay's number of cells). A group's buffer has one sum per
+    setting, to which a cell adds its closed-form errors; settings become rows after the grouping.
     """
     if grid not in GRIDS:
         raise ValueError(f"unknown grid {grid!r}")
     keys = list(keys)
+    settings = list(product(*GRIDS[grid]))
     both = F.col("y_true").isNotNull() & F.col("y_raw").isNotNull()
     # One shuffle serves both windows below.
     placed = raw.repartition(*keys, "stay_id")
     df = with_first(placed, [*keys, "stay_id", "variable"]).filter(both)
     df = df.withColumn("_w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*keys, "stay_id")))
     df = df.join(recent.select("stay_id", "variable", "recent_mean"), ["stay_id", "variable"], "left")
-    settings = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("setting"), F.lit(d).alias("d"), F.lit(w).alias("w"))
-        for i, (d, w) in enumerate(product(*GRIDS[grid]))]))
     clipped = is_clipped(critic_stage=critic_stage) if critic_stage else F.lit(False)
-    df = _finish(df.withColumn("s", settings), F.col("s.d"), F.col("s.w"), variables, clipped)
-    sums = df.groupBy(*keys, F.col("s.setting").alias("setting"), F.col("s.d").alias("drift_damping"),
-                      F.col("s.w").alias("level_anchor_weight"), "variable").agg(
-        F.sum(F.col("_w") * smape_cell()).alias("_t"), F.sum("_w").alias("_n"))
+    # One named step per clip keeps the generated code small.
+    each = range(len(settings))
+    df = df.withColumns({f"_y{i}": adjusted(F.lit(d), F.lit(w)) for i, (d, w) in enumerate(settings)})
+    df = df.withColumns({f"_y{i}": clip(F.col(f"_y{i}"), *bounds(variables, "hard")) for i in each})
+    df = df.withColumns({f"_y{i}": F.when(clipped, clip(F.col(f"_y{i}"), *bounds(variables, "plausible"))).otherwise(F.col(f"_y{i}")) for i in each})
+    buffer = df.groupBy(*keys, "variable").agg(
+        F.sum("_w").alias("_n"), *[F.sum(F.col("_w") * smape_cell("y_true", f"_y{i}")).alias(f"_t{i}") for i in each])
     # The weights of one stay add up to one, so their sum counts the stays.
-    stays = F.sum("_n").over(Window.partitionBy(*keys, "setting"))
-    return sums.withColumn("term", F.col("_t") / F.round(stays)).drop("_t", "_n")
+    stays = buffer.withColumn("_stays", F.round(F.sum("_n").over(Window.partitionBy(*keys))))
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("setting"), F.lit(d).alias("drift_damping"), F.lit(w).alias("level_anchor_weight"),
+                 (F.col(f"_t{i}") / F.col("_stays")).alias("term")) for i, (d, w) in enumerate(settings)]))
+    return stays.select(*keys, "variable", rows.alias("s")).select(
+        *keys, "s.setting", "s.drift_damping", "s.level_anchor_weight", "variable", "s.term")
+
+
+def of_grid(terms: DataFrame, grid: str) -> DataFrame:
+    """Terms of a grid out of those of a larger one, with that grid's order of settings."""
+    rows = [(i, d, w) for i, (d, w) in enumerate(product(*GRIDS[grid]))]
+    order = F.coalesce(*[F.when((F.col("drift_damping") == d) & (F.col("level_anchor_weight") == w), i) for i, d, w in rows])
+    return terms.withColumn("setting", order).filter(F.col("setting").isNotNull())
 
 
 def _variable_group(strategy: str, variables: list[Variable]) -> Column:
@@ -151,9 +163,11 @@ def cross_validate(raw: DataFrame, recent: DataFrame, variables: list[Variable],
     fold = positions(raw, [], "stay_id", "_p").select("stay_id", (F.col("_p") % 2).cast("int").alias("fold"))
     keys = ("condition", "fold")
     out = None
+    # Small (settings x variables per condition and fold), read for every grid and strategy. All
+    # grids are parts of the extended one.
+    every = durable(contributions(raw.join(fold, "stay_id"), recent, variables, "extended", critic_stage, keys))
     for grid in GRIDS:
-        # Small (settings x variables per condition and fold), read by every strategy.
-        terms = durable(contributions(raw.join(fold, "stay_id"), recent, variables, grid, critic_stage, keys))
+        terms = of_grid(every, grid)
         # The other fold's term of the same setting is that setting's score there.
         other = terms.withColumn("fold", 1 - F.col("fold")).select(
             *keys, "variable", "drift_damping", "level_anchor_weight", "term")

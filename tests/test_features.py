@@ -223,3 +223,18 @@ def test_packing_needs_no_window_sort_or_join(spark):
     assert not any(word in plan for word in ("Window", "Sort", "Join"))
     got = sorted((r.stay_id, r.variable, r.split, r.n_obs, r["last"]) for r in out.collect())
     assert got == [(1, "u", "train", 0, None), (1, "v", "train", 1, 3.0), (2, "u", "test", 0, None), (2, "v", "test", 0, None)]
+
+
+def test_grid_fit_makes_no_row_per_setting_and_cell(spark):
+    from foretrace.operators import postprocess
+
+    raw = spark.range(40).select(
+        F.lit("c").alias("condition"), (F.col("id") % 4).alias("stay_id"), F.lit("v").alias("variable"), F.floor(F.col("id") / 4).cast("int").alias("hour"),
+        (F.col("id") % 5 + 1.0).alias("y_true"), (F.col("id") % 3 + 1.0).alias("y_raw"))
+    recent = spark.range(4).select(F.col("id").alias("stay_id"), F.lit("v").alias("variable"), F.lit(2.0).alias("recent_mean"))
+    terms = postprocess.contributions(raw, recent, [Variable("v")], "extended")
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # settings become rows above the grouping
+    small = {(r.setting, r.drift_damping, r.level_anchor_weight): r.term for r in postprocess.contributions(raw, recent, [Variable("v")]).collect()}
+    part = {(r.setting, r.drift_damping, r.level_anchor_weight): r.term for r in postprocess.of_grid(terms, "standard").collect()}
+    assert small.keys() == part.keys() and all(np.isclose(small[k], part[k]) for k in small) and len(small) == 20
