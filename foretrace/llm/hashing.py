@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 # Odd multipliers: powers of an odd number can be inverted modulo 2**64.
@@ -46,6 +47,34 @@ class Spans:
         return mixed((prefix[ends] - prefix[starts]) * self.down[starts])
 
 
+# Odd multipliers of the two independent hashes of a sequence.
+_TIMES = ((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03), (0xC2B2AE3D27D4EB4F, 0x8CB92BA72F3D8DD7))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """(n, 2) independent 64-bit hashes of whole words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2).astype(np.uint64)
+
+
+def sequence_hashes(values: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """A hash of each run of ``n`` values, in order. Runs are put together from runs of half their
+    length and mixed at every step, so no pattern of values makes runs collide."""
+    first, second = map(_U, _TIMES[which])
+    width, out = 1, values
+    while 2 * width <= n:
+        out = mixed(out[:-width] * first + out[width:])
+        width *= 2
+    if rest := n - width:
+        out = mixed(out[:-rest] * second + out[rest:])
+    return mixed(out ^ _U(n * _TIMES[which][1] & (1 << 64) - 1))
+
+
+def shingle_hashes(text: bytes, n: int) -> np.ndarray:
+    """Hashes of all n-word shingles in order; of the whole sequence if it has fewer words."""
+    words = text.split()
+    return sequence_hashes(word_hashes(words)[:, 0], min(n, len(words))) if words else np.zeros(0, np.uint64)
+
+
 def joined_words(text: bytes) -> bytes:
     """The words, runs of bytes other than 0x20 and 0x09-0x0D, with one blank between them."""
     return b" ".join(text.split())

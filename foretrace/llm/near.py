@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.llm.hashing import MinHash, Spans, band_keys, joined_words, mixed, packed_bits, word_ngrams
+from foretrace.llm.hashing import MinHash, band_keys, mixed, packed_bits, shingle_hashes
 from foretrace.llm.links import similar_components
 from foretrace.llm.sketches import Bits
 from foretrace.llm.store import keep, with_bytes
@@ -28,14 +28,14 @@ _NO_ID = 1 << 62
 
 
 @functools.lru_cache(maxsize=1)
-def _tools() -> tuple[Spans, MinHash]:
-    return Spans(0), MinHash(PERMUTATIONS)
+def _permutations() -> MinHash:
+    return MinHash(PERMUTATIONS)
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Distinct hashes of the n-word shingles of a text with A-Z lower-cased; one hash of the
     whole sequence if it has fewer words; none without words."""
-    return np.unique(word_ngrams(_tools()[0], joined_words(text.lower()), n))
+    return np.unique(shingle_hashes(text.lower(), n))
 
 
 def _own_id() -> Column:
@@ -53,7 +53,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for doc, text in zip(batch["id"], batch["text"]):
                 own = shingles(text, n)
                 if len(own):
-                    low = _tools()[1].minima(own)
+                    low = _permutations().minima(own)
                     s1, s2 = (int(mixed(own ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (17, 1 << 40))
                     rows.append((doc, len(own), s1, s2, band_keys(low, BANDS, ROWS), packed_bits(low, BITS)))
                 else:

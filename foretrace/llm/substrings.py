@@ -16,7 +16,6 @@ documents hold it.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.llm.hashing import Spans, joined_words, sliding_min, word_bounds
+from foretrace.llm.hashing import sequence_hashes, sliding_min, word_hashes
 from foretrace.llm.sketches import Bits, cell_bits, count_min
 from foretrace.llm.store import with_bytes
 
@@ -35,16 +34,10 @@ FLUSH = 1_000_000
 _LAST = (1 << 63) - 1
 
 
-@functools.lru_cache(maxsize=1)
-def _spans() -> tuple[Spans, Spans]:
-    return Spans(0), Spans(1)
-
-
-def _anchors(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of each window of a text with at least ``window`` words."""
+def _anchors(words: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of each window of a text with at least ``window`` words, from their hashes."""
     half = max(1, window // 2)
-    runs = _spans()[0].hashes(prefix, starts[: len(starts) - half + 1], ends[half - 1 :])
-    return sliding_min(runs, window - half + 1)
+    return sliding_min(sequence_hashes(words, half), window - half + 1)
 
 
 def expected_anchors(text_bytes: int, window: int) -> float:
@@ -56,10 +49,8 @@ def sketch(docs: DataFrame, window: int, bits: int) -> Bits:
 
     def anchors(batch: pd.DataFrame) -> Iterator[np.ndarray]:
         for text in batch["text"]:
-            joined = joined_words(text)
-            starts, ends = word_bounds(joined)
-            if len(starts) >= window:
-                yield np.unique(_anchors(_spans()[0].prefix(joined), starts, ends, window))
+            if len(words := text.split()) >= window:
+                yield np.unique(_anchors(word_hashes(words)[:, 0], window))
 
     return count_min(with_bytes(docs), anchors, bits, flush=FLUSH)
 
@@ -68,7 +59,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """_doc, _crc, starts: for each document that has any, the first words of its windows whose
     word sequence also stands in a document with a smaller id.
 
-    Windows are told apart by 96 bits of two independent hashes of their words. _doc is the
+    Windows are told apart by 96 bits of two independent hashes of their words' hashes. _doc is the
     doc_id, a missing one counting as larger than any; _crc tells apart different texts of one
     doc_id. Equal windows of one doc_id never make each other repeated. Null texts have none."""
     spark = docs.sparkSession
@@ -77,7 +68,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
-        first, second = _spans()
 
         def flush() -> pd.DataFrame:
             one, two, doc, crc, at = (np.concatenate(x) for x in zip(*held))
@@ -94,15 +84,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         size = 0
         for batch in batches:
             for doc, text in zip(batch["_doc"], batch["text"]):
-                joined = joined_words(text)
-                starts, ends = word_bounds(joined)
-                if len(starts) < window:
+                if len(words := text.split()) < window:
                     continue
-                prefix = first.prefix(joined)
-                at = np.flatnonzero(shared.value.hit(_anchors(prefix, starts, ends, window)))
+                own = word_hashes(words)
+                at = np.flatnonzero(shared.value.hit(_anchors(own[:, 0], window)))
                 if len(at):
-                    a, b = starts[at], ends[at + window - 1]
-                    held.append((first.hashes(prefix, a, b), second.hashes(second.prefix(joined), a, b).astype(np.uint32),
+                    one, two = sequence_hashes(own[:, 0], window)[at], sequence_hashes(own[:, 1], window, 1)[at]
+                    held.append((one, two.astype(np.uint32),
                                  np.full(len(at), doc, np.int64), np.full(len(at), zlib.crc32(text), np.int64), at))
                     size += len(at)
                     if size >= FLUSH:

@@ -184,3 +184,11 @@ def test_estimates_of_arrays_equal_those_of_columns(spark):
         df = spark.createDataFrame([(i, j, sig[i].tolist(), sig[j].tolist()) for i, j in got], "i int, j int, a array<long>, b array<long>")
         for r in df.select("i", "j", links.estimated(F.col("a"), F.col("b"), 3, bits).alias("x")).collect():
             assert abs(got[r.i, r.j] - r.x) < 1e-12
+
+
+def test_long_words_in_a_pattern_are_told_apart(spark, docs):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, f"{a} one two"), (2, f"{b} one two")]
+    assert [(r.doc_id, r.component_id) for r in near.near_duplicates(docs(rows), n=3, percent=85).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]

@@ -68,3 +68,31 @@ def test_cells_follow_the_input():
 
 def test_coverage():
     assert substrings.covered(6, pd.Series([1, 2]).to_numpy(), 2).tolist() == [False, True, True, True, False, False]
+
+
+def thue_morse(a, b, rounds=10):
+    x, y = a, b
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_patterns_that_polynomials_confuse(spark, docs):
+    """Words of 1,024 letters, and sequences of words, in a pattern and its complement."""
+    long_a, long_b = thue_morse("a", "b")
+    rest = [f"w{k}" for k in range(49)]
+    words_a, words_b = thue_morse(["x"], ["y"], 5)
+    rows = [(1, " ".join([long_a, *rest])), (2, " ".join([long_b, *rest])), (3, " ".join(words_a + rest)), (4, " ".join(words_b + rest[:18] + ["z"]))]
+    assert [r.n_removed for r in substrings.deduplicated(docs(rows)).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+
+
+def test_sequence_hashes_depend_on_order_and_length():
+    from foretrace.llm import hashing
+
+    words = hashing.word_hashes([b"a", b"b", b"a", b"b", b"c"] * 20)
+    for n in (1, 2, 3, 5, 8, 50):
+        for which in (0, 1):
+            found = hashing.sequence_hashes(words[:, which], n, which)
+            assert len(found) == 100 - n + 1 and len(set(found.tolist())) == 5 if n > 2 else True
+    texts = ["a b c", "c b a", "a b", "b a", "a", "a a", "a a a"]
+    assert len({int(hashing.shingle_hashes(t.encode(), 9)[0]) for t in texts}) == len(texts)
