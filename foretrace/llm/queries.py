@@ -123,9 +123,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_prefix_trie_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    tokens = trie.encoded(table(spark, sf_dir, "documents"), path)
-    return trie.decoded(tokens, path).select(
+    tokens = trie.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_decoded=True)
+    return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -244,8 +244,13 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
             yield batch.column(0).slice(begun, len(held)), held
 
 
-def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: its id and the token ids of its whole text.
+def _decoded(flat: np.ndarray, cuts: np.ndarray, bytes_of) -> list[str]:
+    return [b"".join(map(bytes_of, flat[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
+def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", with_decoded: bool = False) -> DataFrame:
+    """Per row of ``docs``: its id and the token ids of its whole text; ``with_decoded``, also the text
+    that these ids stand for, as from decoded() without a second pass.
 
     Equal to the library's encode() without special tokens around the text, truncation or padding;
     special tokens written in a text are their own ids, as there. A null or empty text has no ids; a
@@ -258,12 +263,14 @@ def encoded(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text")
         known = encoder(path)
         for keys, texts in _batched(batches):
             found = known.encode(texts)
-            cuts = np.r_[0, np.cumsum([len(f) // 4 for f in found])].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([keys, ids], names=[id, "ids"])
+            cuts, flat = np.r_[0, np.cumsum([len(f) // 4 for f in found])].astype(np.int32), np.frombuffer(b"".join(found), "<i4")
+            columns = [keys, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))]
+            if with_decoded:
+                columns.append(pa.array(_decoded(flat, cuts, token_bytes(path).__getitem__), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[id, "ids", "text"][: len(columns)])
 
     rows = docs.select(id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text__"))
-    return rows.mapInArrow(encode, f"`{id}` {kind}, ids array<int>")
+    return rows.mapInArrow(encode, f"`{id}` {kind}, ids array<int>" + (", text string" if with_decoded else ""))
 
 
 def decoded(tokens: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -279,10 +286,9 @@ def decoded(tokens: DataFrame, path: str, id: str = "doc_id", ids: str = "ids")
             begun = 0
             while begun < batch.num_rows:
                 upto = max(begun + 1, int(np.searchsorted(cuts, cuts[begun] + BATCH_BYTES // 8, "right")) - 1)
-                texts = [b"".join(map(bytes_of, flat[a:b].tolist())).decode("utf-8", "replace")
-                         for a, b in zip(cuts[begun:upto], cuts[begun + 1 : upto + 1])]
+                texts = pa.array(_decoded(flat, cuts[begun : upto + 1], bytes_of), pa.string())
                 part = batch.slice(begun, upto - begun)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id, "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=[id, "ids", "text"])
                 begun = upto
 
     rows = tokens.select(id, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("__ids__"))
