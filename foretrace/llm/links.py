@@ -27,6 +27,11 @@ from foretrace.llm.store import keep
 MAX_STEPS = 60
 BLOCK_ITEMS = 1500
 BUCKET_ITEMS = 4000
+EDGE_ROWS = 250_000
+
+
+def _dealt(edges: DataFrame, n: int) -> DataFrame:
+    return edges.repartition(n, "a")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,15 +40,19 @@ def components(links: DataFrame) -> DataFrame:
     Alternating stars: each id takes its larger neighbours to the smallest one, then its
     smaller ones, until every id points at the smallest of its component. Smallest
     neighbours come from partial aggregates; the table is written between the steps."""
-    edges = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
+    pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    edges = keep(pairs.distinct())
+    mark = (edges.count(), None)
     for _ in range(MAX_STEPS):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # As many tasks as the edges need, not as the session has partitions: the steps are many and
+        # the table shrinks. Everything of a step that groups or joins by one end keeps that dealing.
+        dealt = functools.partial(_dealt, n=1 + 2 * mark[0] // EDGE_ROWS)
+        both = dealt(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
+        large = dealt(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).union(least.toDF("a", "b"))
-        edges = keep(small.distinct())
+        edges = keep(dealt(small).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
