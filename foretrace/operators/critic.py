@@ -136,13 +136,14 @@ def violating_stays(forecasts: DataFrame, variables: list[Variable]) -> DataFram
 
 # --- replay -----------------------------------------------------------------
 
-# Names under which the replayed arms are reported.
-ARMS = ("no_critic", "clip_raw", "corrected_raw", "critic_final")
+# Arms that review the model's own output, and the one reviewed after post-processing.
+ARMS = ("no_critic", "clip_raw", "corrected_raw")
+FINAL = "critic_final"
 
 
 def arm_pairs(arms=ARMS) -> list[tuple[str, str]]:
-    """Every two arms, the later one first."""
-    return [(b, a) for a, b in combinations(arms, 2)]
+    """Every two raw arms, the later one first, and each raw arm against the final one."""
+    return [(b, a) for a, b in combinations(arms, 2)] + [(a, FINAL) for a in arms]
 
 
 def replay_arms(raw: DataFrame, variables: list[Variable], corrections: DataFrame | None = None,
@@ -186,12 +187,19 @@ def replay_scores(forecasts: DataFrame, variables: list[Variable], resamples: in
     return errors.join(covered, "condition").join(bad, "condition")
 
 
+def with_final(replayed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The replayed arms and, as a further arm, the stored forecasts of the replayed condition."""
+    columns = ["stay_id", "variable", "hour", "y_true", "y_pred"]
+    return replayed.select("condition", *columns).unionByName(
+        stored.select(F.lit(FINAL).alias("condition"), *columns))
+
+
 def replay_pairs(forecasts: DataFrame, arms=ARMS, resamples: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Paired comparison of every two arms with intervals and the signed-rank test; a pair with
-    an arm that was not replayed has no row."""
+    """Paired differences of every two raw arms and of each against the final one: mean with its interval,
+    share where the first is better, signed-rank test. A pair with an arm that is not there has no row."""
     from foretrace.operators import stats
 
-    return stats.compare_many(forecasts, arm_pairs(arms), resamples, alpha, seed)
+    return stats.compare_differences(forecasts, arm_pairs(arms), resamples, alpha, seed)
 
 
 def replay_difference(stored: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -200,6 +200,21 @@ def compare_many(forecasts: DataFrame, pairs: list[tuple[str, str]], resamples:
         *[F.when(fit, F.col(c)).alias(c) for c in tested])
 
 
+def compare_differences(forecasts: DataFrame, pairs: list[tuple[str, str]], resamples: int = 2000, alpha: float = 0.05,
+                        seed: int = 42, p_value: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every listed pair, within each of the ``keys``, by its differences: paired count, mean difference with its bootstrap interval,
+    share of stays where the first is better, and the signed-rank test (null where no stay differs).
+    A pair with a missing condition has no row."""
+    by = [*keys, "comparison"]
+    paired = durable(paired_errors(forecasts, pairs, keys).filter(F.col("d").isNotNull()))
+    share = paired.groupBy(*by).agg(F.avg((F.col("d") < 0).cast("double")).alias("share_a_better"))
+    ci = bootstrap_ci(paired, by, "d", resamples, alpha, seed).withColumnRenamed("mean", "mean_diff")
+    test = wilcoxon(paired, by, "d", p_value).drop("n")
+    tested = ["n_nonzero", "statistic", "z"] + (["p_value"] if p_value else [])
+    return ci.join(share, by).join(test, by, "left").select(
+        *by, F.col("n").alias("n_pairs"), "mean_diff", "ci_lo", "ci_hi", "share_a_better", *tested)
+
+
 def compare(forecasts: DataFrame, a: str, b: str, **options) -> DataFrame:
     return compare_many(forecasts, [(a, b)], **options)
 
@@ -375,6 +390,17 @@ def pick_winner(trials: DataFrame, min_improvement: float = 0.0, max_fallback: f
         "incumbent_objective", "n_trials")
 
 
+def seed_sensitivity(forecasts: DataFrame, pairs: list[tuple[str, str]], resamples: int = 2000, alpha: float = 0.05,
+                     seed: int = 42) -> DataFrame:
+    """The same comparisons for each retrained model: the rows of ``compare_differences`` per ``seed`` column
+    of the forecasts, with how the mean difference spreads over the seeds and whether all agree on its sign."""
+    rows = durable(compare_differences(forecasts, pairs, resamples, alpha, seed, keys=("seed",)))
+    over = rows.groupBy("comparison").agg(
+        F.count(F.lit(1)).alias("n_seeds"), F.min("mean_diff").alias("least_diff"), F.max("mean_diff").alias("largest_diff"),
+        (F.countDistinct(F.signum("mean_diff")) == 1).alias("same_sign"))
+    return rows.join(over, "comparison")
+
+
 def reproduction_check(first: DataFrame, second: DataFrame) -> DataFrame:
     """Do two stored forecasts agree: stays on one side only, largest difference
     of the forecasts and both mean per-stay sMAPEs."""

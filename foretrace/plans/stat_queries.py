@@ -353,6 +353,26 @@ def reproduction(spark, sf):
     return stats.reproduction_check(pick("full_pipeline"), pick("full_pipeline@alt").filter(F.col("stay_id") % 4 != 0))
 
 
+# Each run of the forecaster stands for a seed.
+part("seed_stays", """
+SELECT CASE WHEN condition LIKE '%@alt' THEN 2 ELSE 1 END AS seed, replace(condition, '@alt', '') AS condition, stay_id, smape FROM per_stay""")
+part("seed_paired", paired_sql(stats.question_pairs(), "seed_stays", "seed"))
+boot_sql("seed_diff", "seed_paired", ("seed", "comparison"), "d")
+
+
+@register("seed_sensitivity", "seed:i comparison:s n_pairs:i mean_diff:d ci_lo:d ci_hi:d share_a_better:d statistic:d p_value:d n_seeds:i least_diff:d largest_diff:d same_sign:b", f"""
+SELECT seed, comparison, n AS n_pairs, mean AS mean_diff, ci_lo, ci_hi, share_a_better, statistic, {normal_p_sql('z')} AS p_value, count(*) OVER w AS n_seeds,
+  min(mean) OVER w AS least_diff, max(mean) OVER w AS largest_diff, min(sign(mean)) OVER w = max(sign(mean)) OVER w AS same_sign
+FROM seed_diff_ci JOIN (SELECT seed, comparison, avg(CAST(d < 0 AS DOUBLE)) AS share_a_better FROM seed_paired GROUP BY ALL) USING (seed, comparison)
+LEFT JOIN (SELECT * EXCLUDE (n) FROM ({signed_rank_sql("SELECT * FROM seed_paired", ["seed", "comparison"])})) USING (seed, comparison)
+WINDOW w AS (PARTITION BY comparison)""")
+def seed_sensitivity(spark, sf):
+    alt = F.col("condition").endswith("@alt")
+    done = S.Workspace(spark, sf).finished("test").withColumn("seed", F.when(alt, 2).otherwise(1))
+    return stats.seed_sensitivity(durable(done.withColumn("condition", F.replace("condition", F.lit("@alt"), F.lit("")))),
+                                  stats.question_pairs(), B)
+
+
 RESCORED = final("y_adj")
 part("rescored", f"""
 SELECT condition, stay_id, split, variable, hour, y_true, half, {RESCORED} AS y_pred FROM (
@@ -403,9 +423,17 @@ def replay_scores(spark, sf):
     return critic.replay_scores(replay_tables(spark, sf)[0], S.VARIABLES, resamples=B).withColumnRenamed("mean", "smape")
 
 
-REPLAYED = critic.ARMS[:3]
+part("arm_smape_final", f"""
+SELECT * FROM arm_smape UNION ALL
+SELECT 'critic_final', stay_id, avg({SMAPE}) FROM test_set WHERE condition = 'full_pipeline' GROUP BY stay_id""")
+part("arms_paired", paired_sql(critic.arm_pairs(), "arm_smape_final"))
+boot_sql("arms_diff", "arms_paired", ("comparison",), "d")
 
 
-@register("critic_replay_pairs", COMPARE, compare_sql("arm_pairs", critic.arm_pairs(REPLAYED), "arm_smape"))
+@register("critic_replay_pairs", "comparison:s n_pairs:i mean_diff:d ci_lo:d ci_hi:d share_a_better:d n_nonzero:i statistic:d z:d p_value:d", f"""
+SELECT comparison, n AS n_pairs, mean AS mean_diff, ci_lo, ci_hi, share_a_better, n_nonzero, statistic, z, {normal_p_sql('z')} AS p_value
+FROM arms_diff_ci JOIN (SELECT comparison, avg(CAST(d < 0 AS DOUBLE)) AS share_a_better FROM arms_paired GROUP BY ALL) USING (comparison)
+LEFT JOIN (SELECT * EXCLUDE (n) FROM ({signed_rank_sql("SELECT * FROM arms_paired", ["comparison"])})) USING (comparison)""")
 def replay_pairs(spark, sf):
-    return critic.replay_pairs(durable(replay_tables(spark, sf)[0]), REPLAYED, B)
+    stored = S.Workspace(spark, sf).finished("test").filter(F.col("condition") == "full_pipeline")
+    return critic.replay_pairs(durable(critic.with_final(replay_tables(spark, sf)[0], stored)), resamples=B)

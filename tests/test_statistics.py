@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foretrace.functions import pvalues, ranks
 from foretrace.functions.draws import digest, long_word
-from foretrace.operators import calibrate, metrics, stats
+from foretrace.operators import calibrate, critic, metrics, stats
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +218,38 @@ def test_sides_of_a_pooled_comparison_have_to_forecast_the_same_stays(spark):
     assert [r.stay_id for r in stats.unpaired_stays(df, [("x", "y")], ("sample",)).collect()] == [2]
     with pytest.raises(ValueError):
         stats.pooled_compare(df, flags, [("x", "y")], 10, same_stays=True)
+
+
+def differing(spark, seeds=(1,)):
+    rng = np.random.default_rng(8)
+    rows = [(s, c, i, "v", 0, 10.0, float(10 + rng.normal(k * (1 if s == 1 else -1), 1)))
+            for s in seeds for k, c in enumerate(("x", "y")) for i in range(30)]
+    return spark.createDataFrame(rows, "seed int, condition string, stay_id long, variable string, hour int, y_true double, y_pred double")
+
+
+def test_differences_carry_their_own_interval_and_share(spark):
+    df = differing(spark)
+    wide = df.toPandas().assign(e=lambda p: 2 * (p.y_true - p.y_pred).abs() / (p.y_true.abs() + p.y_pred.abs() + 1e-8)).pivot(
+        index="stay_id", columns="condition", values="e")
+    d = (wide.x - wide.y).to_numpy()
+    row, = stats.compare_differences(df, [("x", "y"), ("x", "gone")], 400).collect()
+    assert (row.comparison, row.n_pairs, row.n_nonzero) == ("x_vs_y", 30, 30)
+    np.testing.assert_allclose([row.mean_diff, row.share_a_better], [d.mean(), (d < 0).mean()], atol=1e-9)
+    assert row.ci_lo < d.mean() < row.ci_hi
+    same = df.filter("condition = 'x'").unionByName(df.filter("condition = 'x'").withColumn("condition", F.lit("y")))
+    row, = stats.compare_differences(same, [("x", "y")], 50).collect()
+    assert (row.mean_diff, row.share_a_better, row.p_value) == (0, 0, None)
+
+
+def test_every_seed_has_its_comparison(spark):
+    rows = {r.seed: r for r in stats.seed_sensitivity(differing(spark, (1, 2)), [("x", "y")], 50).collect()}
+    assert set(rows) == {1, 2} and all(r.n_seeds == 2 and r.least_diff <= r.mean_diff <= r.largest_diff for r in rows.values())
+    one = stats.compare_differences(differing(spark, (1, 2)).filter("seed = 2"), [("x", "y")], 50).first()
+    assert abs(one.mean_diff - rows[2].mean_diff) < 1e-12
+
+
+def test_the_final_arm_joins_the_replayed_ones(spark):
+    arms = differing(spark).replace({"x": "no_critic", "y": "clip_raw"}, subset="condition")
+    stored = differing(spark).filter("condition = 'x'")
+    got = {r.comparison for r in critic.replay_pairs(critic.with_final(arms, stored), resamples=20).collect()}
+    assert got == {"clip_raw_vs_no_critic", "no_critic_vs_critic_final", "clip_raw_vs_critic_final"}
