@@ -9,6 +9,7 @@ from foretrace.plans import standin as S
 from foretrace.plans.registry import part, register
 
 STATS = ("last", "mean", "std", "slope")
+K = 30
 part("norm", """
 SELECT variable, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS s
 FROM cut WHERE split = 'train' AND part = 'obs' GROUP BY variable""")
@@ -20,11 +21,11 @@ SELECT feature, avg(value) AS m, CASE WHEN coalesce(var_pop(value), 0) = 0 THEN
 FROM long_features WHERE split = 'train' GROUP BY feature""")
 part("scaled", """
 SELECT stay_id, split, feature, (coalesce(value, m) - m)/s AS x FROM long_features JOIN feature_stats USING (feature)""")
-part("near", """
+part("near", f"""
 SELECT query_id, neighbor_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM (
   SELECT q.stay_id AS query_id, t.stay_id AS neighbor_id, sqrt(sum((q.x - t.x)*(q.x - t.x))) AS distance
   FROM scaled q JOIN scaled t USING (feature) WHERE q.split = 'test' AND t.split = 'train' GROUP BY ALL)
-QUALIFY rank <= 10""")
+QUALIFY rank <= {K}""")
 part("neighbour_cells", """
 SELECT n.query_id, h.variable, h.hour, h.value FROM near n JOIN (SELECT * FROM cut WHERE part = 'horizon') h ON h.stay_id = n.neighbor_id""")
 part("trajectory", """
@@ -34,7 +35,6 @@ part("spread", """
 SELECT query_id, variable, hour + 1 AS lead, count(value) AS n_values, quantile_cont(value, 0.25) AS q1,
   quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
 FROM neighbour_cells WHERE value IS NOT NULL AND hour + 1 IN (1, 3, 7, 11, 15) GROUP BY ALL HAVING count(value) >= 3""")
-K = 10
 
 
 @register("grid_dense", "stay_id:i variable:s hour:i value:d", "SELECT stay_id, variable, hour, value FROM grid")
