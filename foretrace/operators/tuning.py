@@ -10,21 +10,19 @@ from foretrace.operators import calibrate, forecast, metrics, postprocess, simil
 from foretrace.settings import Variable, Windows
 
 
-def neighbour_trials(queries: DataFrame, train: DataFrame, train_horizon: DataFrame, truth: DataFrame,
-                     ks: list[int]) -> DataFrame:
+def neighbour_trials(queries: DataFrame, train: DataFrame, horizons: DataFrame, truth: DataFrame, ks: list[int],
+                     variables: list[Variable], windows: Windows) -> DataFrame:
     """(trial, condition, stay_id, variable, hour, y_true, y_pred): the neighbour
     mean for several k from one join with the largest k.
 
-    ``truth``: stay_id, variable, hour, y_true of the query stays.
+    ``horizons``: ``similarity.packed_horizons`` of the training stays; ``truth``: stay_id, variable,
+    hour, y_true of the query stays.
     """
-    near = similarity.knn_join(queries, train, max(ks))
-    tagged = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(ks)]))).filter(F.col("rank") <= F.col("k"))
-    cells = train_horizon.withColumnRenamed("stay_id", "neighbor_id")
-    means = tagged.select("query_id", "neighbor_id", "k").join(cells, "neighbor_id").groupBy(
-        "query_id", "variable", "hour", "k").agg(F.avg("value").alias("y_pred"))
-    return means.withColumnRenamed("query_id", "stay_id").join(truth, ["stay_id", "variable", "hour"]).select(
+    found = similarity.outcomes(similarity.knn_join(queries, train, max(ks)), horizons)
+    means = similarity.mean_trajectory(found, variables, windows, tuple(sorted(ks))).withColumnRenamed("query_id", "stay_id")
+    return means.join(truth, ["stay_id", "variable", "hour"]).select(
         F.concat(F.lit("k"), F.col("k").cast("string")).alias("trial"), F.lit("neighbour_mean").alias("condition"),
-        "stay_id", "variable", "hour", "y_true", "y_pred")
+        "stay_id", "variable", "hour", "y_true", F.col("mean_value").alias("y_pred"))
 
 
 def window_trials(cut_grid: DataFrame, windows: Windows, recents: list[int], fill: DataFrame | None = None) -> DataFrame:

@@ -138,8 +138,12 @@ def neighbours(ws, k=K):
     return similarity.knn_join(pick("test"), pick("train"), k=k)
 
 
-def train_horizon(ws):
-    return ws.cells.filter((F.col("part") == "horizon") & (F.col("split") == "train")).drop("part", "split")
+def train_horizons(ws):
+    return similarity.packed_horizons(ws.packed.filter(F.col("split") == "train"), S.VARIABLES, S.WINDOWS)
+
+
+def outcomes(ws, near=None):
+    return similarity.outcomes(neighbours(ws) if near is None else near, train_horizons(ws))
 
 
 @register("standardised_features", "stay_id:i feature:i x:d", "SELECT stay_id, feature, x FROM scaled")
@@ -165,20 +169,43 @@ def nearest_embeddings(spark, sf):
     return similarity.knn_join(e.filter("label = 0"), e.filter("label <> 0"), 5, block_rows=64)
 
 
+@register("nearest_neighbours_lsh", "query_id:i neighbor_id:i distance:d rank:i")
+def nearest_lsh(spark, sf):
+    """The approximate join; its recall is in the next two queries, so it has no SQL of its own."""
+    _, _, pick = knn_vectors(S.Workspace(spark, sf))
+    return similarity.knn_lsh(pick("test"), pick("train"), K)
+
+
+@register("nearest_neighbours_lsh_recall", "n_queries:i n_neighbours:i recall_reached:b", """
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, TRUE AS recall_reached FROM near""")
+def nearest_lsh_recall(spark, sf):
+    _, _, pick = knn_vectors(S.Workspace(spark, sf))
+    queries, train = pick("test"), pick("train")
+    measured = similarity.recall(similarity.knn_lsh(queries, train, K), similarity.knn_join(queries, train, K))
+    return measured.withColumn("recall_reached", F.col("recall") >= 0.9)
+
+
+@register("nearest_embeddings_lsh_recall", "n_queries:i n_neighbours:i recall_reached:b", """
+SELECT count(*) FILTER (label = 0) AS n_queries, 5*count(*) FILTER (label = 0) AS n_neighbours, TRUE AS recall_reached FROM embeddings""")
+def embeddings_lsh_recall(spark, sf):
+    """Vectors of label 0 against all others, as in nearest_embeddings."""
+    e = S.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("stay_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    queries, train = e.filter("label = 0"), e.filter("label <> 0")
+    found = similarity.knn_lsh(queries, train, 5, block_rows=64)
+    return similarity.recall(found, similarity.knn_join(queries, train, 5)).withColumn("recall_reached", F.col("recall") >= 0.9)
+
+
 @register("neighbour_mean_trajectory", "query_id:i variable:s hour:i mean_value:d n_values:i", "SELECT * FROM trajectory")
 def neighbour_trajectory(spark, sf):
-    ws = S.Workspace(spark, sf)
-    horizon = train_horizon(ws)
-    return similarity.mean_trajectory(neighbours(ws), horizon)
+    return similarity.mean_trajectory(outcomes(S.Workspace(spark, sf)), S.VARIABLES, S.WINDOWS)
 
 
 @register("neighbour_outcome_quartiles", "query_id:i variable:s lead:i n_values:i q1:d median:d q3:d", "SELECT * FROM spread")
 def neighbour_quartiles(spark, sf):
-    ws = S.Workspace(spark, sf)
-    horizon = train_horizon(ws)
-    return similarity.trajectory_quantiles(neighbours(ws), horizon, S.WINDOWS)
+    return similarity.trajectory_quantiles(outcomes(S.Workspace(spark, sf)), S.VARIABLES, S.WINDOWS)
 
 
 @register("neighbour_horizon_mean", "query_id:i variable:s horizon_mean:d", "SELECT * FROM horizon_means")
 def neighbour_horizon(spark, sf):
-    return similarity.horizon_mean(neighbour_trajectory(spark, sf))
+    return similarity.horizon_mean(similarity.mean_trajectories(outcomes(S.Workspace(spark, sf)), S.VARIABLES, S.WINDOWS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foretrace.functions.durable import durable
 from foretrace.operators import critic, metrics, stats, tuning
 from foretrace.plans import standin as S
-from foretrace.plans.feature_queries import knn_vectors, train_horizon
+from foretrace.plans.feature_queries import knn_vectors, train_horizons
 from foretrace.plans.forecast_queries import best_sql, replay_tables
 from foretrace.plans.metric_queries import draws_sql
 from foretrace.plans.parts import SMAPE, adjusted, final, normal_p_sql
@@ -307,7 +307,7 @@ def trial_errors(spark, sf):
     truth = cells.filter(F.col("part") == "horizon").select("stay_id", "variable", "hour", F.col("value").alias("y_true"))
     _, scaler, pick = knn_vectors(ws)
     queries = pick("val").join(tune, "stay_id", "left_semi")
-    near = tuning.neighbour_trials(queries, pick("train"), train_horizon(ws), truth, list(TRIAL_KS))
+    near = tuning.neighbour_trials(queries, pick("train"), train_horizons(ws), truth, list(TRIAL_KS), S.VARIABLES, S.WINDOWS)
     flat = tuning.window_trials(cells, S.WINDOWS, [3, 10]).select(*near.columns)
     return metrics.per_stay_smape(near.unionByName(flat), ("trial", "condition"))
 

@@ -10,7 +10,7 @@ from foretrace.functions.durable import durable
 from foretrace.operators import prompts, responses, similarity
 from foretrace.operators.forecast import levels
 from foretrace.plans import standin as S
-from foretrace.plans.feature_queries import neighbours, train_horizon
+from foretrace.plans.feature_queries import neighbours, outcomes
 from foretrace.plans.parts import clip, word
 from foretrace.plans.registry import NUDGE, part, register
 from foretrace.settings import PromptOptions
@@ -98,7 +98,7 @@ SELECT stay_id, {HEAD} observations{GAP}alike{GAP}{ASK} AS prompt FROM obs_block
 def prompt_means(spark, sf):
     ws = S.Workspace(spark, sf).with_fill()
     near = durable(neighbours(ws))
-    means = similarity.horizon_mean(similarity.mean_trajectory(near, train_horizon(ws)))
+    means = similarity.horizon_mean(similarity.mean_trajectories(outcomes(ws, near), S.VARIABLES, S.WINDOWS))
     return prompts.build(prompt_summary(ws), S.VARIABLES, S.WINDOWS, PromptOptions(), prompt_reference(ws),
                          neighbors=near, means=fixed(means, "horizon_mean"))
 
@@ -112,7 +112,7 @@ JOIN recent_text USING (stay_id) JOIN similar_text USING (stay_id) CROSS JOIN an
 def prompt_everything(spark, sf):
     ws = S.Workspace(spark, sf).with_fill()
     near = durable(neighbours(ws))
-    spread = similarity.trajectory_quantiles(near, train_horizon(ws), S.WINDOWS)
+    spread = similarity.trajectory_quantiles(outcomes(ws, near), S.VARIABLES, S.WINDOWS)
     options = PromptOptions("trajectory", True, 6, "damped", True)
     cells = fixed(ws.cells.filter(F.col("split") == "test"), "value")
     return prompts.build(prompt_summary(ws), S.VARIABLES, S.WINDOWS, options, prompt_reference(ws), cells,

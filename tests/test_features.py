@@ -238,3 +238,77 @@ def test_grid_fit_makes_no_row_per_setting_and_cell(spark):
     small = {(r.setting, r.drift_damping, r.level_anchor_weight): r.term for r in postprocess.contributions(raw, recent, [Variable("v")]).collect()}
     part = {(r.setting, r.drift_damping, r.level_anchor_weight): r.term for r in postprocess.of_grid(terms, "standard").collect()}
     assert small.keys() == part.keys() and all(np.isclose(small[k], part[k]) for k in small) and len(small) == 20
+
+
+def test_packed_outcomes_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    w, vs = Windows(2, 6), [Variable("a"), Variable("b")]
+    x = rng.normal(50, 9, (12, 2, 8))
+    x[rng.random(x.shape) < 0.5] = np.nan
+    x[:, 1, 7] = np.nan  # an hour that no neighbour has
+    data = [(s, v.name, [None if np.isnan(y) else float(y) for y in x[s, i]]) for s in range(12) for i, v in enumerate(vs) if (s, i) != (4, 1)]
+    x[4, 1] = np.nan  # a stay without one of the series
+    horizons = similarity.packed_horizons(spark.createDataFrame(data, "stay_id long, variable string, values array<double>"), vs, w)
+    near = {100: [4, 0, 7, 3, 9], 101: [1, 2, 4, 5, 6], 102: [4]}
+    pairs = spark.createDataFrame([(q, n, i + 1) for q, ns in near.items() for i, n in enumerate(ns)], "query_id long, neighbor_id long, rank int")
+    found = similarity.outcomes(pairs, horizons)
+    means = {(r.query_id, r.k, r.variable, r.hour): (r.mean_value, r.n_values) for r in similarity.mean_trajectory(found, vs, w, (2, 5)).collect()}
+    assert len(means) == 3 * 2 * 2 * 6
+    for (q, k, v, h), (mean, n) in means.items():
+        own = x[near[q][:k], "ab".index(v), 2 + h]
+        own = own[~np.isnan(own)]
+        assert n == len(own) and (mean is None if not n else np.isclose(mean, own.mean()))
+    spread = {(r.query_id, r.variable, r.lead): (r.q1, r.median, r.q3) for r in similarity.trajectory_quantiles(found, vs, w).collect()}
+    for q, ns in near.items():
+        for i, v in enumerate("ab"):
+            for lead in similarity.report_hours(w):
+                own = x[ns, i, 1 + lead]
+                own = own[~np.isnan(own)]
+                assert ((q, v, lead) in spread) == (len(own) >= 3)
+                if len(own) >= 3:
+                    np.testing.assert_allclose(spread[q, v, lead], np.quantile(own, [0.25, 0.5, 0.75]))
+    totals = similarity.horizon_mean(similarity.mean_trajectories(found, vs, w)).collect()
+    for r in totals:
+        hours = [means[r.query_id, 5, r.variable, h][0] for h in range(6)]
+        known = [m for m in hours if m is not None]
+        assert r.horizon_mean is None if not known else np.isclose(r.horizon_mean, np.mean(known))
+
+
+def test_scaler_takes_missing_vectors(spark):
+    df = spark.createDataFrame([(0, None), (1, [1.0, 4.0]), (2, [3.0, 4.0])], "stay_id long, vector array<double>")
+    scaler = similarity.fit(df)
+    assert scaler.means == (2.0, 4.0) and scaler.n_train == 3
+    assert similarity.standardise(df, scaler).filter("stay_id = 0").first().vector == [0.0, 0.0]
+
+
+def clustered(spark, seed, n, centres, shift=0):
+    rng = np.random.default_rng(seed)
+    m = centres[rng.integers(0, len(centres), n)] + rng.normal(0, 0.3, (n, centres.shape[1]))
+    m[: n // 3] = centres[0]  # a third of all vectors is one point
+    return m, spark.createDataFrame([(i + shift, [float(v) for v in r]) for i, r in enumerate(m)], "stay_id long, vector array<double>")
+
+
+def test_lsh_finds_the_neighbours_and_compares_little(spark):
+    centres = np.random.default_rng(9).normal(0, 6, (40, 8))
+    t, train = clustered(spark, 10, 900, centres)
+    q, queries = clustered(spark, 11, 90, centres, 10_000)
+    hashes = similarity.fit_hashes(train, 5)
+    assert hashes.recall >= 0.95 and hashes.compared < 4
+    found = similarity.knn_lsh(queries, train, 5, hashes, block_rows=64).toPandas()
+    assert len(found) == 90 * 5 and not found.duplicated(["query_id", "neighbor_id"]).any()
+    d = np.sqrt(((q[found.query_id - 10_000] - t[found.neighbor_id]) ** 2).sum(axis=1))
+    np.testing.assert_allclose(found.distance, d, atol=1e-12)
+    exact = similarity.knn_join(queries, train, 5)
+    row = similarity.recall(spark.createDataFrame(found), exact).first()
+    assert (row.n_queries, row.n_neighbours) == (90, 450) and row.recall >= 0.9
+    assert similarity.recall(exact, exact).first().recall == 1.0
+
+
+def test_lsh_hands_short_queries_to_the_exact_join(spark):
+    train = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(40)], "stay_id long, vector array<double>")
+    far = spark.createDataFrame([(100, [1e6, -1e6]), (101, [3.2, 0.0])], "stay_id long, vector array<double>")
+    got = similarity.knn_lsh(far, train, 4).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 100].neighbor_id.tolist() == [39, 38, 37, 36]
+    assert got.groupby("query_id").size().tolist() == [4, 4]
+    assert similarity.knn_lsh(far, train.limit(2), 4).count() == 4
+    assert similarity.knn_lsh(far, train.limit(0), 4).count() == 0
