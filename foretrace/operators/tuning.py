@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.functions.durable import durable
-from foretrace.operators import calibrate, forecast, metrics, postprocess, similarity
+from foretrace.operators import calibrate, forecast, metrics, postprocess, similarity, stats
 from foretrace.settings import Variable, Windows
 
 
@@ -47,6 +51,86 @@ def tree_trials(train_summary: DataFrame, eval_summary: DataFrame, variables: li
     return out
 
 
+@dataclass(frozen=True)
+class Round:
+    """One round of a trial search: all its conditions are scored under the settings of each trial.
+    With ``per_condition`` every condition has its own winner, whose settings then hold for the
+    condition's group alone."""
+
+    name: str
+    conditions: tuple[str, ...]
+    trials: dict[str, dict]
+    per_condition: bool = False
+
+
+@dataclass
+class Search:
+    """What a search has come to: settings, one row per round and scope, and the scored trials."""
+
+    settings: dict
+    rounds: DataFrame | None = None
+    trials: DataFrame | None = None
+    scored: list[tuple[str, str]] = field(default_factory=list)
+
+
+def group_settings(settings: dict, group: str) -> dict:
+    """Settings that hold for one group only."""
+    return {f"{group}.{name}": value for name, value in settings.items()}
+
+
+def effective(settings: dict, group: str, uses: tuple[str, ...]) -> dict:
+    """The settings that a condition of this group depends on; its group's own ones come first."""
+    return {name: settings.get(f"{group}.{name}", settings.get(name)) for name in uses}
+
+
+def search(spark: SparkSession, rounds: list[Round], fixed: dict, score: Callable[[list[tuple[str, str, dict]]], DataFrame],
+           uses: dict[str, tuple[str, ...]], groups: dict[str, str] | None = None, min_improvement: float = 0.0,
+           max_fallback: float = 0.05) -> Search:
+    """Coordinate search: each round starts from the settings that the rounds before it left.
+
+    ``score`` takes (condition, settings_key, effective settings) of what was never scored before, all of a round at
+    once, and returns condition, settings_key, smape_mean, fallback_rate. ``uses`` names the settings each condition depends
+    on, so a trial that changes others is not scored again. Winners are those of ``stats.pick_winner``. The
+    driver holds settings and one winner per round and scope.
+    """
+    groups = {c: (groups or {}).get(c, c) for c in uses}
+    state, known = Search(dict(fixed)), None
+    for rnd in rounds:
+        if "incumbent" in rnd.trials:
+            raise ValueError(f"round {rnd.name}: 'incumbent' is no name for a trial")
+        if rnd.per_condition and len({groups[c] for c in rnd.conditions}) < len(rnd.conditions):
+            raise ValueError(f"round {rnd.name}: conditions of one group cannot have winners of their own")
+        trials = {"incumbent": {}} | rnd.trials
+        rows, wanted = [], {}
+        for trial, changed in trials.items():
+            for c in rnd.conditions:
+                own = group_settings(changed, groups[c]) if rnd.per_condition else changed
+                used = effective(state.settings | own, groups[c], uses[c])
+                key = json.dumps(used, sort_keys=True)
+                rows.append((rnd.name, trial, c, key))
+                if (c, key) not in state.scored:
+                    wanted[c, key] = used
+        if wanted:
+            fresh = durable(score([(c, key, used) for (c, key), used in wanted.items()]).select(
+                "condition", "settings_key", "smape_mean", "fallback_rate"))
+            if fresh.count() != len(wanted):
+                raise ValueError(f"round {rnd.name}: {len(wanted)} settings were to be scored, not {fresh.count()}")
+            known = fresh if known is None else known.unionByName(fresh)
+            state.scored += list(wanted)
+        of_round = durable(spark.createDataFrame(rows, "round string, trial string, condition string, settings_key string").join(
+            known, ["condition", "settings_key"]))
+        keys = ("round", "condition") if rnd.per_condition else ("round",)
+        winners = durable(stats.pick_winner(of_round, min_improvement, max_fallback, keys))
+        for row in winners.collect():
+            changed = trials[row["winner"]]
+            state.settings |= group_settings(changed, groups[row["condition"]]) if rnd.per_condition else changed
+        scope = F.col("condition") if rnd.per_condition else F.lit("all")
+        winners = winners.select("round", scope.alias("scope"), "winner", "objective", "incumbent_objective", "n_trials")
+        state.rounds = winners if state.rounds is None else state.rounds.unionByName(winners)
+        state.trials = of_round if state.trials is None else state.trials.unionByName(of_round)
+    return state
+
+
 def rescore(calibration: DataFrame, test: DataFrame, recent: DataFrame, variables: list[Variable],
             strategy: str = "global", grid: str = "standard", percent: int = 90,
             critic_stage: str | None = "final") -> dict[str, DataFrame]:

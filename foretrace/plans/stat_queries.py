@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from foretrace.functions.durable import durable
@@ -330,6 +332,61 @@ def tuning_winner(spark, sf):
     return stats.pick_winner(trials, 0.0001)
 
 
+SIZES = (3, 5, 10, 15)
+SIZED = {"neighbour_mean": ("size",), "recent_mean": ("size",)}
+part("size_cells", " UNION ALL ".join([f"""
+SELECT 'neighbour_mean' AS condition, {k} AS size, n.query_id AS stay_id, h.variable, h.hour, avg(h.value) AS y_pred FROM tune_near n
+JOIN (SELECT * FROM cut WHERE part = 'horizon') h ON h.stay_id = n.neighbor_id WHERE rank <= {k} GROUP BY ALL""" for k in SIZES] + [f"""
+SELECT 'recent_mean' AS condition, {w} AS size, stay_id, variable, hour, CASE WHEN n_obs > 0 THEN coalesce(r, last) ELSE 0.0 END AS y_pred FROM (
+  SELECT stay_id, variable, arg_max(value, hour) FILTER (value IS NOT NULL) AS last, count(value) AS n_obs,
+    avg(value) FILTER (hour >= {15 - w}) AS r FROM cut WHERE part = 'obs' GROUP BY ALL) CROSS JOIN (SELECT unnest(range(15)) AS hour)""" for w in SIZES]))
+part("size_smape", f"""
+SELECT condition, size, avg(smape) AS m FROM (
+  SELECT condition, size, stay_id, avg({SMAPE}) AS smape FROM size_cells JOIN tune_truth USING (stay_id, variable, hour) GROUP BY ALL) GROUP BY ALL""")
+GAIN = 0.0001
+part("joint_round", f"""
+SELECT CASE WHEN i - b >= {GAIN} THEN best ELSE 'incumbent' END AS winner, CASE WHEN i - b >= {GAIN} THEN best_size ELSE 5 END AS size,
+  CASE WHEN i - b >= {GAIN} THEN b ELSE i END AS objective, i AS incumbent_objective, n AS n_trials FROM (
+  SELECT arg_min(trial, (o, trial <> 'incumbent', trial)) AS best, arg_min(size, (o, trial <> 'incumbent', trial)) AS best_size, min(o) AS b,
+    max(o) FILTER (trial = 'incumbent') AS i, count(*) AS n FROM (
+    SELECT trial, size, avg(m) AS o FROM (VALUES ('incumbent', 5), ('few', 3), ('many', 10)) t(trial, size) JOIN size_smape USING (size) GROUP BY ALL))""")
+
+
+@register("tuning_rounds", "round:s scope:s winner:s objective:d incumbent_objective:d n_trials:i", f"""
+SELECT 'joint' AS round, 'all' AS scope, winner, objective, incumbent_objective, n_trials FROM joint_round UNION ALL
+SELECT 'own', condition, CASE WHEN i - b >= {GAIN} THEN best ELSE 'incumbent' END, CASE WHEN i - b >= {GAIN} THEN b ELSE i END, i, n FROM (
+  SELECT condition, arg_min(trial, (m, trial <> 'incumbent', trial)) AS best, min(m) AS b, max(m) FILTER (trial = 'incumbent') AS i, count(*) AS n
+  FROM (SELECT 'incumbent' AS trial, size FROM joint_round UNION ALL SELECT * FROM (VALUES ('small', 3), ('large', 15)) t(trial, size))
+  JOIN size_smape USING (size) GROUP BY condition)""")
+def tuning_rounds(spark, sf):
+    """One size for both conditions, then one for each: neighbours of the mean, bins of the window."""
+    ws = S.Workspace(spark, sf)
+    tune = ws.subsets.filter(F.col("subset") == "tune").select("stay_id")
+    cells = durable(ws.cells.join(tune, "stay_id", "left_semi"))
+    truth = cells.filter(F.col("part") == "horizon").select("stay_id", "variable", "hour", F.col("value").alias("y_true"))
+    _, _, pick = knn_vectors(ws)
+    queries, train = durable(pick("val").join(tune, "stay_id", "left_semi")), durable(pick("train"))
+
+    def score(wanted):
+        sizes = {c: [used["size"] for name, _, used in wanted if name == c] for c in SIZED}
+        parts = []
+        if sizes["neighbour_mean"]:
+            parts.append(tuning.neighbour_trials(queries, train, train_horizons(ws), truth, sizes["neighbour_mean"], S.VARIABLES, S.WINDOWS))
+        if sizes["recent_mean"]:
+            parts.append(tuning.window_trials(cells, S.WINDOWS, sizes["recent_mean"]))
+        columns = ["trial", "condition", "stay_id", "variable", "hour", "y_true", "y_pred"]
+        rows = functools.reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts])
+        names = {("k" if c == "neighbour_mean" else "window") + str(used["size"]): key for c, key, used in wanted}
+        key_of = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return metrics.per_stay_smape(rows, ("trial", "condition")).groupBy("trial", "condition").agg(
+            F.avg("smape").alias("smape_mean")).select(
+            "condition", F.try_element_at(key_of, "trial").alias("settings_key"), "smape_mean", F.lit(0.0).alias("fallback_rate"))
+
+    rounds = [tuning.Round("joint", tuple(SIZED), {"few": {"size": 3}, "many": {"size": 10}}),
+              tuning.Round("own", tuple(SIZED), {"small": {"size": 3}, "large": {"size": 15}}, per_condition=True)]
+    return tuning.search(spark, rounds, {"size": 5}, score, SIZED, min_improvement=GAIN).rounds
+
+
 @register("tuning_trees", "trial:s condition:s n_stays:i smape_mean:d")
 def tuning_trees(spark, sf):
     """Two tree settings; no SQL counterpart."""

@@ -253,3 +253,31 @@ def test_the_final_arm_joins_the_replayed_ones(spark):
     stored = differing(spark).filter("condition = 'x'")
     got = {r.comparison for r in critic.replay_pairs(critic.with_final(arms, stored), resamples=20).collect()}
     assert got == {"clip_raw_vs_no_critic", "no_critic_vs_critic_final", "clip_raw_vs_critic_final"}
+
+
+def test_rounds_start_from_the_winners_before(spark):
+    from foretrace.operators import tuning
+
+    asked = []
+    best = {"a": {"x": 2, "y": 1}, "b": {"x": 3, "y": 1}}
+
+    def score(wanted):
+        asked.append([(c, tuple(sorted(used.items()))) for c, _, used in wanted])
+        rows = [(c, key, sum(abs(v - best[c][n]) for n, v in used.items()) + 0.5, 0.5 if used["x"] == 9 else 0.0) for c, key, used in wanted]
+        return spark.createDataFrame(rows, "condition string, settings_key string, smape_mean double, fallback_rate double")
+
+    rounds = [tuning.Round("both", ("a", "b"), {"two": {"x": 2}, "four": {"x": 4}}),
+              tuning.Round("own", ("a", "b"), {"three": {"x": 3}, "bad": {"x": 9}}, per_condition=True),
+              tuning.Round("other", ("a", "b"), {"one": {"y": 1}, "same": {"x": 2}})]
+    uses = {"a": ("x", "y"), "b": ("x",)}
+    out = tuning.search(spark, rounds, {"x": 7, "y": 5}, score, uses)
+    got = {(r["round"], r["scope"]): (r["winner"], r["objective"], r["incumbent_objective"]) for r in out.rounds.collect()}
+    # means of a and b: two (0 + 4 + 0.5, 1 + 0.5), incumbent (5 + 4 + 0.5, 4 + 0.5)
+    assert got == {("both", "all"): ("two", 3.0, 7.0), ("own", "a"): ("incumbent", 4.5, 4.5), ("own", "b"): ("three", 0.5, 1.5),
+                   ("other", "all"): ("one", 0.5, 2.5)}
+    assert out.settings == {"x": 2, "y": 1, "b.x": 3}
+    flat = [x for ask in asked for x in ask]
+    assert len(flat) == len(set(flat)) and asked[2] == [("a", (("x", 2), ("y", 1)))]  # nothing is scored twice
+    assert out.trials.count() == 6 + 6 + 6
+    with pytest.raises(ValueError):
+        tuning.search(spark, [tuning.Round("r", ("a", "b"), {}, True)], {"x": 1}, score, {"a": ("x",), "b": ("x",)}, {"a": "g", "b": "g"})
