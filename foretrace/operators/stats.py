@@ -85,6 +85,14 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 20
 
 # --- rank tests -----------------------------------------------------------
 
+def _tie_term(count: str) -> Column:
+    """Sum of c^3 - c over the groups of equal values. A group of 2.1 million rows passes the range of
+    a long; as decimals of 38 digits the sum stays exact."""
+    c = F.col(count).cast("decimal(19,0)")
+    square = (c * c).cast("decimal(38,0)") - 1
+    return F.sum((square.cast("decimal(27,0)") * F.col(count).cast("decimal(13,0)")).cast("decimal(38,0)")).cast("double")
+
+
 def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group_limit: int | None = None,
              law: str = "normal") -> DataFrame:
     """Signed-rank statistics of paired differences: zeros dropped, average ranks. ``law`` of the
@@ -104,7 +112,7 @@ def wilcoxon(df: DataFrame, keys: list[str], d: str, p_value: bool = True, group
     rank = F.col("c_cum") - (F.col("c") - 1) / 2.0
     sums = cum.groupBy(*keys).agg(
         F.sum("c").alias("m"), F.sum(rank * F.col("pos")).alias("w_plus"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
+        _tie_term("c").alias("ties"))
     m = F.col("m").cast("double")
     mean = m * (m + 1) / 4
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
@@ -130,7 +138,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, is_first: Column, p
     rank = F.col("c_cum") - (F.col("c") - 1) / 2.0
     sums = cum.groupBy(*keys).agg(
         F.sum("a").alias("n1"), (F.sum("c") - F.sum("a")).alias("n2"), F.sum(rank * F.col("a")).alias("r1"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
+        _tie_term("c").alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2

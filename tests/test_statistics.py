@@ -80,6 +80,20 @@ def test_rank_sum(spark):
     assert np.isclose(got.p_value, min(1, 2 * sum(e <= low for e in every) / len(every)))
 
 
+def test_ties_of_millions_of_rows(spark):
+    """The cube of a group's size, and the sum of such cubes, pass the range of a long."""
+    n = 4_000_000
+    df = spark.range(n).select(F.lit(0).alias("g"), (F.col("id") % 2 + 1).cast("double").alias("v"), (F.col("id") % 4 < 2).alias("first"))
+    got = stats.mann_whitney(df, ["g"], "v", F.col("first")).first()
+    assert (got.n1, got.n2, got.u, got.has_ties) == (n / 2, n / 2, n * n / 8, True)
+    ties, m = 2 * ((n // 2) ** 3 - n // 2), n / 2
+    assert math.isclose(got.z, -0.5 / math.sqrt(m * m / 12 * (n + 1 - ties / (n * (n - 1)))), rel_tol=1e-12)
+    three = spark.range(3 * n).select(F.lit(3.0).alias("v"))
+    got = stats.wilcoxon(three, [], "v").first()
+    c = 3 * n
+    assert math.isclose(got.z, -c * (c + 1) / 4 / math.sqrt(c * (c + 1) * (2 * c + 1) / 24 - (c**3 - c) / 48), rel_tol=1e-12)
+
+
 def test_normal_and_limit_laws_are_resolved(spark):
     zs = [0.0, 1e-4, 0.05, 0.1, 0.7, -2.5, 6.0, 10.5, 25.0]
     got = [r.p for r in spark.createDataFrame([(z,) for z in zs], "z double").select(pvalues.normal_two_sided("z").alias("p")).collect()]
