@@ -122,3 +122,37 @@ def test_blocks_of_languages_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(quality, "LANGUAGES_AT_ONCE", 1)
     assert pick() == whole
     assert quality.judged(df.limit(0)).count() == 0
+
+
+def test_letters_of_any_script_are_told_apart(spark):
+    """Runs are of characters, not of hashed classes, and as many as the texts hold."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)] + [chr(c) for c in range(0x400, 0x460)] + ["\U0001F600", "\x01"]
+    texts = ["".join(letters[i : i + 40]) + " x9" for i in range(0, len(letters), 40)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    want = collections.Counter()
+    for t in texts:
+        s = f" {t[:-1]}0 "
+        want.update(s[i : i + 3] for i in range(len(s) - 2))
+    name = lambda code: "".join(chr(code >> shift & 0x1FFFFF) for shift in (42, 21, 0))
+    counted = quality.ngram_counts(df)
+    assert {name(r.code): r.n for r in counted.collect()} == want
+    low = quality.kneser_ney(counted).filter("kind = 'b' and level = 0").first()
+    assert math.isclose(low.p, 1 / (len({c for run in want for c in run[-1]} - {"9"}) + 1))
+
+
+@pytest.mark.parametrize("alphabet", ["абвгдежз", "漢字仮名交文書"])
+def test_other_scripts_equal_the_definition(spark, monkeypatch, alphabet):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices(alphabet, k=3)) for _ in range(rng.randrange(1, 30))), rng.choice(["a", "b", "c"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pick = lambda: {r.doc_id: (r.x, r.y) for r in quality.scored(df).select(
+        "doc_id", F.col("__q__.log_perplexity").alias("x"), F.col("__q__.mixed").alias("y")).collect()}
+    got = pick()
+    models = {x: brute_model([t for _, t, lang in rows if lang == x]) for x in "abc"}
+    for doc, text, lang in rows[:6]:
+        grams = [f" {text} "[i : i + 3] for i in range(len(text))]
+        assert math.isclose(got[doc][0], -sum(math.log(models[lang](g)) for g in grams) / len(grams), rel_tol=1e-6)
+        assert math.isclose(got[doc][1], -sum(math.log(max(p(g) for p in models.values())) for g in grams) / len(grams), rel_tol=1e-6)
+    monkeypatch.setattr(quality, "LANGUAGES_AT_ONCE", 1)
+    monkeypatch.setattr(quality, "BLOCK_RUNS", 200)
+    assert pick() == got
