@@ -90,7 +90,8 @@ def gbt_fit(train_summary: DataFrame, variables: list[Variable], windows: Window
             max_depth: int = 4, max_iter: int = 150, learning_rate: float = 0.1) -> TreeModels:
     """Distributed fits, one per variable, over every (stay, lead hour) with a
     target. A (variable, hour) with fewer than ten targets gets no forecast.
-    Fitting runs Spark jobs; everything else in this module is lazy."""
+    Fitting runs Spark jobs, and so does the writing of cells in ``gbt_predict``; everything else in this
+    module is lazy."""
     cells, features = _tree_cells(train_summary, variables, windows)
     cells = cells.filter(F.col("y_true").isNotNull())
     counts = cells.groupBy("variable", "hour").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_TARGETS)
@@ -118,8 +119,9 @@ def gbt_fit(train_summary: DataFrame, variables: list[Variable], windows: Window
 
 def gbt_predict(fitted: TreeModels, summary: DataFrame, variables: list[Variable], windows: Windows) -> DataFrame:
     """Clipped forecasts; half-width 1.645 times the mean residual std of the
-    variable's fitted hours (1 if none)."""
-    cells, _ = _tree_cells(summary, variables, windows)
+    variable's fitted hours (1 if none). The cells are written once: each variable's part then only
+    reads them, where they would all be joined again, side by side in the same tasks."""
+    cells = durable(_tree_cells(summary, variables, windows)[0])
     widths = fitted.residuals.groupBy("variable").agg((GAUSS_90 * F.avg("residual_std")).alias("width"))
     parts = []
     for v in variables:
