@@ -32,8 +32,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
+# Blocks grow until about so many pairs of them cover the join, up to a size that a task holds: rows are
+# copied once for each block they meet.
+BLOCK_PAIRS, MOST_BLOCK_ROWS = 1024, 16_384
 # Rows bounded at once in a task: times pivots times k doubles.
 VISIT_ROWS = 256
+# Distances a task holds at once.
+SCREENED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,29 +89,39 @@ def _nearest_in_block(queries: pd.DataFrame, train: pd.DataFrame, k: int) -> pd.
     if queries.empty or train.empty:
         return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
     q, t = _matrix(queries["vector"]), _matrix(train["vector"])
-    ids = train["neighbor_id"].to_numpy()
-    rough = _squared(q, t)
+    ids, query_ids = train["neighbor_id"].to_numpy(), queries["query_id"].to_numpy()
     kk = min(k, len(ids))
-    slack = 1e-9 * (1.0 + (q * q).sum(1) + (t * t).sum(1).max())
-    cutoff = np.partition(rough, kk - 1, axis=1)[:, kk - 1] + slack
+    largest = (t * t).sum(1).max()
+    step = max(1, SCREENED // len(ids))
     out_q, out_n, out_d = [], [], []
-    for i, query_id in enumerate(queries["query_id"].to_numpy()):
-        near = np.flatnonzero(rough[i] <= cutoff[i])
-        exact = np.sqrt(((t[near] - q[i]) ** 2).sum(1))
-        best = np.lexsort((ids[near], exact))[:kk]
-        out_q.append(np.full(len(best), query_id))
-        out_n.append(ids[near][best])
-        out_d.append(exact[best])
+    for start in range(0, len(q), step):
+        some = q[start : start + step]
+        rough = _squared(some, t)
+        slack = 1e-9 * (1.0 + (some * some).sum(1) + largest)
+        cutoff = np.partition(rough, kk - 1, axis=1)[:, kk - 1] + slack
+        for i, query_id in enumerate(query_ids[start : start + step]):
+            near = np.flatnonzero(rough[i] <= cutoff[i])
+            exact = np.sqrt(((t[near] - some[i]) ** 2).sum(1))
+            best = np.lexsort((ids[near], exact))[:kk]
+            out_q.append(np.full(len(best), query_id))
+            out_n.append(ids[near][best])
+            out_d.append(exact[best])
     return pd.DataFrame({
         "query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_n), "distance": np.concatenate(out_d)})
 
 
+def _block_rows(pairs: int, least: int) -> int:
+    """Rows of a block when so many (query, training vector) pairs may meet."""
+    return max(least, min(MOST_BLOCK_ROWS, math.isqrt(int(pairs) // BLOCK_PAIRS)))
+
+
 def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
              n_pivots: int | None = None) -> DataFrame:
     """(query_id, neighbor_id, distance, rank): min(k, n_train) nearest, ties by id.
 
     Inputs are (stay_id, vector) without nulls. The driver only ever holds the
-    pivots and k radii per pivot (at most 1024 pivots).
+    pivots and k radii per pivot (at most 1024 pivots). ``block_rows`` is the least size of a block,
+    see ``_block_rows``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -116,13 +131,14 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLO
     n_train = train.count()
     if not n_train:
         return queries.sparkSession.createDataFrame([], "query_id long, neighbor_id long, distance double, rank int")
+    block_rows = _block_rows(n_train * queries.count(), block_rows)
     n_pivots = n_pivots or n_train // block_rows
     n_pivots = int(min(MAX_PIVOTS, max(1, n_pivots)))
     picked = train.orderBy(draw("pivot", F.col("neighbor_id")), "neighbor_id").limit(n_pivots).collect()
     pivots = np.array([list(r["vector"]) for r in picked], dtype=float)
 
     def to_cells(batches):
-        for pdf in batches:
+        for pdf in (b.iloc[i:i + VISIT_ROWS] for b in batches for i in range(0, len(b), VISIT_ROWS)):
             if len(pdf):
                 d = np.sqrt(_squared(_matrix(pdf["vector"]), pivots))
                 cell = d.argmin(axis=1)
@@ -145,32 +161,30 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, block_rows: int = BLO
     kth = min(k, len(radii)) - 1
 
     def visits(batches):
-        """Per query: its own cell (used to form query blocks) and the cells to visit."""
+        """Per query: the cells to visit."""
         for pdf in (b.iloc[i:i + VISIT_ROWS] for b in batches for i in range(0, len(b), VISIT_ROWS)):
             d = np.sqrt(_squared(_matrix(pdf["vector"]), pivots))
-            own = d.argmin(axis=1)
             d = d[:, cells]
             bound = np.partition(d[:, owner] + radii[None, :], kth, axis=1)[:, kth]
             gap = np.maximum(np.maximum(d - hi[None, :], lo[None, :] - d), 0.0)
             meets = gap <= (bound * (1 + 1e-9) + 1e-9)[:, None]
-            yield pdf.assign(home=own.astype("int32"), visit=[cells[m].astype("int32") for m in meets])
-
-    routed = queries.mapInPandas(visits, "query_id long, vector array<double>, home int, visit array<int>")
-    n_homes = routed.groupBy("home").agg(F.count(F.lit(1)).alias("_n")).select(
-        "home", F.greatest(F.ceil(F.col("_n") / block_rows), F.lit(1)).alias("_blocks"))
-    # One row per pivot at most, so this side is always small.
-    routed = routed.join(F.broadcast(n_homes), "home").select(
-        "query_id", "vector", "home", (draw("query", F.col("query_id")) % F.col("_blocks")).cast("int").alias("q_block"),
-        F.explode("visit").alias("cell"))
+            yield pdf.assign(visit=[cells[m].astype("int32") for m in meets])
+
+    routed = durable(queries.mapInPandas(visits, "query_id long, vector array<double>, visit array<int>"))
+    # One row per cell, so the driver can hold it: blocks of the queries that visit a cell.
+    visitors = {r["cell"]: -(-r["n"] // block_rows) for r in routed.select(F.explode("visit").alias("cell")).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     n_blocks = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, int(b))])
+    q_blocks = F.create_map(*[F.lit(x) for c in blocks for x in (c, int(visitors.get(c, 0)))])
     t_block = (draw("train", F.col("neighbor_id")) % F.try_element_at(n_blocks, F.col("cell"))).cast("int")
-    wanted = routed.groupBy(F.col("cell").alias("_c"), F.col("home").alias("_h"), F.col("q_block").alias("_q")).count().select(
-        F.col("_c").alias("cell"), F.col("_h").alias("home"), F.col("_q").alias("q_block"))
-    train_side = celled.select("neighbor_id", "vector", "cell", t_block.alias("t_block")).join(wanted, "cell")
-    all_blocks = F.explode(F.sequence(F.lit(0), (F.try_element_at(n_blocks, F.col("cell")) - 1).cast("int")))
-    query_side = routed.withColumn("t_block", all_blocks)
-
-    keys = ["cell", "home", "q_block", "t_block"]
+    q_block = (draw("query", F.col("query_id")) % F.try_element_at(q_blocks, F.col("cell"))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.try_element_at(n, F.col("cell")) - 1))
+    train_side = celled.filter(F.try_element_at(q_blocks, F.col("cell")) > 0).select(
+        "neighbor_id", "vector", "cell", t_block.alias("t_block"), every(q_blocks).alias("q_block"))
+    query_side = routed.select("query_id", "vector", F.explode("visit").alias("cell")).select(
+        "query_id", "vector", "cell", q_block.alias("q_block"), every(n_blocks).alias("t_block"))
+
+    keys = ["cell", "q_block", "t_block"]
     partial = query_side.groupBy(*keys).cogroup(train_side.groupBy(*keys)).applyInPandas(
         lambda q, t: _nearest_in_block(q, t, k), "query_id long, neighbor_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
@@ -274,10 +288,11 @@ def knn_lsh(queries: DataFrame, train: DataFrame, k: int, hashes: Hashes | None
     hashes = hashes or fit_hashes(train, k)
     t = durable(_bucketed(train.withColumnRenamed("stay_id", "neighbor_id"), "neighbor_id", hashes, False))
     q = durable(_bucketed(queries.withColumnRenamed("stay_id", "query_id"), "query_id", hashes, True))
-    blocks = lambda name: F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)
     size = F.count(F.lit(1))
-    shared = durable(t.groupBy("bucket").agg(blocks("t_blocks"), size.alias("_t")).join(
-        q.groupBy("bucket").agg(blocks("q_blocks"), size.alias("_q")), "bucket"))
+    shared = durable(t.groupBy("bucket").agg(size.alias("_t")).join(q.groupBy("bucket").agg(size.alias("_q")), "bucket"))
+    block_rows = _block_rows(shared.agg(F.sum(F.col("_t") * F.col("_q"))).first()[0] or 0, block_rows)
+    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    shared = shared.withColumns({"t_blocks": blocks("_t"), "q_blocks": blocks("_q")})
     load = shared.agg(F.sum(F.col("_t") * F.col("q_blocks") + F.col("_q") * F.col("t_blocks"))).first()[0] or 0
     n_parts = int(max(1, -(-load // block_rows)))
     shared = shared.select("bucket", "t_blocks", "q_blocks")

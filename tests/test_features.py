@@ -312,3 +312,28 @@ def test_lsh_hands_short_queries_to_the_exact_join(spark):
     assert got.groupby("query_id").size().tolist() == [4, 4]
     assert similarity.knn_lsh(far, train.limit(2), 4).count() == 4
     assert similarity.knn_lsh(far, train.limit(0), 4).count() == 0
+
+
+def test_blocks_grow_with_the_join(spark, monkeypatch):
+    """Rows are copied for each block they meet: there may only be so many pairs of blocks."""
+    rng = np.random.default_rng(8)
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "stay_id long, vector array<double>")
+    count = lambda q, t, k: pd.DataFrame({"query_id": [hash((q.query_id.iloc[0], t.neighbor_id.iloc[0], len(q)))], "neighbor_id": [len(q) * len(t)], "distance": [0.0]})
+    monkeypatch.setattr(similarity, "BLOCK_PAIRS", 16, raising=False)
+    monkeypatch.setattr(similarity, "_nearest_in_block", count)
+    met = similarity.knn_join(frame(rng.normal(0, 1, (200, 12))), frame(rng.normal(0, 1, (400, 12))), 5, block_rows=4).count()
+    assert met <= 100
+
+
+def test_block_is_screened_in_parts():
+    """The distances of a block are never all in memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    side = lambda n, name: pd.DataFrame({name: np.arange(n), "vector": list(rng.normal(0, 1, (n, 3)))})
+    q, t = side(4000, "query_id"), side(4000, "neighbor_id")
+    tracemalloc.start()
+    found = similarity._nearest_in_block(q, t, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 12_000 and peak < 8 * 4000 * 4000
