@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foretrace.operators import features, forecast, harmonize, similarity
-from foretrace.settings import Variable, Windows
+from foretrace.settings import CHART_SOURCE, Variable, Windows
 
 
 def series(spark, rows):
@@ -337,3 +337,12 @@ def test_block_is_screened_in_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 12_000 and peak < 8 * 4000 * 4000
+
+
+def test_tree_cells_are_not_joined_again_for_each_variable(spark):
+    rows = [(s, v, 1.0, 1.0, 0.0, 0.0, 3, {0: 1.0, 1: 2.0}) for s in range(3) for v in ("a", "b")]
+    summary = spark.createDataFrame(rows, "stay_id long, variable string, last double, mean double, std double, slope double, n_obs long, truth map<int, double>")
+    none = spark.createDataFrame([], "variable string, hour int, residual_std double")
+    out = forecast.gbt_predict(forecast.TreeModels({}, none, ()), summary, [Variable("a", CHART_SOURCE), Variable("b", CHART_SOURCE)], Windows(2, 2))
+    assert "Aggregate [stay_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 12
