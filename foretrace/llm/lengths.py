@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretrace.llm.store import with_bytes
+from foretrace.llm.store import keep, with_bytes
 from foretrace.llm.tokens import word_ids
 
 BAND = 1024
@@ -27,8 +27,9 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """n_docs for each n_tokens; rows meet already added up within their tasks."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_docs for each n_tokens; rows meet already added up within their tasks. Written once: reports
+    read it more than once, and the texts would be encoded as often."""
+    return keep(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def length_report(hist: DataFrame, band: int = BAND) -> DataFrame:

@@ -98,6 +98,20 @@ def test_length_report(spark, table):
     assert lengths.length_report(hist.limit(0)).count() == 0
 
 
+def test_texts_are_encoded_once_for_a_report(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    counted = spark.range(40).selectExpr("id % 3 AS n_tokens").mapInPandas(count, "n_tokens long")
+    report = lengths.length_report(lengths.histogram(counted)).orderBy("n_tokens").collect()
+    assert [(r.n_tokens, r.n_docs, r.docs_over) for r in report] == [(0, 14, 26), (1, 13, 13), (2, 13, 0)]
+    assert met.value == 40
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
 def test_permutation_and_its_inverse(n):
     image = shards.permuted(np.arange(n), n, 3)
