@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,16 +74,17 @@ class _Lines:
     def ids(self) -> np.ndarray:
         return self.spans.hashes(self.sums, self.starts, self.ends).view(np.int64)
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of all lines, in order, not yet mixed, and where each line's
-        begin. A line shorter than a shingle is one itself."""
-        length = self.ends - self.starts
+    def shingles(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles of all (or ``some``) lines, in order, not yet mixed, and where each
+        line's begin. A line shorter than a shingle is one itself."""
+        starts, own_ends = self.starts[some], self.ends[some]
+        length = own_ends - starts
         n = np.maximum(1, length - SHINGLE + 1)
         runs = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(self.starts - runs, n)
+        at = np.arange(int(n.sum())) + np.repeat(starts - runs, n)
         ends = at + SHINGLE
         short = np.flatnonzero(length < SHINGLE)
-        ends[runs[short]] = self.ends[short]
+        ends[runs[short]] = own_ends[short]
         return (self.sums[ends] - self.sums[at]) * self.spans.down[at], runs
 
 
@@ -101,29 +103,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """doc, crc, line, id, keys, sig of every line that has a word."""
-    names = ["doc", "crc", "line", "id", "keys", "sig"]
+    """doc, crc, line, id, keys, sig of every line that has a word. A task signs a line once;
+    where it meets it again, keys and sig are empty."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place: list[tuple] = []
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: list[tuple] = []  # of a text: doc, crc, numbers of its lines
         lines: list[str] = []
+        signed: set[int] = set()
 
-        def send() -> pd.DataFrame:
+        def lists(values: np.ndarray, new: np.ndarray) -> pa.Array:
+            ends = np.cumsum(new * values.shape[1])
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values.reshape(-1)))
+
+        def send() -> pa.RecordBatch:
             own = _Lines(lines)
-            hashes, runs = own.shingles()
-            low = _tools()[1].minima_of_runs((hashes >> np.uint64(32)).astype(np.uint32), runs).T
-            out = pd.DataFrame(place, columns=names[:3]).assign(
-                id=own.ids(), keys=list(band_keys(low, BANDS, ROWS)), sig=list(packed_bits(low, BITS)))
+            ids = own.ids()
+            new = np.zeros(len(ids), bool)
+            for k, i in enumerate(ids.tolist()):
+                if i not in signed:
+                    signed.add(i)
+                    new[k] = True
+            keys = sig = np.zeros((0, 1), np.int64)
+            if new.any():
+                hashes, runs = own.shingles(new)
+                low = _tools()[1].minima_of_runs((hashes >> np.uint64(32)).astype(np.uint32), runs).T
+                keys, sig = band_keys(low, BANDS, ROWS), packed_bits(low, BITS)
+            n = [len(x[2]) for x in place]
+            docs, crcs = (np.repeat(np.array([x[k] for x in place], np.int64), n) for k in (0, 1))
+            numbers = np.concatenate([np.array(x[2], np.int32) for x in place])
+            out = pa.RecordBatch.from_arrays(
+                [*map(pa.array, (docs, crcs, numbers, ids)), lists(keys, new), lists(sig, new)],
+                names=["doc", "crc", "line", "id", "keys", "sig"])
             place.clear()
             lines.clear()
+            if len(signed) > 500_000:
+                signed.clear()
             return out
 
         held = 0
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"]):
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 numbers, own = plain_lines(text)
-                crc = zlib.crc32(text)
-                place += [(doc, crc, k) for k in numbers]
+                place.append((doc, zlib.crc32(text), numbers))
                 lines += own
                 held += len(text)
                 if held >= CHUNK and lines:
@@ -133,7 +154,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
             yield send()
 
     plain = with_bytes(_keyed(docs.select("doc_id", "text")).withColumnRenamed("__doc__", "doc"), "doc")
-    return plain.mapInPandas(sign, "doc long, crc long, line int, id long, keys array<long>, sig array<long>")
+    return plain.mapInArrow(sign, "doc long, crc long, line int, id long, keys array<long>, sig array<long>")
 
 
 def _place_hash(doc: Column, crc: Column) -> Column:
@@ -212,9 +233,17 @@ def _marked(docs: DataFrame, percent: int) -> DataFrame:
 
 def _kept(text: Column) -> Column:
     """The text without the marked lines; untouched where none is marked."""
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_MARK))
-    return F.when(F.col(_MARK).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+
+    def rest(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_MARK))
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    # As the element of an array the lines are a variable: they are split once, not again for each line that stays.
+    return F.when(F.col(_MARK).isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n", -1)), rest)[0])
+
+
+def _n_lines(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -230,5 +259,5 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (\\n-split; none in a null text), n_removed and the kept text of every document."""
     marked = _marked(docs.select("doc_id", "text"), percent)
-    return marked.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)).cast("long"), F.lit(0)).alias("n_lines"),
+    return marked.select("doc_id", _n_lines(F.col("text")).alias("n_lines"),
                          F.coalesce(F.size(_MARK).cast("long"), F.lit(0)).alias("n_removed"), _kept(F.col("text")).alias("text"))

@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +30,72 @@ MAX_STEPS = 60
 BLOCK_ITEMS = 1500
 BUCKET_ITEMS = 4000
 EDGE_ROWS = 250_000
+JOINED_ROWS = 400_000
 
 
 def _dealt(edges: DataFrame, n: int) -> DataFrame:
     return edges.repartition(n, "a")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (id, smallest id that these edges reach from it) that join what these edges join."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if not (apart := low < high).any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    led = root < np.arange(len(ids))
+    return ids[led], ids[root[led]]
+
+
+def _joined(edges: DataFrame, limit: int) -> DataFrame:
+    """Edges that join the same ids, fewer where those of a partition have circles: ``limit`` edges or
+    little more at a time become stars."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(zero_copy_only=False), batch.column("b").to_numpy(zero_copy_only=False)))
+            size += batch.num_rows
+            if size > limit:
+                held, size = [stars(*map(np.concatenate, zip(*held)))], 0
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, held.pop())), names=["a", "b"])
+        if size:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, stars(*map(np.concatenate, zip(*held))))), names=["a", "b"])
+
+    return edges.mapInArrow(join, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every end of the links (a, b).
 
-    Alternating stars: each id takes its larger neighbours to the smallest one, then its
+    First the edges of each partition become stars, and those of some partitions together, while that
+    leaves fewer. If all that is left fits in JOINED_ROWS, these are the components. Otherwise
+    alternating stars: each id takes its larger neighbours to the smallest one, then its
     smaller ones, until every id points at the smallest of its component. Smallest
     neighbours come from partial aggregates; the table is written between the steps."""
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    edges = keep(pairs.distinct())
+    edges = keep(_joined(pairs, JOINED_ROWS))
+    n, whole = edges.count(), False
+    while n and not whole:
+        whole, before = n <= JOINED_ROWS, n
+        edges = keep(_joined(edges.coalesce(1 + 2 * n // JOINED_ROWS if not whole else 1), JOINED_ROWS))
+        n = edges.count()
+        if n > 0.8 * before:
+            break
+    if not whole and n:
+        edges = _alternated(keep(edges.distinct()))
+    roots = edges.select(F.col("b").alias("id")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+
+
+def _alternated(edges: DataFrame) -> DataFrame:
     mark = (edges.count(), None)
     for _ in range(MAX_STEPS):
         # As many tasks as the edges need, not as the session has partitions: the steps are many and
@@ -59,8 +113,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("b").alias("id")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+    return edges
 
 
 def matching_lanes(a: Column, b: Column, words: int, bits: int) -> Column:
@@ -87,17 +140,19 @@ def shared_buckets(items: DataFrame, flush: int = 1_000_000) -> DataFrame:
     drops most keys of a single item before anything is shuffled."""
     spark = items.sparkSession
     size = items.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
-    read = lambda batch: iter([np.concatenate([np.asarray(k, np.int64) for k in batch["keys"]]).view(np.uint64)] if len(batch) else [])
-    known = spark.sparkContext.broadcast(count_min(items.select("keys"), read, cell_bits(size / 2), flush=flush))
+    flat = lambda batch: batch.column("keys").flatten().to_numpy(zero_copy_only=False)
+    known = spark.sparkContext.broadcast(count_min(
+        items.select("keys"), lambda batch: iter([flat(batch).view(np.uint64)]), cell_bits(size / 2), flush=flush, arrow=True))
 
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(k) for k in batch["keys"]]
-            keys = np.concatenate([np.asarray(k, np.int64) for k in batch["keys"]]) if sum(n) else np.zeros(0, np.int64)
+            n = pc.fill_null(pc.list_value_length(batch.column("keys")), 0).to_numpy(zero_copy_only=False)
+            keys = flat(batch)
             hit = known.value.hit(keys)
-            yield pd.DataFrame({"key": keys[hit], "id": np.repeat(batch["id"].to_numpy(np.int64), n)[hit]})
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n)[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(ids)], names=["key", "id"])
 
-    found = items.select("keys", "id").mapInPandas(some, "key long, id long").distinct()
+    found = items.select("keys", "id").mapInArrow(some, "key long, id long").distinct()
     # Two hubs: the smallest in an order drawn for the key, and the smallest id.
     rank = F.xxhash64("key", "id")
     hubs = found.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id")).alias("_h"), F.min("id").alias("first"), F.max("id").alias("_l")).filter(
@@ -319,9 +374,12 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, part in rows.groupby("cluster"):
-            if part["component"].nunique() > 1:
-                found += joining_links(part["id"].tolist(), part["component"].tolist(), [set_of(t) for t in part["text"]], percent)
+        rows = rows.sort_values("cluster", kind="stable")
+        of, ids, labels, given = rows["cluster"].to_numpy(), rows["id"].tolist(), rows["component"].tolist(), rows["text"].tolist()
+        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]).tolist()
+        for start, end in zip(edges[:-1], edges[1:]):
+            if len(set(labels[start:end])) > 1:
+                found += joining_links(ids[start:end], labels[start:end], [set_of(t) for t in given[start:end]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = keep(dealt.select("id", "cluster", "component", "text", "large", "i", "j").groupBy("large", "i", "j").applyInPandas(

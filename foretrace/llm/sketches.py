@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foretrace.llm.hashing import mixed
@@ -45,10 +46,10 @@ class Bits:
 
 
 def count_min(rows: DataFrame, values_of: Callable[[pd.DataFrame], Iterator[np.ndarray]], bits: int, level: int = 2,
-              flush: int = FLUSH) -> Bits:
+              flush: int = FLUSH, arrow: bool = False) -> Bits:
     """Which cells count ``level`` (1 or 2) values or more.
 
-    ``values_of`` gives the uint64 values of a batch, in arrays. A task sends, for each block of
+    ``values_of`` gives the uint64 values of a batch (``arrow``: a record batch), in arrays. A task sends, for each block of
     cells, which cells it met once and which more often; blocks are added up independently.
     What reaches the driver has the fixed size of the sketch, whatever the number of values."""
     block_mask = np.uint64((1 << BLOCK_BITS) - 1)
@@ -88,7 +89,14 @@ def count_min(rows: DataFrame, values_of: Callable[[pd.DataFrame], Iterator[np.n
         packed = np.packbits(count >= level, bitorder="little").tobytes()
         return pd.DataFrame({"depth": [key[0]], "block": [key[1]], "bits": [packed]})
 
-    merged = rows.mapInPandas(partial, "depth int, block int, cells binary, again binary").groupBy("depth", "block").applyInPandas(
+    def partial_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = pa.schema([("depth", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("again", pa.binary())])
+        for part in partial(batches):
+            yield pa.RecordBatch.from_pandas(part, schema=fields, preserve_index=False)
+
+    counted = (rows.mapInArrow if arrow else rows.mapInPandas)(
+        partial_arrow if arrow else partial, "depth int, block int, cells binary, again binary")
+    merged = counted.groupBy("depth", "block").applyInPandas(
         merge, "depth int, block int, bits binary")
     out = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
     width = (1 << BLOCK_BITS) // 8

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -73,6 +74,42 @@ def test_components_of_long_paths_and_hubs(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [400_000, 11])
+def test_components_of_edges_joined_in_tasks(spark, monkeypatch, limit):
+    monkeypatch.setattr(links, "JOINED_ROWS", limit)
+    rng, steps, kept = random.Random(7), [], links.keep
+    monkeypatch.setattr(links, "keep", lambda df: steps.append(1) or kept(df))
+    edges = [(i, i + 1) for i in range(60, 110)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(5, 5)]
+    edges += edges[:20]
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in links.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    root = union_find(400, edges)
+    assert got == {x: root[x] for e in edges for x in e if e[0] != e[1]}
+    assert limit < 100 or len(steps) <= 2
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([(1, "a\nb\n\nc", [1, 3]), (2, "a\nb", [0, 1]), (3, "a\n", None), (4, None, None), (5, "", None)],
+                               f"doc_id long, text string, {lines._MARK} array<int>")
+    out = df.select("doc_id", lines._kept(F.col("text")).alias("text"), lines._n_lines(F.col("text")).alias("n")).collect()
+    assert [(r.text, r.n) for r in out] == [("a\n", 4), ("", 2), ("a\n", 2), (None, 0), ("", 1)]
+    # 40,000 lines: split anew for each, this took minutes
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda i: i.cast("string")), "\n").alias("text"),
+                                 F.array(F.lit(0)).alias(lines._MARK))
+    began = time.time()
+    assert long.select(F.length(lines._kept(F.col("text")))).first()[0] == sum(len(str(i)) + 1 for i in range(1, 40_000)) - 1
+    assert time.time() - began < 30
+
+
+def test_a_task_signs_a_repeated_line_once(spark, docs):
+    df = docs([(1, "the same line\nown line\nThe  same line"), (2, "the same line")]).coalesce(1)
+    rows = sorted(((r.doc, r.line, r.id, len(r["keys"]), len(r.sig)) for r in lines.signed_lines(df).collect()))
+    assert [(d, k, n, m) for d, k, _, n, m in rows] == [(1, 0, 12, 3), (1, 1, 12, 3), (1, 2, 0, 0), (2, 0, 0, 0)]
+    assert rows[0][2] == rows[2][2] == rows[3][2] != rows[1][2]
+    again = docs([(k, "the same line\n" * 6000) for k in range(2)]).coalesce(1)  # the second chunk has no new line
+    assert lines.signed_lines(again).filter(F.size("keys") > 0).count() == 1
+
+
 def test_packed_estimate_follows_similarity(spark):
     rng = np.random.default_rng(3)
     tool, both = hashing.MinHash(128), rng.integers(0, 1 << 63, 900).astype(np.uint64)
