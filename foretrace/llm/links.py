@@ -325,7 +325,8 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
     rated = keep(asked.join(of("a"), "a").join(of("b"), "b").withColumn(
         "like", estimated(F.col("a_sig"), F.col("b_sig"), words, bits)).filter(F.col("like") >= floor).select("a", "b", "like"))
     clusters = keep(components(rated).withColumnRenamed("component", "cluster"))
-    more = bridges(buckets, clusters, signs, words, bits, max(floor, least_estimate(words * (64 // bits), bits, percent)))
+    least = max(floor, least_estimate(words * (64 // bits), bits, percent))
+    more = bridges(buckets, clusters, signs, words, bits, least)
     if not more.isEmpty():
         rated = keep(rated.union(more.select("a", "b", "like").distinct()))
         joined = keep(components(more.select(F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b"))).toDF("cluster", "_c"))
@@ -333,7 +334,8 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
         clusters = keep(clusters.select("id", "cluster").union(alone).join(joined, "cluster", "left").select(
             "id", F.coalesce("_c", "cluster").alias("cluster")))
     ends = rated.select(F.col("a").alias("id"), "a", "b", "like").union(rated.select(F.col("b").alias("id"), "a", "b", "like"))
-    best = ends.groupBy("id").agg(F.max(F.struct("like", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    # An item rated lower with all its hubs is left to the blocks of its cluster, which compare all pairs.
+    best = ends.filter(F.col("like") >= least).groupBy("id").agg(F.max(F.struct("like", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
 
     texts = keep(texts_of(id_bits(ids_of(rated))).dropDuplicates(["id", "text"]))
 
