@@ -96,6 +96,18 @@ def shingle_set(line: bytes) -> np.ndarray:
     return np.unique(_Lines([line.decode("utf-8", "replace")]).shingles()[0])
 
 
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """``shingle_set`` of each line; many are hashed together."""
+    if not lines:
+        return []
+    hashes, runs = _Lines([line.decode("utf-8", "replace") for line in lines]).shingles()
+    for own in np.split(hashes, runs[1:]):
+        own.sort()
+    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    new[runs] = True
+    return np.split(hashes[new], np.cumsum(new)[runs[1:]] - 1)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Adds what tells documents apart: the doc_id (none: larger than any) and the text."""
     return docs.withColumn("__doc__", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(
@@ -163,7 +175,7 @@ def _place_hash(doc: Column, crc: Column) -> Column:
 
 def _places(rows: DataFrame, doc: str, crc: str) -> Bits:
     """A filter of fixed size that hits every document of the rows and few others."""
-    hashed = rows.select(_place_hash(F.col(doc), F.col(crc)).alias("h")).distinct()
+    hashed = keep(rows.select(_place_hash(F.col(doc), F.col(crc)).alias("h")).distinct())  # counted and read
     return count_min(hashed, lambda batch: iter([batch["h"].to_numpy(np.int64).view(np.uint64)]), cell_bits(hashed.count()), level=1)
 
 
@@ -190,15 +202,23 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: Bits) -> DataFrame:
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[int] = set()
+
+        def found(lines: list[str]) -> Iterator[tuple[int, bytes]]:
+            ids = line_ids(lines)
+            for k in np.flatnonzero(shared.value.hit(ids)):
+                if (i := int(ids[k])) not in sent:
+                    sent.add(i)
+                    yield i, lines[k].encode()
+
         for batch in batches:
-            rows = []
+            rows, lines, held = [], [], 0
             for text in batch["text"][places.value.hit(batch["h"].to_numpy(np.int64))]:
-                lines = plain_lines(text)[1]
-                ids = line_ids(lines)
-                for k in np.flatnonzero(shared.value.hit(ids)):
-                    if (i := int(ids[k])) not in sent:
-                        sent.add(i)
-                        rows.append((i, lines[k].encode()))
+                lines += plain_lines(text)[1]
+                held += len(text)
+                if held >= CHUNK:
+                    rows += found(lines)
+                    lines, held = [], 0
+            rows += found(lines)
             if len(sent) > 500_000:
                 sent.clear()
             yield pd.DataFrame(rows, columns=["id", "text"])
@@ -211,13 +231,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = keep(signed_lines(docs))
     words = PERMUTATIONS * BITS // 64
     known = similar_components(lines.select("id", "keys", "sig"), words, BITS, FLOOR,
-                               lambda wanted: _texts(docs, lines, wanted), shingle_set, percent)
+                               lambda wanted: _texts(docs, lines, wanted), shingle_set, percent, shingle_sets)
     place = F.struct("doc", "crc", "line")
     firsts = lines.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = keep(firsts.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # A line that occurs once and is linked with none loses nothing.
+    firsts = firsts.join(known.hint("shuffle_hash"), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    firsts = keep(firsts.withColumn("component", F.coalesce("component", "id")))
     groups = firsts.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     stays = firsts.select("id", "component").join(groups, "component").select("id", "stays")
-    gone = lines.select("id", "doc", "crc", "line").join(stays, "id").filter(place != F.col("stays"))
+    gone = lines.select("id", "doc", "crc", "line").join(stays.hint("shuffle_hash"), "id").filter(place != F.col("stays"))
     return gone.groupBy(F.col("doc").alias("__doc__"), F.col("crc").alias("__crc__")).agg(F.collect_set("line").alias(_MARK))
 
 

@@ -31,6 +31,7 @@ BLOCK_ITEMS = 1500
 BUCKET_ITEMS = 4000
 EDGE_ROWS = 250_000
 JOINED_ROWS = 400_000
+SET_BYTES = 1 << 18  # of texts whose sets are made at a time
 
 
 def _dealt(edges: DataFrame, n: int) -> DataFrame:
@@ -135,9 +136,10 @@ def estimated(a: Column, b: Column, words: int, bits: int) -> Column:
     return (matching_lanes(a, b, words, bits) / F.lit(float(words * (64 // bits))) - chance) / (1 - chance)
 
 
-def shared_buckets(items: DataFrame, flush: int = 1_000_000) -> DataFrame:
-    """(key, id) of the band keys that two or more items have. A count-min sketch of all keys
-    drops most keys of a single item before anything is shuffled."""
+def shared_buckets(items: DataFrame, words: int, flush: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(key, id, hub, first) of the band keys that two or more items have, and (id, sig) of at least the items
+    that have one. A count-min sketch of all keys drops most keys of a single item, and the items that
+    have no others, before anything is shuffled."""
     spark = items.sparkSession
     size = items.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
     flat = lambda batch: batch.column("keys").flatten().to_numpy(zero_copy_only=False)
@@ -149,15 +151,22 @@ def shared_buckets(items: DataFrame, flush: int = 1_000_000) -> DataFrame:
             n = pc.fill_null(pc.list_value_length(batch.column("keys")), 0).to_numpy(zero_copy_only=False)
             keys = flat(batch)
             hit = known.value.hit(keys)
-            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n)[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(ids)], names=["key", "id"])
-
-    found = items.select("keys", "id").mapInArrow(some, "key long, id long").distinct()
+            hits = np.bincount(np.repeat(np.arange(len(n)), n)[hit], minlength=len(n))
+            own = pa.array(np.flatnonzero(hits))
+            ends = np.r_[0, np.cumsum(hits[hits > 0])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[hit])),
+                                              batch.column("sig").take(own)], names=["id", "keys", "sig"])
+
+    # Copies of an item in several tasks hit the same keys. A group's buffer holds words only, no arrays.
+    held = items.select("id", "keys", "sig").mapInArrow(some, "id long, keys array<long>, sig array<long>")
+    parts = [F.first(F.col("sig")[k]).alias(f"w{k}") for k in range(words)]
+    held = keep(held.groupBy("id", "keys").agg(*parts).select("id", "keys", F.array(*[f"w{k}" for k in range(words)]).alias("sig")))
+    found = held.select(F.explode("keys").alias("key"), "id")
     # Two hubs: the smallest in an order drawn for the key, and the smallest id.
-    rank = F.xxhash64("key", "id")
-    hubs = found.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id")).alias("_h"), F.min("id").alias("first"), F.max("id").alias("_l")).filter(
-        F.col("first") < F.col("_l")).select("key", F.col("_h.id").alias("hub"), "first")
-    return keep(found.join(hubs, "key"))
+    drawn = F.col("id").bitwiseXOR(F.col("key"))
+    hubs = found.groupBy("key").agg(F.min(drawn).alias("_h"), F.min("id").alias("first"), F.max("id").alias("_l")).filter(
+        F.col("first") < F.col("_l")).select("key", F.col("_h").bitwiseXOR(F.col("key")).alias("hub"), "first")
+    return keep(found.join(hubs.hint("shuffle_hash"), "key")), held.select("id", "sig")
 
 
 def ids_of(pairs: DataFrame) -> DataFrame:
@@ -170,9 +179,20 @@ def id_bits(ids: DataFrame) -> Bits:
     return count_min(ids.select("id"), lambda batch: iter([batch["id"].to_numpy(np.int64).view(np.uint64)]), cell_bits(n), level=1)
 
 
+def n_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted distinct arrays."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return 0
+    at = x.searchsorted(y)
+    at[at == len(x)] = 0
+    return int(np.count_nonzero(x[at] == y))
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays. Rare members are counted
-    through their lists, frequent ones by matrix products over a few thousand members at a time."""
+    through their lists, frequent ones, and all of small sets, by matrix products over a few thousand members at a time."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -180,14 +200,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     lists = owner[order]  # ascending within a member
     starts = np.cumsum(times) - times
     out = np.zeros((n, n), np.int64)
-    for k in range(2, min(32, n) + 1):
+    rare = 32 if len(owner) > 50_000 else 1
+    for k in range(2, min(rare, n) + 1):
         at = starts[times == k]
         if len(at):
             table = lists[at[:, None] + np.arange(k)]
             for x in range(k):
                 for y in range(x + 1, k):
                     np.add.at(out, (table[:, x], table[:, y]), 1)
-    often = np.flatnonzero(times > 32)
+    often = np.flatnonzero(times > rare)
     place = np.full(len(times), -1)
     for at in range(0, len(often), 2048):
         part = often[at : at + 2048]
@@ -224,7 +245,7 @@ def joining_links(ids: list[int], labels: list[int], sets: list[np.ndarray], per
         for x in range(len(ids)):
             for y in range(x):
                 if find(labels[x]) != find(labels[y]) and 100 * min(size[x], size[y]) >= percent * max(size[x], size[y]):
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    common = n_common(sets[x], sets[y])
                     if 100 * common >= percent * (size[x] + size[y] - common) > 0:
                         join(x, y)
         return found
@@ -304,19 +325,34 @@ def bridges(buckets: DataFrame, clusters: DataFrame, signs: DataFrame, words: in
         compare, "a long, b long, like double, a_cluster long, b_cluster long"))
 
 
+def _parts(rows: list, size_of: Callable[[tuple], int]) -> Iterator[list]:
+    """The rows in order, in parts of SET_BYTES or little more."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += size_of(row)
+        if held >= SET_BYTES:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def similar_components(items: DataFrame, words: int, bits: int, floor: float, texts_of: Callable[[Bits], DataFrame],
-                       set_of: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+                       set_of: Callable[[bytes], np.ndarray], percent: int,
+                       sets_of: Callable[[list[bytes]], list[np.ndarray]] | None = None) -> DataFrame:
     """id, component of the items linked with another.
 
     items: id (long), keys (array of band keys), sig (array of ``words`` packed words); rows of
     one id are one item. ``floor`` lies far below the threshold: signatures of unrelated items hardly
     ever reach it, so clusters hold items that have something in common.
     texts_of(filter) gives (id, text binary) of at least the ids that the filter hits, and
-    set_of(text) the sorted distinct hashes of its set.
+    set_of(text) the sorted distinct hashes of its set; sets_of(texts), where short texts are best
+    taken together, the same of many.
     Linked: 100 * intersection >= percent * union, on the full sets."""
-    buckets = shared_buckets(items)
+    buckets, held = shared_buckets(items, words)
     parts = [F.first(F.col("sig")[k]).alias(f"w{k}") for k in range(words)]
-    signs = items.filter(F.size("sig") > 0).groupBy("id").agg(*parts).join(buckets.select("id").distinct(), "id", "left_semi")
+    signs = held.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(*parts)
     signs = keep(signs.select("id", F.array(*[f"w{k}" for k in range(words)]).alias("sig")))
     of = lambda name: signs.select(F.col("id").alias(name), F.col("sig").alias(f"{name}_sig"))
 
@@ -346,10 +382,14 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
             own = functools.lru_cache(maxsize=1000)(set_of)  # a hub has many pairs
             for batch in batches:
                 good = []
-                for x, y in zip(batch["a_text"], batch["b_text"]):
-                    x, y = own(x), own(y)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
+                for part in _parts(list(zip(batch["a_text"], batch["b_text"])), lambda pair: len(pair[0]) + len(pair[1])):
+                    if sets_of:
+                        given = list({t for pair in part for t in pair})
+                        own = dict(zip(given, sets_of(given))).__getitem__
+                    for x, y in part:
+                        x, y = own(x), own(y)
+                        common = n_common(x, y) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                        good.append(100 * common >= percent * (len(x) + len(y) - common) > 0)
                 yield batch.loc[np.array(good, bool), ["a", "b"]]
 
         named = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
@@ -379,9 +419,12 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
         rows = rows.sort_values("cluster", kind="stable")
         of, ids, labels, given = rows["cluster"].to_numpy(), rows["id"].tolist(), rows["component"].tolist(), rows["text"].tolist()
         edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]).tolist()
-        for start, end in zip(edges[:-1], edges[1:]):
-            if len(set(labels[start:end])) > 1:
-                found += joining_links(ids[start:end], labels[start:end], [set_of(t) for t in given[start:end]], percent)
+        apart = [(x, y) for x, y in zip(edges[:-1], edges[1:]) if len(set(labels[x:y])) > 1]
+        for part in _parts(apart, lambda span: sum(map(len, given[span[0] : span[1]]))):
+            texts = [t for x, y in part for t in given[x:y]]
+            sets = iter(sets_of(texts) if sets_of else map(set_of, texts))
+            for x, y in part:
+                found += joining_links(ids[x:y], labels[x:y], [next(sets) for _ in range(x, y)], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = keep(dealt.select("id", "cluster", "component", "text", "large", "i", "j").groupBy("large", "i", "j").applyInPandas(

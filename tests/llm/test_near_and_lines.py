@@ -229,3 +229,47 @@ def test_long_words_in_a_pattern_are_told_apart(spark, docs):
         a, b = a + b, b + a
     rows = [(1, f"{a} one two"), (2, f"{b} one two")]
     assert [(r.doc_id, r.component_id) for r in near.near_duplicates(docs(rows), n=3, percent=85).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+
+
+def test_sets_of_many_lines_are_the_sets_of_each():
+    rng = random.Random(3)
+    some = ["", "a", "abcdefgh", "é" * 9, "ab" * 40] + ["".join(rng.choices("abc \U0001F600", k=rng.randrange(1, 300))) for _ in range(200)]
+    some = [x.encode() for x in some]
+    got = lines.shingle_sets(some)
+    assert len(got) == len(some) and all(np.array_equal(lines.shingle_set(x), y) for x, y in zip(some, got))
+    assert lines.shingle_sets([]) == []
+    for x, y in zip(got, got[1:]):
+        assert links.n_common(x, y) == links.n_common(y, x) == len(np.intersect1d(x, y))
+
+
+def test_only_items_with_a_shared_key_are_dealt(spark):
+    keys = {k: [10_000 + k, 2000 + k // 2, 3000] if k < 10 else [10_000 + k] for k in range(2000)}
+    rows = [(k, x, [k, -k]) for k, x in keys.items()] + [(5, [], []), (6, None, None)]
+    items = spark.createDataFrame(rows, "id long, keys array<long>, sig array<long>")
+    buckets, held = links.shared_buckets(items, 2)
+    want = {(2000 + k // 2, k) for k in range(10)} | {(3000, k) for k in range(10)}
+    got = buckets.collect()
+    assert sorted((r.key, r.id) for r in got) == sorted(want)
+    members = {key: {i for k, i in want if k == key} for key, _ in want}
+    assert all(r.first == min(members[r.key]) and r.hub in members[r.key] for r in got)
+    assert len({(r.key, r.hub) for r in got}) == len(members)
+    sigs = {r.id: list(r.sig) for r in held.collect()}
+    assert len(sigs) < 200 and all(sigs[k] == [k, -k] for k in range(10))
+    again, _ = links.shared_buckets(items.union(items), 2)  # copies, as from several tasks
+    assert {(r.key, r.id) for r in again.collect()} == want
+
+
+def test_many_small_texts_are_verified_together(spark):
+    rng = np.random.default_rng(8)
+    tool = hashing.MinHash(128)
+    sets = [np.unique(rng.integers(0, 1 << 40, 200)) for _ in range(40)]
+    for k in range(0, 40, 2):
+        sets[k + 1] = np.unique(np.r_[sets[k][:190], rng.integers(0, 1 << 40, 5 + k)])
+    rows = [(k, [k // 2, 500 + k // 6], hashing.packed_bits(tool.minima(x.astype(np.uint64)), 2).tolist()) for k, x in enumerate(sets)]
+    items = spark.createDataFrame(rows, "id long, keys array<long>, sig array<long>").repartition(3)
+    texts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, text binary")
+    of = lambda t: np.frombuffer(t, np.int64)
+    one, many = (sorted((r.id, r.component) for r in links.similar_components(items, 4, 2, 0.2, lambda _: texts, of, 85, sets_of).collect())
+                 for sets_of in (None, lambda given: [of(t) for t in given]))
+    pairs = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    assert pairs and one == many == sorted((x, min(p)) for p in pairs for x in p)
