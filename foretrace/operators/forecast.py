@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from foretrace.settings import PERSISTENCE_CONDITIONS, Variable, Windows, valida
 COLUMNS = ("condition", "stay_id", "variable", "hour", "y_true", "y_pred", "y_lower", "y_upper")
 MIN_TARGETS = 10
 GAUSS_90 = 1.645
+FITS_AT_ONCE = 8  # each boosting round is a handful of short jobs, so fits leave most cores to others
 
 
 def _level(condition: str) -> Column:
@@ -88,7 +91,7 @@ def _tree_cells(summary: DataFrame, variables: list[Variable], windows: Windows)
 
 def gbt_fit(train_summary: DataFrame, variables: list[Variable], windows: Windows,
             max_depth: int = 4, max_iter: int = 150, learning_rate: float = 0.1) -> TreeModels:
-    """Distributed fits, one per variable, over every (stay, lead hour) with a
+    """Distributed fits, one per variable and some side by side, over every (stay, lead hour) with a
     target. A (variable, hour) with fewer than ten targets gets no forecast.
     Fitting runs Spark jobs, and so does the writing of cells in ``gbt_predict``; everything else in this
     module is lazy."""
@@ -99,21 +102,26 @@ def gbt_fit(train_summary: DataFrame, variables: list[Variable], windows: Window
     usable = durable(usable)
     regressor = GBTRegressor(featuresCol="features", labelCol="y_true", predictionCol="fitted",
                              maxDepth=max_depth, maxIter=max_iter, stepSize=learning_rate, seed=0)
-    models, parts = {}, []
     present = {r[0] for r in usable.select("variable").distinct().collect()}  # at most one per configured variable
-    for v in variables:
-        if v.name not in present:
-            continue
-        rows = usable.filter(F.col("variable") == v.name)
-        models[v.name] = regressor.fit(rows)
-        parts.append(models[v.name].transform(rows).groupBy("variable", "hour").agg(
-            F.stddev_pop(F.col("y_true") - F.col("fitted")).alias("s")))
-    if not parts:
+    names = [v.name for v in variables if v.name in present]
+    if not names:
         raise ValueError("no variable has enough targets")
-    residuals = parts[0]
-    for p in parts[1:]:
-        residuals = residuals.unionByName(p)
-    residuals = residuals.select("variable", "hour", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("residual_std"))
+
+    def fit(name: str):
+        rows = usable.filter(F.col("variable") == name)
+        model = regressor.fit(rows)
+        return model, model.transform(rows).groupBy("variable", "hour").agg(
+            F.stddev_pop(F.col("y_true") - F.col("fitted")).alias("s"))
+
+    with ThreadPoolExecutor(min(len(names), FITS_AT_ONCE)) as pool:
+        fits = dict(zip(names, pool.map(inheritable_thread_target(usable.sparkSession)(fit), names)))
+    residuals = None
+    for _, part in fits.values():
+        residuals = part if residuals is None else residuals.unionByName(part)
+    # Written once: one row per variable and hour, which else cost all trees again for each reader.
+    residuals = durable(residuals.select(
+        "variable", "hour", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("residual_std")))
+    models = {name: model for name, (model, _) in fits.items()}
     return TreeModels(models, residuals, features)
 
 

@@ -346,3 +346,44 @@ def test_tree_cells_are_not_joined_again_for_each_variable(spark):
     out = forecast.gbt_predict(forecast.TreeModels({}, none, ()), summary, [Variable("a", CHART_SOURCE), Variable("b", CHART_SOURCE)], Windows(2, 2))
     assert "Aggregate [stay_id" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == 12
+
+
+def test_registered_tree_trials_run_all_rounds(monkeypatch):
+    """Only what a trial is named for differs from the operator's own settings."""
+    import inspect
+
+    from foretrace.operators import tuning
+    from foretrace.plans import stat_queries
+
+    class Stop(Exception):
+        pass
+
+    def seen(train, val, variables, windows, grid):
+        asked.update(grid)
+        raise Stop
+
+    asked = {}
+    monkeypatch.setattr(tuning, "tree_trials", seen)
+    monkeypatch.setattr(stat_queries.S, "Workspace", lambda spark, sf: type("W", (), {"series": lambda self, split: split})())
+    with pytest.raises(Stop):
+        stat_queries.tuning_trees(None, "")
+    usual = {k: p.default for k, p in inspect.signature(forecast.gbt_fit).parameters.items() if k in ("max_depth", "max_iter", "learning_rate")}
+    assert usual == {"max_depth": 4, "max_iter": 150, "learning_rate": 0.1}
+    assert {t: {k: v for k, v in (usual | s).items() if v != usual[k]} for t, s in asked.items()} == {
+        "depth2": {"max_depth": 2}, "slow": {"learning_rate": 0.05}}
+
+
+def test_trees_of_variables_fitted_together_are_those_fitted_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, v, *map(float, rng.normal(size=4)), 3, {0: float(rng.normal()), 1: float(rng.normal())}) for s in range(30) for v in ("a", "b")]
+    summary = spark.createDataFrame(rows, "stay_id long, variable string, last double, mean double, std double, slope double, n_obs long, truth map<int, double>")
+    both, w = [Variable("a", CHART_SOURCE), Variable("b", CHART_SOURCE)], Windows(2, 2)
+    together = forecast.gbt_fit(summary, both, w, max_depth=2, max_iter=3)
+    assert list(together.models) == ["a", "b"]
+    assert all(m.getNumTrees == 3 for m in together.models.values())
+    # The residuals are stored: no reader runs the trees again.
+    assert "UDF" not in together.residuals._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.variable, r.hour) for r in together.residuals.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    alone = forecast.gbt_fit(summary.withColumn("truth", F.expr("if(variable = 'b', truth, map())")), both, w, max_depth=2, max_iter=3)
+    assert list(alone.models) == ["b"]
+    assert alone.models["b"].toDebugString.split("\n")[1:] == together.models["b"].toDebugString.split("\n")[1:]
