@@ -172,6 +172,12 @@ def _neighbour_keys(vocabulary: DataFrame, symbols: int, letters: str) -> DataFr
     return vocabulary.select("word", "id").mapInArrow(sent, "of long, key long")
 
 
+def _sorted_join(left: DataFrame, right: DataFrame, *args) -> DataFrame:
+    """A join that broadcasts neither side. Tables with a row per word or per neighbour are many times
+    larger in memory than Spark expects of a file or of what Python steps return."""
+    return left.hint("merge").join(right.hint("merge"), *args)
+
+
 def near_words(vocabulary: DataFrame, symbols: tuple[int, ...] = SYMBOLS, crowded: int = CROWDED) -> DataFrame:
     """(word, n, near, near_n): all ordered pairs of words of ``vocabulary`` (word, n; distinct words
     of the letters of WORD) that differ by exactly one inserted, deleted or replaced letter. The
@@ -186,9 +192,9 @@ def near_words(vocabulary: DataFrame, symbols: tuple[int, ...] = SYMBOLS, crowde
     other = keyed.select("key", F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     one_edit = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
     # Words of one reduced word meet there, the lower number first; all others at a neighbour.
-    alike = keyed.join(other, "key").filter((F.col("id") < F.col("near_id")) & one_edit)
-    met = _neighbour_keys(numbered, size, letters).join(other, "key").drop("key", "near_id")
-    apart = met.join(numbered, met["of"] == numbered["id"]).filter(one_edit)
+    alike = _sorted_join(keyed, other, "key").filter((F.col("id") < F.col("near_id")) & one_edit)
+    met = _sorted_join(_neighbour_keys(numbered, size, letters), other, "key").drop("key", "near_id")
+    apart = _sorted_join(met, numbered, met["of"] == numbered["id"]).filter(one_edit)
     columns = ("word", "n", "near", "near_n")
     found = alike.select(*columns).unionByName(apart.select(*columns))
     both = F.explode(F.array(F.struct(*columns), F.struct(
@@ -211,15 +217,15 @@ def spelling_groups(counts: DataFrame, at_least: int = 3, letters: int = 5, time
     best = near_words(words).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     is_form = -F.col("best.less") >= times * F.col("n")
-    found = keep(words.join(best, "word", "left").select(
+    found = keep(_sorted_join(words, best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")))
     links = found.filter("form is not null").select("word", F.col("form").alias("root"))
-    most = links.join(words.select(F.col("word").alias("root"), "n"), "root").agg(F.max("n")).first()[0] or 0
+    most = _sorted_join(links, words.select(F.col("word").alias("root"), "n"), "root").agg(F.max("n")).first()[0] or 0
     for _ in range(int(most).bit_length().bit_length()):
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("__onward__"))
-        links = keep(links.join(onward, "root", "left").select("word", F.coalesce("__onward__", "root").alias("root")))
-    return found.join(links, "word", "left").select(
+        links = keep(_sorted_join(links, onward, "root", "left").select("word", F.coalesce("__onward__", "root").alias("root")))
+    return _sorted_join(found, links, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -202,6 +202,15 @@ def test_near_words_equal_brute_force(spark, symbols):
     assert sorted(got) == sorted(expected) and len(got) == len(set(got))
 
 
+def test_no_table_of_words_or_neighbours_is_broadcast(spark):
+    """Spark sees the size of the words in their file, and of the neighbours only that of the words."""
+    counts = spark.createDataFrame(sorted(random_counts(random.Random(4), 20).items()), "word string, n long")
+    for found in (spelling.near_words(counts), spelling.spelling_groups(counts)):
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_groups_follow_long_chains(spark):
     chain = {"aaaaa" + "b" * k: 3 * 2 ** (19 - k) for k in range(20)}
     n = random_counts(random.Random(6), 40) | chain
