@@ -137,6 +137,17 @@ class MinHash:
             np.minimum.reduceat(turned, starts, out=out[j])
         return out
 
+    def minima_of_spans(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(size, spans) minima of non-empty spans of 32-bit hashes, in order and apart; ``low`` has a value behind the last."""
+        cuts = np.column_stack([starts, ends]).ravel()
+        out = np.empty((self.size, len(starts)), np.uint32)
+        turned = np.empty_like(low)
+        for j in range(self.size):
+            np.bitwise_xor(low, self.flip[j], out=turned)
+            np.multiply(turned, self.times[j], out=turned)
+            out[j] = np.minimum.reduceat(turned, cuts)[::2]
+        return out
+
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(..., bands) signed 64-bit keys: one hash for each band of ``rows`` minima and its number.

@@ -62,11 +62,13 @@ class _Lines:
         points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
         if len(points) >= len(self.spans.up):
             self.spans.grow(2 * len(points))
-        values = table[points & np.uint32(0xFFFF)]
         if len(points) and points.max() > 0xFFFF:
-            values = values + mixed((points >> np.uint32(16)).astype(np.uint64)) * np.uint64(2)
+            values = table[points & np.uint32(0xFFFF)] + mixed((points >> np.uint32(16)).astype(np.uint64)) * np.uint64(2)
+        else:
+            values = table[points]
+        values *= self.spans.up[: len(points)]
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(values * self.spans.up[: len(points)], out=self.sums[1:])
+        np.cumsum(values, out=self.sums[1:])
         length = np.array([len(x) for x in lines], np.int64)
         self.ends = np.cumsum(length)
         self.starts = self.ends - length
@@ -87,6 +89,23 @@ class _Lines:
         ends[runs[short]] = own_ends[short]
         return (self.sums[ends] - self.sums[at]) * self.spans.down[at], runs
 
+    def upper_halves(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The upper halves of the hashes of shingles() of the lines that are True in ``some``, between others that
+        are to be passed over, and where those of each line begin and end. Nothing is gathered place by place."""
+        length, n = self.ends - self.starts, len(self.sums) - 1
+        out, whole = np.zeros(n + 1, np.uint32), max(0, n - SHINGLE + 1)
+        hashes = self.sums[SHINGLE:] - self.sums[:whole]
+        hashes *= self.spans.down[:whole]
+        hashes >>= np.uint64(32)
+        out[:whole] = hashes
+        short = length < SHINGLE
+        at = self.starts[short]
+        out[at] = ((self.sums[self.ends[short]] - self.sums[at]) * self.spans.down[at]) >> np.uint64(32)
+        if not some.all():
+            out, length = out[np.r_[np.repeat(some, length), True]], length[some]
+        starts = np.cumsum(length) - length
+        return out, starts, starts + np.maximum(1, length - SHINGLE + 1)
+
 
 def line_ids(lines: list[str]) -> np.ndarray:
     return _Lines(lines).ids()
@@ -137,8 +156,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
                     new[k] = True
             keys = sig = np.zeros((0, 1), np.int64)
             if new.any():
-                hashes, runs = own.shingles(new)
-                low = _tools()[1].minima_of_runs((hashes >> np.uint64(32)).astype(np.uint32), runs).T
+                low = _tools()[1].minima_of_spans(*own.upper_halves(new)).T
                 keys, sig = band_keys(low, BANDS, ROWS), packed_bits(low, BITS)
             n = [len(x[2]) for x in place]
             docs, crcs = (np.repeat(np.array([x[k] for x in place], np.int64), n) for k in (0, 1))

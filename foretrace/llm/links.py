@@ -6,7 +6,8 @@ clusters. Where a bucket holds items of several clusters, the signatures of thes
 each other in blocks, and clusters with a pair that may be similar become one, so that any two
 similar items with a common bucket are in one cluster. A first round
 verifies each item with the hub most like it, and what that links falls into components. Where a
-cluster still holds several components, its items are compared in blocks: exact intersections
+cluster still holds several components, its items are compared in blocks, those of a large one bucket by
+bucket: exact intersections
 from an inverted list, of which only links that join two components leave the task. A group
 of copies costs one pair for each of its items; nothing is emitted for pairs that are not links.
 """
@@ -28,6 +29,7 @@ from foretrace.llm.store import keep
 
 MAX_STEPS = 60
 BLOCK_ITEMS = 1500
+WHOLE_BLOCKS = 4  # a cluster of more blocks is compared bucket by bucket
 BUCKET_ITEMS = 4000
 EDGE_ROWS = 250_000
 JOINED_ROWS = 400_000
@@ -325,6 +327,24 @@ def bridges(buckets: DataFrame, clusters: DataFrame, signs: DataFrame, words: in
         compare, "a long, b long, like double, a_cluster long, b_cluster long"))
 
 
+def by_bucket(left: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The rows (id, cluster, component, blocks), with large clusters cut into their buckets where that leaves fewer
+    pairs: items that share no bucket are not candidates, and with the corpus chains of loosely similar items
+    grow faster than buckets. Of a bucket whose items are of one component nothing is left."""
+    large = left.filter(F.col("blocks") > WHOLE_BLOCKS)
+    if large.isEmpty():
+        return left
+    met = keep(large.join(buckets.select("key", "id"), "id"))
+    several = keep(met.groupBy("cluster", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("cluster", "key", "n"))
+    pairs = several.groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("_p"))
+    cut = keep(large.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("_n")).join(pairs, "cluster", "left").filter(
+        F.coalesce("_p", F.lit(0.0)) < F.col("_n") * F.col("_n")).select("cluster"))
+    parts = met.join(several, ["cluster", "key"]).join(cut, "cluster", "left_semi").select(
+        "id", F.xxhash64("cluster", "key").alias("cluster"), "component", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    return left.join(cut, "cluster", "left_anti").select(*left.columns).union(parts)
+
+
 def _parts(rows: list, size_of: Callable[[tuple], int]) -> Iterator[list]:
     """The rows in order, in parts of SET_BYTES or little more."""
     part, held = [], 0
@@ -402,7 +422,7 @@ def similar_components(items: DataFrame, words: int, bits: int, floor: float, te
     member = clusters.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b")).filter(
         "_a <> _b").select("cluster", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    left = keep(member.join(sizes, "cluster"))
+    left = keep(by_bucket(member.join(sizes, "cluster").select("id", "cluster", "component", "blocks"), buckets))
     n_left = left.count()
     if not n_left:
         return known

@@ -273,3 +273,52 @@ def test_many_small_texts_are_verified_together(spark):
                  for sets_of in (None, lambda given: [of(t) for t in given]))
     pairs = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
     assert pairs and one == many == sorted((x, min(p)) for p in pairs for x in p)
+
+
+def test_large_clusters_are_cut_into_buckets(spark):
+    """Each item of a large cluster is sent to its buckets of several components, not to every block of the cluster."""
+    rows, keys = [], []
+    for k in range(40):  # buckets of 4 items, every other one of a single component
+        rows.append((k, 1, k // 4 if k // 4 % 2 else k, 6))
+        keys.append((1000 + k // 4, k))
+    for k in range(100, 106):  # a small cluster, and one that is a single bucket: they stay
+        rows += [(k, 2, k, 1), (k + 100, 3, k, 5)]
+        keys += [(2000, k), (3000, k + 100), (3001, k + 100)]
+    left = spark.createDataFrame(rows, "id long, cluster long, component long, blocks int")
+    got = links.by_bucket(left, spark.createDataFrame(keys, "key long, id long")).collect()
+    assert sorted(tuple(r) for r in got if r.cluster in (2, 3)) == sorted(r for r in rows if r[1] in (2, 3))
+    cut = [r for r in got if r.cluster not in (2, 3)]
+    assert sorted(r.id for r in cut) == [k for k in range(40) if not k // 4 % 2]
+    assert all(r.blocks == 1 and r.component == r.id for r in cut)
+    assert len({r.cluster for r in cut}) == 5 and len({(r.cluster, r.id // 4) for r in cut}) == 5
+
+
+def test_buckets_of_a_large_cluster_give_the_same_components(spark, monkeypatch):
+    cut = []
+    kept = links.by_bucket
+    monkeypatch.setattr(links, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(links, "by_bucket", lambda left, buckets: cut.append(kept(left, buckets)) or cut[0])
+    rng = np.random.default_rng(12)
+    tool, base = hashing.MinHash(128), np.unique(rng.integers(0, 1 << 40, 300))
+    sets = [np.unique(np.r_[base[:150], rng.integers(0, 1 << 40, 150)]) for _ in range(60)]  # alike, but no links
+    for k in range(0, 60, 3):
+        sets[k + 1] = np.unique(np.r_[sets[k][:285], rng.integers(0, 1 << 40, 5)])
+        sets[k + 2] = np.unique(np.r_[sets[k + 1][:285], rng.integers(0, 1 << 40, 5)])
+    rows = [(k, [k // 6, 100 + k // 3, 500], hashing.packed_bits(tool.minima(x.astype(np.uint64)), 2).tolist()) for k, x in enumerate(sets)]
+    rows = [(k, keys[:2] if k % 3 else keys, sig) for k, keys, sig in rows]
+    items = spark.createDataFrame(rows, "id long, keys array<long>, sig array<long>").repartition(3)
+    texts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, text binary")
+    got = links.similar_components(items, 4, 2, 0.2, lambda _: texts, lambda t: np.frombuffer(t, np.int64), 85).collect()
+    pairs = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+    root = union_find(60, pairs)
+    assert pairs and sorted((r.id, r.component) for r in got) == sorted((k, root[k]) for k in {x for p in pairs for x in p})
+    assert cut[0].agg(F.max("blocks")).first()[0] <= 4
+
+
+def test_minima_of_lines_in_place_are_those_of_their_shingles():
+    rng, tool = random.Random(5), lines._tools()[1]
+    for some in (["a"], ["abcdefgh"], ["abcdefg", "b", "x" * 9, "é\U0001F600" * 4], ["".join(rng.choices("abc é\U0001F600", k=rng.randrange(1, 40))) for _ in range(200)]):
+        own = lines._Lines(some)
+        for new in (np.ones(len(some), bool), np.arange(len(some)) % 2 == 0):
+            hashes, runs = own.shingles(new)
+            assert np.array_equal(tool.minima_of_runs((hashes >> np.uint64(32)).astype(np.uint32), runs), tool.minima_of_spans(*own.upper_halves(new)))
